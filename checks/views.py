@@ -78,7 +78,7 @@ SELECT event_id, '{"proposals":[{"action":"' ||
 
 
 def _text(name: str) -> str:
-    return _VIEWS[name].strip().replace("NBSP", " ").replace("ZWSP", "​")
+    return _VIEWS[name].strip().replace("NBSP", "\u00a0").replace("ZWSP", "\u200b")
 
 
 _TABLE = re.compile(r"\{(\w+)\}")

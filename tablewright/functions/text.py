@@ -58,15 +58,14 @@ def title_case(col: Column) -> Column:
     runs = F.regexp_extract_all(
         col, F.lit(rf"{cased}+|[^\p{{Lu}}\p{{Ll}}\p{{Lt}}]+"), F.lit(0)
     )
-    return F.array_join(
-        F.transform(
-            runs,
-            lambda run: F.concat(
-                F.upper(F.substring(run, 1, 1)), F.lower(F.substr(run, F.lit(2)))
-            ),
-        ),
-        "",
-    )
+
+    def titled(run: Column) -> Column:
+        # One letter may have two as its capital form (ß to SS): only the first stays upper.
+        capital = F.upper(F.substring(run, 1, 1))
+        rest = F.concat(F.substr(capital, F.lit(2)), F.substr(run, F.lit(2)))
+        return F.concat(F.substring(capital, 1, 1), F.lower(rest))
+
+    return F.array_join(F.transform(runs, titled), "")
 
 
 def normalize_case(col: Column, format: str = "upper") -> Column:
