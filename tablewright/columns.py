@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,3 +58,12 @@ def present(df: DataFrame, name: str) -> Column:
 def count_if(condition: Column) -> Column:
     """Number of rows where the condition is true; 0 (not null) on an empty input."""
     return F.count_if(condition)
+
+
+def barrier(df: DataFrame, label: str) -> DataFrame:
+    """Keep later filters above the expressions computed so far.
+
+    Spark would otherwise push such a filter below the projections by copying their expressions
+    into it, level by level, and evaluate every cell rule several times.
+    """
+    return df.observe(f"{label}_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))

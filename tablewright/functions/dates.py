@@ -34,8 +34,13 @@ def default_pivot_year() -> int:
     return date.today().year + 50
 
 
-def _year_first(text: Column, dayfirst: bool, pivot: int) -> Column:
-    """Numeric forms as year, month and day: '-' if that order is certain, '/' if it may swap."""
+def date_text(col: Column) -> Column:
+    """First step: the stripped text without a time of day."""
+    return F.regexp_replace(strip(col), _TIME_SUFFIX, "")
+
+
+def year_first(text: Column, dayfirst: bool, pivot: int, allow_time: bool = False) -> Column:
+    """Second step: numeric forms as year, month, day; '-' if that order is certain, '/' if not."""
     last_century = "|".join(f"{y % 100:02d}" for y in range(pivot, 2100)) or "(?!)"
     short = "$1/$2/"
     for pattern, new in (
@@ -47,13 +52,30 @@ def _year_first(text: Column, dayfirst: bool, pivot: int) -> Column:
         (_MONTH_YEAR, "$2-$1-01"),
     ):
         text = F.regexp_replace(text, pattern, new)
-    return text
+    return F.regexp_replace(text, "^([0-9]{4})$", "$1-01-01") if allow_time else text
 
 
 def _cast(text: Column) -> Column:
     return F.regexp_extract(text, _ISO, 0).try_cast("date")
 
 
+def date_value(raw: Column, text: Column, ordered: Column, allow_time: bool = False) -> Column:
+    """Last step: the DATE, from the raw cell and the results of the two steps before."""
+    swapped = F.regexp_replace(ordered, "^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$", "$1-$3-$2")
+    named = F.regexp_replace(
+        F.regexp_replace(text, _MONTH_NAME_DAY, "$2-$1-$3"), _DAY_MONTH_NAME, "$1-$2-$3"
+    )
+    named = F.regexp_extract(named, "^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$", 0)
+    found = F.when(text.rlike("[A-Za-z]{3}"), F.try_to_date(F.nullif(named, F.lit("")), "d-MMM-yyyy")).otherwise(
+        F.coalesce(_cast(F.translate(ordered, "/", "-")), _cast(swapped))
+    )
+    # Most text of a non-date column ends here, before any of the patterns above.
+    possible = (F.length(text) <= _LONGEST) & text.rlike("[0-9]")
+    if not allow_time:
+        possible = possible & (~raw.rlike(_LEADING_YEAR) | raw.rlike(_ISO))
+    return F.when(possible, found)
+
+
 def parse_date(
     col: Column,
     dayfirst: bool = True,
@@ -66,25 +88,9 @@ def parse_date(
     unless ``allow_time`` also admits outer spaces, a time of day and a year alone. Forms with
     two leading numbers take day first or month first, and the other order if that is no date.
     """
-    pivot = pivot_year or default_pivot_year()
-    stripped = strip(col)
-    text = F.regexp_replace(stripped, _TIME_SUFFIX, "")
-    ordered = _year_first(text, dayfirst, pivot)
-    if allow_time:
-        ordered = F.regexp_replace(ordered, "^([0-9]{4})$", "$1-01-01")
-    swapped = F.regexp_replace(ordered, "^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$", "$1-$3-$2")
-    named = F.regexp_replace(
-        F.regexp_replace(text, _MONTH_NAME_DAY, "$2-$1-$3"), _DAY_MONTH_NAME, "$1-$2-$3"
-    )
-    found = F.when(
-        stripped.rlike("[A-Za-z]{3}"),
-        F.when(named.rlike("^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$"), F.try_to_date(named, "d-MMM-yyyy")),
-    ).otherwise(F.coalesce(_cast(F.translate(ordered, "/", "-")), _cast(swapped)))
-    # Most text of a non-date column ends here, before any of the patterns above.
-    possible = (F.length(stripped) <= _LONGEST) & stripped.rlike("[0-9]")
-    if not allow_time:
-        possible = possible & (~col.rlike(_LEADING_YEAR) | col.rlike(_ISO))
-    return F.when(possible, found)
+    text = date_text(col)
+    ordered = year_first(text, dayfirst, pivot_year or default_pivot_year(), allow_time)
+    return date_value(col, text, ordered, allow_time)
 
 
 def normalize_dates(

@@ -85,33 +85,55 @@ def _resolve_separators(text: Column, locale: str) -> Column:
     )
 
 
+_WRAPPED = r"(?s)^\((.*)\)$"
+
+
+def number_text(
+    col: Column, remove_currency: bool = True, handle_parentheses_negatives: bool = True
+) -> Column:
+    """First step: the text without accounting parentheses, currency marks and spaces."""
+    text = strip(col)
+    if handle_parentheses_negatives:
+        text = strip(F.regexp_replace(text, _WRAPPED, "$1"))
+    if remove_currency:
+        for mark in (*K.CURRENCY_CODES, *K.CURRENCY_SYMBOLS):
+            text = F.replace(text, F.lit(mark), F.lit(""))
+        text = strip(text)
+    return F.replace(text, F.lit(" "), F.lit(""))
+
+
+def number_value(
+    raw: Column,
+    text: Column,
+    locale: str = "auto",
+    handle_parentheses_negatives: bool = True,
+    convert_percentages: bool | Column = False,
+) -> Column:
+    """Last step: the double, from the raw cell and the text of the first step."""
+    sign, divisor = F.lit(1.0), F.lit(1.0)
+    if handle_parentheses_negatives:
+        sign = F.when(strip(raw).rlike(_WRAPPED), F.lit(-1.0)).otherwise(sign)
+    if convert_percentages is not False:
+        wanted = F.lit(True) if convert_percentages is True else convert_percentages
+        divisor = F.when(wanted & text.endswith("%"), F.lit(100.0)).otherwise(divisor)
+        text = strip(F.regexp_replace(text, F.when(wanted, r"%\z").otherwise("(?!)"), F.lit("")))
+    # Python's float() ignores outer whitespace, hence the last strip.
+    return parse_float(strip(_resolve_separators(text, locale))) * sign / divisor
+
+
 def normalize_numbers(
     col: Column,
     locale: str = "auto",
     remove_currency: bool = True,
     handle_parentheses_negatives: bool = True,
-    convert_percentages: bool = False,
+    convert_percentages: bool | Column = False,
 ) -> Column:
     """Locale-aware double of a money-like text, null where it cannot be read.
 
-    The intermediate text is used once per step, so the expression grows linearly.
+    ``convert_percentages`` may be a boolean column where each row decides for itself.
     """
-    text = strip(col)
-    factor = F.lit(1.0)
-    if handle_parentheses_negatives:
-        factor = F.when(text.rlike(r"(?s)^\(.*\)$"), F.lit(-1.0)).otherwise(F.lit(1.0))
-        text = strip(F.regexp_replace(text, r"(?s)^\((.*)\)$", "$1"))
-    if remove_currency:
-        for mark in (*K.CURRENCY_CODES, *K.CURRENCY_SYMBOLS):
-            text = F.replace(text, F.lit(mark), F.lit(""))
-        text = strip(text)
-    text = F.replace(text, F.lit(" "), F.lit(""))
-    divisor = F.lit(1.0)
-    if convert_percentages:
-        divisor = F.when(text.endswith("%"), F.lit(100.0)).otherwise(F.lit(1.0))
-        text = strip(F.regexp_replace(text, r"%\z", ""))
-    # Python's float() ignores outer whitespace, hence the last strip.
-    return parse_float(strip(_resolve_separators(text, locale))) * factor / divisor
+    text = number_text(col, remove_currency, handle_parentheses_negatives)
+    return number_value(col, text, locale, handle_parentheses_negatives, convert_percentages)
 
 
 def probe_number(col: Column) -> Column:

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.columns import ROW_ID, SOURCE_FILE, column, data_columns, text_columns
+from tablewright.columns import ROW_ID, SOURCE_FILE, barrier, column, data_columns, text_columns
 from tablewright.functions import text as cells
-from tablewright.functions.dates import default_pivot_year, normalize_dates
-from tablewright.functions.numbers import normalize_numbers
+from tablewright.functions.dates import default_pivot_year
 from tablewright.operators import rows
+from tablewright.plans.plan import date_steps, number_steps, run_steps
 from tablewright.plans.propose import PASSES, column_shapes, decisions
 
 # A decision table of at most this many cells is broadcast; above it Spark joins by shuffle and
@@ -35,11 +35,6 @@ def source_decisions(df: DataFrame, source: str = SOURCE_FILE) -> DataFrame:
     )
 
 
-def _number_text(cell: Column, percent: bool) -> Column:
-    number = normalize_numbers(cell, convert_percentages=percent)
-    return cells.as_text(number, T.DoubleType())
-
-
 def with_decisions(df: DataFrame, chosen: DataFrame, source: str, sources: int | None) -> DataFrame:
     small = sources is not None and sources * len(chosen.columns) <= BROADCAST_CELLS
     return df.join(F.broadcast(chosen) if small else chosen, source, "left")
@@ -83,10 +78,21 @@ def clean_sources(
         level(lambda i, c: F.when(on("invisibles", i), cells.strip_invisibles(c)).otherwise(c))
         level(lambda i, c: F.when(on("mixed_case", i), cells.title_case(c)).otherwise(c))
     if "pass2" in wanted:
+        # The read date and number are columns of their own, since the choice between them and
+        # the text form of the number read them several times.
+        for label, steps in (
+            ("_date", lambda i: date_steps(True, pivot)),
+            ("_number", lambda i: number_steps(convert_percentages=on("percent", i))),
+        ):
+            kind = label.strip("_")
+            out = out.select(
+                "*",
+                *[F.when(on("kind", i) == kind, column(n)).alias(f"{label}{i}") for i, n in enumerate(names)],
+            )
+            out = run_steps(out, {f"{label}{i}": steps(i) for i in range(len(names))})
         level(
-            lambda i, c: F.when(on("kind", i) == "date", normalize_dates(c, True, pivot))
-            .when((on("kind", i) == "number") & on("percent", i), _number_text(c, True))
-            .when(on("kind", i) == "number", _number_text(c, False))
+            lambda i, c: F.when(on("kind", i) == "date", F.col(f"_date{i}"))
+            .when(on("kind", i) == "number", cells.as_text(F.col(f"_number{i}"), T.DoubleType()))
             .otherwise(c)
         )
     if "pass3" in wanted:
@@ -94,7 +100,7 @@ def clean_sources(
     out = out.select(*[column(n) for n in df.columns])
     if "pass3" in wanted:
         values = [n for n in data_columns(df) if n != source]
-        out = rows.drop_empty_rows(out, values)
+        out = rows.drop_empty_rows(barrier(out, "rows_before_drop"), values)
         out = rows.dedupe_exact(out, values, scope=[source])
     return out
 

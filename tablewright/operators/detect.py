@@ -21,7 +21,7 @@ from tablewright.columns import (
 )
 from tablewright.functions import constants as K
 from tablewright.functions import text as cells
-from tablewright.functions.dates import parse_date
+from tablewright.functions.dates import date_text, date_value, default_pivot_year, year_first
 from tablewright.operators.profile import affected_ratio, profile, table_stats
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.operators.values import first_per_group, order_column, spelling_groups
@@ -69,11 +69,29 @@ class Check:
     total: int | None = None
 
 
-def _severity(check: Check) -> Column:
+def _literal(value: str | None) -> str:
+    """SQL text literal; the rows of issues are built as SQL text, one call per check."""
+    if value is None:
+        return "cast(null as string)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _severity(check: Check, affected: str, total: str) -> str:
     if check.category == "missing_values":
-        ratio = F.col("affected") / F.col("total")
-        return F.when(ratio > 0.5, "HIGH").when(ratio > 0.1, "MEDIUM").otherwise("LOW")
-    return F.lit(CATALOG[check.category][0])
+        ratio = f"{affected} / {total}"
+        return f"case when {ratio} > 0.5 then 'HIGH' when {ratio} > 0.1 then 'MEDIUM' else 'LOW' end"
+    return _literal(CATALOG[check.category][0])
+
+
+def _issue_row(i: int, check: Check) -> Column:
+    affected, total = f"a{i}", f"t{i}" if check.total is None else f"cast({check.total} as bigint)"
+    kept = f"{affected} > 0 and ({check.gate.replace('affected', affected).replace('total', total)})"
+    row = (
+        f"named_struct('check', {i}, 'position', {_ORDER[check.category] * _WIDTH + check.place}, "
+        f"'category', {_literal(check.category)}, 'column', {_literal(check.name)}, "
+        f"'severity', {_severity(check, affected, total)}, 'affected', {affected}, 'total', {total})"
+    )
+    return F.expr(f"case when {kept} then {row} end")
 
 
 def _run_checks(
@@ -88,27 +106,8 @@ def _run_checks(
         sums.append(F.count_if(check.counted).alias(f"t{i}"))
     df = _with_texts(df)
     counted = df.agg(*sums)
-    rows = [
-        F.struct(
-            F.lit(i).alias("check"),
-            F.lit(_ORDER[check.category] * _WIDTH + check.place).alias("position"),
-            F.lit(check.category).alias("category"),
-            F.lit(check.name).cast("string").alias("column"),
-            F.col(f"a{i}").alias("affected"),
-            (F.col(f"t{i}") if check.total is None else F.lit(check.total).cast("long")).alias("total"),
-        )
-        for i, check in enumerate(checks)
-    ]
-    issues = counted.select(F.inline(F.array(*rows))).filter(F.col("affected") > 0)
-    gates = {i: c.gate for i, c in enumerate(checks) if c.gate != "true"}
-    for i, gate in gates.items():
-        issues = issues.filter((F.col("check") != i) | F.expr(gate))
-    severity = reduce(
-        lambda chain, item: chain.when(F.col("check") == item[0], _severity(item[1])),
-        enumerate(checks),
-        F.when(F.lit(False), F.lit("")),
-    )
-    issues = issues.withColumn("severity", severity)
+    found = F.array_compact(F.array(*[_issue_row(i, check) for i, check in enumerate(checks)]))
+    issues = counted.select(F.inline(found))
     shown = [(i, c) for i, c in enumerate(checks) if c.value is not None]
     if examples and shown:
         found = _examples(df, shown, order_by)
@@ -133,10 +132,8 @@ def _finish(issues: DataFrame) -> DataFrame:
     """Add the fixed texts and put the columns in their order."""
 
     def text(index: int) -> Column:
-        chain = F.when(F.lit(False), F.lit(""))
-        for category, entry in CATALOG.items():
-            chain = chain.when(F.col("category") == category, F.lit(entry[index]))
-        return chain
+        cases = " ".join(f"when {_literal(c)} then {_literal(entry[index])}" for c, entry in CATALOG.items())
+        return F.expr(f"case category {cases} end")
 
     return issues.select(
         "position",
@@ -155,13 +152,20 @@ def _finish(issues: DataFrame) -> DataFrame:
 
 def _with_texts(df: DataFrame) -> DataFrame:
     """Add the stripped text of every column, computed once for all checks that read it."""
-    return df.select(
+    texts = df.select(
         "*",
         *[
             cells.strip(cells.as_text(present(df, n), type_of(df, n))).alias(f"_text{i}")
             for i, n in enumerate(data_columns(df))
         ],
     )
+    # The two steps of reading dates; columns that no check reads are pruned by the optimizer.
+    places = [i for i, n in enumerate(data_columns(df)) if is_text(df, n)]
+    plain = texts.select("*", *[date_text(F.col(f"_text{i}")).alias(f"_plain{i}") for i in places])
+    pivot = default_pivot_year()
+    return plain.select(
+        "*", *[year_first(F.col(f"_plain{i}"), False, pivot, True).alias(f"_ordered{i}") for i in places]
+    )
 
 
 def _text_of(df: DataFrame, name: str) -> Column:
@@ -244,7 +248,7 @@ def _date_checks(df, columns=None, min_ratio=0.6, hint=K.DATE_NAME_HINT):
             Check(
                 "inconsistent_dates",
                 n,
-                filled & parse_date(text, dayfirst=False, allow_time=True).isNull(),
+                filled & date_value(text, F.col(f"_plain{i}"), F.col(f"_ordered{i}"), True).isNull(),
                 filled,
                 i,
                 text,

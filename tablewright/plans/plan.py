@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.columns import column, data_columns, type_of
+from tablewright.columns import barrier, column, data_columns, type_of
 from tablewright.functions import dates, numbers, text
 from tablewright.operators import rows, shape
 from tablewright.plans.rules import (
@@ -24,30 +24,83 @@ from tablewright.plans.rules import (
 )
 
 
-def cell_expression(rule: Rule, cell: Column, data_type: T.DataType) -> Column:
-    """The cell after a cell rule. Rules for text leave columns of other types alone."""
-    parameters = {} if rule.action in WITHOUT_PARAMETERS else rule.parameters
+def cell_steps(rule: Rule, data_type: T.DataType) -> list[Callable[..., Column]]:
+    """The cell rule as steps; each gets the cell and the results of the steps before it.
+
+    A step whose result is read several times becomes a column of its own, so that neither the
+    plan nor the generated code repeats it. Rules for text leave columns of other types alone.
+    """
+    parameters = {} if rule.action in WITHOUT_PARAMETERS else dict(rule.parameters)
     textual = isinstance(data_type, T.StringType)
     if rule.action == "normalize_dates":
         if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            return F.date_format(cell, "yyyy-MM-dd")
-        return dates.normalize_dates(cell if textual else cell.cast("string"), **parameters)
+            return [lambda cell: F.date_format(cell, "yyyy-MM-dd")]
+        return date_steps(**parameters)
     if rule.action == "normalize_numbers" and not textual:
-        return F.nanvl(cell.cast("double"), F.lit(None).cast("double"))
+        return [lambda cell: F.nullif(cell.cast("double"), F.lit(float("nan")))]
     if not textual:
-        return cell
+        return [lambda cell: cell]
+    if rule.action == "normalize_numbers":
+        return number_steps(**parameters)
     if rule.action == "to_numeric_strict":
-        return numbers.to_numeric_strict(cell, rule.column)
+        return [lambda cell: numbers.to_numeric_strict(cell, rule.column)]
     functions = {
         "trim_text": text.trim_text,
         "blank_to_null": text.blank_to_null,
         "junk_to_null": text.junk_to_null,
         "normalize_case": text.normalize_case,
-        "normalize_numbers": numbers.normalize_numbers,
         "replace_values": text.replace_values,
         "strip_invisibles": text.strip_invisibles,
     }
-    return functions[rule.action](cell, **parameters)
+    return [lambda cell: functions[rule.action](cell, **parameters)]
+
+
+def date_steps(
+    dayfirst: bool = True, pivot_year: int | None = None, allow_time: bool = False
+) -> list[Callable[..., Column]]:
+    pivot = pivot_year or dates.default_pivot_year()
+    return [
+        lambda cell: dates.date_text(cell.cast("string")),
+        lambda cell, plain: dates.year_first(plain, dayfirst, pivot, allow_time),
+        lambda cell, plain, ordered: F.date_format(
+            dates.date_value(cell.cast("string"), plain, ordered, allow_time), "yyyy-MM-dd"
+        ),
+    ]
+
+
+def number_steps(
+    locale: str = "auto",
+    remove_currency: bool = True,
+    handle_parentheses_negatives: bool = True,
+    convert_percentages: bool | Column = False,
+) -> list[Callable[..., Column]]:
+    signed = handle_parentheses_negatives
+    return [
+        lambda cell: numbers.number_text(cell, remove_currency, signed),
+        lambda cell, plain: numbers.number_value(cell, plain, locale, signed, convert_percentages),
+    ]
+
+
+def run_steps(df: DataFrame, steps: dict[str, list[Callable[..., Column]]]) -> DataFrame:
+    """Replace each named column by the result of its last step; earlier steps are projected first."""
+    known = df.columns
+    position = {name: i for i, name in enumerate(known)}
+
+    def made(name: str, count: int) -> list[Column]:
+        return [column(name), *[F.col(f"_step{k}_{position[name]}") for k in range(count)]]
+
+    depth = max((len(chain) for chain in steps.values()), default=1)
+    for k in range(depth - 1):
+        early = {n: chain for n, chain in steps.items() if k < len(chain) - 1}
+        df = df.select(
+            "*", *[chain[k](*made(n, k)).alias(f"_step{k}_{position[n]}") for n, chain in early.items()]
+        )
+    return df.select(
+        *[
+            steps[n][-1](*made(n, len(steps[n]) - 1)).alias(n) if n in steps else column(n)
+            for n in known
+        ]
+    )
 
 
 def apply_cell_rules(
@@ -73,15 +126,9 @@ def apply_cell_rules(
             traced = {n: r for n, r in level.items() if r.action in LOSSY_ACTIONS}
         before = {name: f"_before_{len(flags) + i}" for i, name in enumerate(traced)} if traced else {}
         known = df.columns
-        df = df.select(
-            *[
-                cell_expression(level[name], column(name), type_of(df, name)).alias(name)
-                if name in level
-                else column(name)
-                for name in known
-            ],
-            *[column(name).isNotNull().alias(alias) for name, alias in before.items()],
-        )
+        if before:
+            df = df.select("*", *[column(name).isNotNull().alias(alias) for name, alias in before.items()])
+        df = run_steps(df, {name: cell_steps(rule, type_of(df, name)) for name, rule in level.items()})
         if before:
             lost = {name: f"_lost_{len(flags) + i}" for i, name in enumerate(traced)}
             df = df.select(
@@ -175,8 +222,12 @@ class Plan:
         ``scope`` names columns (such as the source file) that split the input into separate
         tables for duplicate removal.
         """
+        cells_changed = False
         for run in self.steps():
+            if cells_changed and run[0].action == "drop_empty_rows":
+                df = barrier(df, "rows_before_drop")
             df = _apply_run(df, run, order_by, scope)
+            cells_changed = cells_changed or run[0].action not in ROW_ACTIONS
         return df
 
     def check_strict(self, df: DataFrame, order_by: Sequence[str] | None = None) -> None:

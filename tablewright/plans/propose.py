@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tablewright.columns import column, text_columns
 from tablewright.functions import constants as K
 from tablewright.functions import text as cells
-from tablewright.functions.dates import parse_date
+from tablewright.functions.dates import date_text, date_value, default_pivot_year, year_first
 from tablewright.functions.numbers import probe_number
 from tablewright.operators.values import spelling_groups
 from tablewright.plans import rules as R
@@ -46,6 +46,22 @@ def column_shapes(df: DataFrame, columns: Sequence[str] | None = None, by: Seque
     names = list(columns or text_columns(df))
     groups = spelling_groups(df, names, by)
     df = df.select("*", *[cells.strip(column(n)).alias(f"_text{i}") for i, n in enumerate(names)])
+    places = range(len(names))
+    df = df.select("*", *[date_text(F.col(f"_text{i}")).alias(f"_plain{i}") for i in places])
+    pivot = default_pivot_year()
+    df = df.select(
+        "*", *[year_first(F.col(f"_plain{i}"), True, pivot, True).alias(f"_ordered{i}") for i in places]
+    )
+    df = df.select(
+        "*",
+        *[
+            date_value(F.col(f"_text{i}"), F.col(f"_plain{i}"), F.col(f"_ordered{i}"), True)
+            .isNotNull()
+            .alias(f"_is_date{i}")
+            for i in places
+        ],
+        *[probe_number(F.col(f"_text{i}")).isNotNull().alias(f"_is_number{i}") for i in places],
+    )
     sums = []
     for i, name in enumerate(names):
         raw, text = column(name), F.col(f"_text{i}")
@@ -54,8 +70,8 @@ def column_shapes(df: DataFrame, columns: Sequence[str] | None = None, by: Seque
             F.coalesce(F.bool_or(raw != text), F.lit(False)).alias(f"outer_space{i}"),
             F.coalesce(F.bool_or(raw.rlike(K.INVISIBLE_EVIDENCE)), F.lit(False)).alias(f"invisibles{i}"),
             F.count_if(filled).alias(f"filled{i}"),
-            F.count_if(filled & parse_date(text, True, allow_time=True).isNotNull()).alias(f"dates{i}"),
-            F.count_if(filled & probe_number(text).isNotNull()).alias(f"numbers{i}"),
+            F.count_if(filled & F.col(f"_is_date{i}")).alias(f"dates{i}"),
+            F.count_if(filled & F.col(f"_is_number{i}")).alias(f"numbers{i}"),
             F.coalesce(F.bool_or(filled & raw.rlike(K.NUMBER_EVIDENCE)), F.lit(False)).alias(f"evidence{i}"),
             F.count_if(filled & raw.endswith("%")).alias(f"percents{i}"),
         ]

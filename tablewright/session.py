@@ -11,7 +11,10 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def build_session(app: str = "tablewright", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the settings the engine expects; extra settings use '_' for '.'."""
+    """Session with the settings the engine expects; extra settings use '_' for '.'.
+
+    ANSI mode stays on: every cast of cell values in this package is a ``try_cast``.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -21,6 +24,8 @@ def build_session(app: str = "tablewright", master: str | None = None, **conf: s
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # Recording the Python call site of every column function slows down wide plans.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update({key.replace("_", "."): value for key, value in conf.items()})
     for key, value in settings.items():
