@@ -592,3 +592,28 @@ ORACLE["clean_segments"] = _with(
       FROM (SELECT *, {junk('status', _quote('n.d.'), True)} AS s FROM ({numbers('dirty_customer', 'amount')})
         QUALIFY row_number() OVER (PARTITION BY email, phone ORDER BY c_custkey) = 1) GROUP BY segment""",
 )
+
+# Sources, sinks and streams ---------------------------------------------------------------------
+
+ORACLE["csv_roundtrip"] = """SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN regexp_matches("text", '^[=+@\\t-]')
+    THEN '''' || "text" ELSE "text" END AS text FROM documents"""
+ORACLE["delimiter_sniff"] = _with(
+    "dirty_customer", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, nullif(amount, '') AS amount, phone FROM dirty_customer"
+)
+ORACLE["header_normalise"] = """SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS "Columna_2",
+    CAST(n_regionkey AS VARCHAR) AS region FROM nation"""
+ORACLE["encoding_detect"] = "SELECT doc_id || '#' || replace(lower(lang), 'e', '€') AS line FROM documents"
+ORACLE["infer_column_types"] = """SELECT l_orderkey, l_quantity, l_returnflag, CAST(l_linenumber AS BIGINT) AS l_linenumber
+    FROM lineitem"""
+ORACLE["ragged_rows"] = """SELECT CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'kept' END AS part,
+    CASE event_type WHEN 'error' THEN 'too many fields' WHEN 'view' THEN NULL ELSE event_type END AS kind, count(*) AS n
+    FROM events GROUP BY ALL"""
+ORACLE["file_inventory"] = """SELECT name, '.parquet' AS suffix, 'unsupported file type' AS problem FROM (VALUES ('region'),
+    ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'),
+    ('pages'), ('benchmark'), ('labels'), ('conversations')) t(name)"""
+ORACLE["incremental_folder_clean"] = _with(
+    _SALES,
+    f"""SELECT CASE WHEN region = 'F' THEN 0 ELSE 1 END AS batch, CAST(o_orderkey AS VARCHAR) AS o_orderkey, region,
+      number AS amount, {title('label')} AS label FROM ({numbers(_SALES, 'amount')})""",
+)
+ORACLE["folder_batch"] = """SELECT 0 AS processed_invalid, 0 AS errors, count(*) AS total_rows_before, 0 AS unpublished FROM orders"""

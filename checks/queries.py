@@ -14,8 +14,14 @@ from tablewright.operators import audit, batch, detect, profile, rows, shape, va
 from tablewright.plans import intake, propose
 from tablewright.plans import rules as R
 from tablewright.plans.plan import Plan
+from tablewright.folder import clean_folder
+from tablewright.operators.validate import ValidationResult
 from tablewright.runner import stage
-from tablewright.sinks.publish import neutralize_formulas
+from tablewright.session import new_path
+from tablewright.sinks.publish import neutralize_formulas, publish
+from tablewright.sources.inventory import inventory
+from tablewright.sources.text import infer_types, read_text
+from tablewright.streaming.incremental import clean_new_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -548,3 +554,113 @@ def clean_segments(spark, sf_dir):
         F.count("status").alias("with_status"),
         F.round(F.sum("amount"), 2).alias("total_amount"),
     )
+
+
+# Sources, sinks and streams ---------------------------------------------------------------------
+# The files are written by Spark from the given tables, so their size follows the tables.
+
+
+def _written(df: DataFrame, label: str, sep: str = ",") -> str:
+    path = new_path(df.sparkSession, label)
+    df.write.option("header", True).option("sep", sep).option("escape", '"').option("emptyValue", "").csv(path)
+    return path
+
+
+@query
+def csv_roundtrip(spark, sf_dir):
+    """Quoted texts with line breaks and quotes, published as text files and read back."""
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    path = new_path(spark, "published")
+    publish(documents, path, ValidationResult(True), "csv")
+    good, _ = read_text(spark, [path])
+    return good.select("doc_id", "text")
+
+
+@query
+def delimiter_sniff(spark, sf_dir):
+    """Semicolon files with commas inside the fields."""
+    customers = view(spark, sf_dir, "dirty_customer").select("c_custkey", "amount", "phone")
+    good, _ = read_text(spark, _written(customers, "semicolon", ";"))
+    return good.select("c_custkey", "amount", "phone")
+
+
+@query
+def header_normalise(spark, sf_dir):
+    """A blank header is numbered, an outer space in a name goes."""
+    nations = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias(" key "), F.col("n_name").alias(" "), F.col("n_regionkey").alias("region")
+    )
+    good, _ = read_text(spark, _written(nations, "headers"))
+    return good.select("key", "Columna_2", "region")
+
+
+@query
+def encoding_detect(spark, sf_dir):
+    """Documents written in Windows-1252 bytes; the reader must find that out."""
+    lines = table(spark, sf_dir, "documents").select(
+        F.concat_ws("#", F.col("doc_id").cast("string"), F.translate(F.lower("lang"), "e", "€")).alias("value")
+    )
+    path = new_path(spark, "bytes")
+    # Latin-1 writes the code point 80 as the byte that Windows-1252 reads as the euro sign.
+    lines.select(F.translate("value", "€", "\x80").alias("value")).write.option("encoding", "ISO-8859-1").option(
+        "header", True
+    ).csv(path)
+    good, _ = read_text(spark, path)
+    return good.select(F.col("value").alias("line"))
+
+
+@query
+def infer_column_types(spark, sf_dir):
+    """Every column read as text, then given the type that all of its values have."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag", "l_linenumber")
+    good, _ = read_text(spark, _written(lines, "typed"))
+    return infer_types(good).select("l_orderkey", "l_quantity", "l_returnflag", "l_linenumber")
+
+
+@query
+def ragged_rows(spark, sf_dir):
+    """Rows with a surplus field are set aside, shorter rows are padded."""
+    lines = table(spark, sf_dir, "events").select(
+        F.when(F.col("event_type") == "error", F.concat_ws(",", "event_id", "user_id", "event_type", "value"))
+        .when(F.col("event_type") == "view", F.col("event_id").cast("string"))
+        .otherwise(F.concat_ws(",", "event_id", "user_id", "event_type"))
+        .alias("event_id,user_id,event_type")
+    )
+    path = new_path(spark, "ragged")
+    # A separator that the lines do not hold, so that they are written as they are.
+    lines.write.option("header", True).option("sep", "\x01").csv(path)
+    good, bad = read_text(spark, path)
+    kept = good.select(F.lit("kept").alias("part"), F.col("event_type").alias("kind"))
+    return kept.unionByName(bad.select(F.lit("rejected").alias("part"), F.col("reason").alias("kind"))).groupBy(
+        "part", "kind"
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def file_inventory(spark, sf_dir):
+    files = inventory(spark, sf_dir, suffixes=[".parquet"])
+    return files.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"), "suffix", "problem")
+
+
+@query
+def incremental_folder_clean(spark, sf_dir):
+    """Two deliveries of sales; the second call cleans only what is new."""
+    sales = view(spark, sf_dir, "messy_sales").select("o_orderkey", "region", "amount", "label")
+    folder, target, checkpoint = (new_path(spark, label) for label in ("in", "out", "progress"))
+    plan = Plan((R.trim_text("amount"), R.normalize_numbers("amount"), R.normalize_case("label", "title"))).approve()
+    for delivery in ("region = 'F'", "region <> 'F'"):
+        sales.filter(delivery).write.mode("append").option("header", True).csv(folder)
+        clean_new_files(spark, folder, sales.withColumn("o_orderkey", F.col("o_orderkey").cast("string")).schema, plan, target, checkpoint).awaitTermination()
+    return spark.read.parquet(target).select("batch", "o_orderkey", "region", "amount", "label")
+
+
+@query
+def folder_batch(spark, sf_dir):
+    """A folder of sales files, one folder per region, cleaned and published as one batch."""
+    sales = view(spark, sf_dir, "messy_sales").select("region", "label", "note")
+    folder = new_path(spark, "sales")
+    sales.write.partitionBy("region").option("header", True).option("emptyValue", "").option("escape", '"').csv(folder)
+    run = clean_folder(spark, folder, new_path(spark, "cleaned"))
+    return run.summary.select("processed_invalid", "errors", "total_rows_before", "total_rows_removed").withColumn(
+        "published", F.lit(spark.read.option("multiLine", True).option("header", True).csv(run.output).count()).cast("long")
+    ).select("processed_invalid", "errors", "total_rows_before", (F.col("total_rows_before") - F.col("total_rows_removed") - F.col("published")).alias("unpublished"))
