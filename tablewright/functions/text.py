@@ -108,7 +108,8 @@ def java_replacement(template: str) -> str:
         if name is not None:
             return f"${name}" if name.isdigit() else f"${{{name}}}"
         if escaped is not None:
-            return {"n": "\n", "t": "\t", "r": "\r"}.get(escaped, re.escape("\\" + escaped))
+            known = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\\\"}
+            return known.get(escaped, "\\\\" + re.escape(escaped))
         return "\\$" if plain == "$" else plain
 
     return re.sub(r"\\(\d)|\\g<(\w+)>|\\(.)|(.)", one, template, flags=re.DOTALL)
