@@ -52,16 +52,17 @@ CATALOG = {
 }
 _ORDER = {category: i for i, category in enumerate(CATALOG)}
 _WIDTH = 100_000
+COLUMNS_PER_SCAN = 16
 
 
 @dataclass
 class Check:
-    """A countable condition on the rows: affected where ``flag``, out of ``counted``."""
+    """A countable condition on the rows: affected where ``flag``, out of ``counted`` (or all rows)."""
 
     category: str
     name: str | None
     flag: Column
-    counted: Column
+    counted: Column | None
     place: int = 0
     value: Column | None = None
     gate: str = "true"
@@ -103,8 +104,8 @@ def _run_checks(
     sums = []
     for i, check in enumerate(checks):
         sums.append(F.count_if(check.flag).alias(f"a{i}"))
-        sums.append(F.count_if(check.counted).alias(f"t{i}"))
-    df = _with_texts(df)
+        sums.append(F.count(F.lit(1) if check.counted is None else F.when(check.counted, 1)).alias(f"t{i}"))
+    df = _with_texts(df, {check.place for check in checks})
     counted = df.agg(*sums)
     found = F.array_compact(F.array(*[_issue_row(i, check) for i, check in enumerate(checks)]))
     issues = counted.select(F.inline(found))
@@ -150,21 +151,23 @@ def _finish(issues: DataFrame) -> DataFrame:
     )
 
 
-def _with_texts(df: DataFrame) -> DataFrame:
-    """Add the stripped text of every column, computed once for all checks that read it."""
+def _with_texts(df: DataFrame, places: set[int]) -> DataFrame:
+    """Add the stripped text of the columns in question, computed once for all their checks."""
+    names = data_columns(df)
+    wanted = sorted(places)
     texts = df.select(
         "*",
         *[
-            cells.strip(cells.as_text(present(df, n), type_of(df, n))).alias(f"_text{i}")
-            for i, n in enumerate(data_columns(df))
+            cells.strip(cells.as_text(present(df, names[i]), type_of(df, names[i]))).alias(f"_text{i}")
+            for i in wanted
         ],
     )
     # The two steps of reading dates; columns that no check reads are pruned by the optimizer.
-    places = [i for i, n in enumerate(data_columns(df)) if is_text(df, n)]
-    plain = texts.select("*", *[date_text(F.col(f"_text{i}")).alias(f"_plain{i}") for i in places])
+    dated = [i for i in wanted if is_text(df, names[i])]
+    plain = texts.select("*", *[date_text(F.col(f"_text{i}")).alias(f"_plain{i}") for i in dated])
     pivot = default_pivot_year()
     return plain.select(
-        "*", *[year_first(F.col(f"_plain{i}"), False, pivot, True).alias(f"_ordered{i}") for i in places]
+        "*", *[year_first(F.col(f"_plain{i}"), False, pivot, True).alias(f"_ordered{i}") for i in dated]
     )
 
 
@@ -190,21 +193,21 @@ def _only_text(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[int,
 def _auto_named_checks(df, columns=None):
     names = [n for n in data_columns(df) if re.fullmatch(K.AUTO_NAME, n)]
     return [
-        Check("auto_named_column", n, present(df, n).isNotNull(), F.lit(True), i)
+        Check("auto_named_column", n, present(df, n).isNotNull(), None, i)
         for i, n in _places(df, columns, names)
+        if n in names
     ]
 
 
 def _empty_row_checks(df):
     names = data_columns(df)
-    filled = [present(df, n).isNotNull() for n in names]
-    empty = ~F.exists(F.array(*filled), lambda f: f)
-    return [Check("empty_rows", None, empty, F.lit(True))]
+    filled = [F.when(present(df, n).isNotNull(), True) for n in names]
+    return [Check("empty_rows", None, F.coalesce(*filled).isNull(), None)]
 
 
 def _missing_checks(df, columns=None):
     return [
-        Check("missing_values", n, present(df, n).isNull(), F.lit(True), i)
+        Check("missing_values", n, present(df, n).isNull(), None, i)
         for i, n in _places(df, columns, data_columns(df))
     ]
 
@@ -283,7 +286,8 @@ def _phone_checks(df, columns=None, hint=K.PHONE_NAME_HINT):
 
 
 def _outlier_checks(df, columns=None, min_samples=10, quantiles=None):
-    places = _places(df, columns, number_columns(df))
+    numeric = set(number_columns(df))
+    places = [(i, n) for i, n in _places(df, columns, numeric) if n in numeric]
     bounds = quantiles if quantiles is not None else exact_quantiles(df, [n for _, n in places], (0.25, 0.75))
     checks = []
     for i, n in places:
@@ -490,23 +494,29 @@ class Report:
 def analyze_issues(df: DataFrame, examples: bool = True, order_by: str | None = None) -> DataFrame:
     """Issues of all detectors, in emission order by ``position``.
 
-    Every row-level check shares one aggregate; only duplicates and spelling variants, which need
-    a shuffle of the data, add a branch of their own.
+    The row-level checks of a column share one aggregate; only duplicates and spelling variants,
+    which need a shuffle of the data, add a branch of their own.
     """
-    checks = [
-        *_auto_named_checks(df),
-        *_empty_row_checks(df),
-        *_missing_checks(df),
-        *_blank_checks(df),
-        *_whitespace_checks(df),
-        *_number_text_checks(df),
-        *_outlier_checks(df),
-        *_date_checks(df),
-        *_email_checks(df),
-        *_phone_checks(df),
-    ]
-    parts = [
-        _run_checks(df, checks, examples, order_by),
+    names = data_columns(df)
+    bounds = exact_quantiles(df, number_columns(df), (0.25, 0.75))
+    parts = [_run_checks(df, _empty_row_checks(df))]
+    # A scan per group of columns reads each column once, like one scan of all, but keeps the
+    # generated code of a wide table small.
+    for at in range(0, len(names), COLUMNS_PER_SCAN):
+        some = names[at : at + COLUMNS_PER_SCAN]
+        checks = [
+            *_auto_named_checks(df, some),
+            *_missing_checks(df, some),
+            *_blank_checks(df, some),
+            *_whitespace_checks(df, some),
+            *_number_text_checks(df, some),
+            *_outlier_checks(df, some, quantiles=bounds),
+            *_date_checks(df, some),
+            *_email_checks(df, [n for n in some if re.search(K.EMAIL_NAME_HINT, n, re.IGNORECASE)]),
+            *_phone_checks(df, [n for n in some if re.search(K.PHONE_NAME_HINT, n, re.IGNORECASE)]),
+        ]
+        parts.append(_run_checks(df, checks, examples, order_by))
+    parts += [
         empty_columns(df),
         _duplicate_issues(df, ["exact_duplicates", "possible_duplicates"]),
         case_variants(df, examples=examples),

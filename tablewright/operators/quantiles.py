@@ -6,26 +6,36 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.columns import present
 
 ACCURACY = 10_000
-# Values of one bracket that may be sorted together.
+# Values between two brackets that may be sorted together.
 BRACKET_LIMIT = 200_000
 
 
 @dataclass
 class _Search:
-    """One order statistic pair (rank, rank + 1) and the closed value range that holds it."""
+    """The value at one rank (from 0), known to lie between ``low`` and ``high``."""
 
-    column: str
-    probability: float
+    place: int
     rank: int
-    last: int
     low: float
     high: float
+    margin: float
+
+    @property
+    def cell(self) -> Column:
+        return F.col(f"`{self.place}`")
+
+    @property
+    def between(self) -> Column:
+        return F.when((self.cell > self.low) & (self.cell < self.high), self.cell)
+
+    def sketch(self, share: float) -> list[float]:
+        return [max(share - self.margin, 0.0), min(share + self.margin, 1.0)]
 
 
 def exact_quantiles(
@@ -34,108 +44,100 @@ def exact_quantiles(
     """Linear-interpolated quantiles per column, or None for a column without values.
 
     ``percentile`` would gather every distinct value of a column in one task. Instead a sketch
-    brackets each quantile, one aggregate counts what lies below and inside the bracket, and only
-    a bracket of at most ``limit`` values is sorted. A wider bracket is narrowed again by the same
-    step; equal values end it at once. All columns share each pass.
+    brackets each wanted rank, one aggregate counts the values below, at and between the ends,
+    and only at most ``limit`` values between the ends are ever sorted. A larger rest is
+    bracketed again; each round leaves the ends out, so it always shrinks. All columns share
+    each round, and the sketch leaves about one value in five thousand.
     """
     names = list(columns)
     if not names:
         return {}
-    values = df.select(
-        *[present(df, name).cast("double").alias(str(i)) for i, name in enumerate(names)]
-    )
+    values = df.select(*[present(df, n).cast("double").alias(str(i)) for i, n in enumerate(names)])
     margin = 2.0 / ACCURACY
-    sketch = []
+    sums = []
     for i in range(len(names)):
         cell = F.col(f"`{i}`")
         points = [q for p in probabilities for q in (max(p - margin, 0.0), min(p + margin, 1.0))]
-        sketch += [
+        sums += [
             F.count(cell).alias(f"n{i}"),
             F.min(cell).alias(f"lo{i}"),
             F.max(cell).alias(f"hi{i}"),
             F.percentile_approx(cell, points, ACCURACY).alias(f"q{i}"),
         ]
-    first = values.agg(*sketch).first()
-    answers: dict[tuple[int, float], float] = {}
-    open_searches: list[tuple[int, _Search]] = []
-    ranges = {}
-    for i, name in enumerate(names):
+    first = values.agg(*sums).first()
+    ends = {i: (first[f"lo{i}"], first[f"hi{i}"]) for i in range(len(names))}
+    found: dict[tuple[int, int], float] = {}
+    searches = []
+    for i in range(len(names)):
         n = first[f"n{i}"]
-        ranges[i] = (first[f"lo{i}"], first[f"hi{i}"])
         for k, p in enumerate(probabilities):
-            if n:
-                rank = math.floor(p * (n - 1))
+            for rank in _ranks(n, p):
                 low, high = first[f"q{i}"][2 * k], first[f"q{i}"][2 * k + 1]
-                open_searches.append((i, _Search(name, p, rank, n - 1, low, high)))
-    while open_searches:
-        open_searches = _narrow(values, open_searches, ranges, answers, limit)
+                searches.append(_Search(i, rank, low, high, margin))
+    while searches:
+        searches = _narrow(values, searches, ends, found, limit)
+
+    def value(i: int, p: float) -> float:
+        at = p * (first[f"n{i}"] - 1)
+        low, high = (found[(i, rank)] for rank in (math.floor(at), math.ceil(at)))
+        return low + (high - low) * (at - math.floor(at))
+
     return {
-        name: [answers[(i, p)] for p in probabilities] if first[f"n{i}"] else None
+        name: [value(i, p) for p in probabilities] if first[f"n{i}"] else None
         for i, name in enumerate(names)
     }
 
 
-def _narrow(values, searches, ranges, answers, limit):
-    """One pass over the data for all open searches; returns those still open."""
+def _ranks(n: int, p: float) -> set[int]:
+    return {math.floor(p * (n - 1)), math.ceil(p * (n - 1))} if n else set()
+
+
+def _narrow(
+    values: DataFrame,
+    searches: list[_Search],
+    ends: dict[int, tuple[float, float]],
+    found: dict[tuple[int, int], float],
+    limit: int,
+) -> list[_Search]:
+    """One counting pass for all open searches, then one pass over what is left between the ends."""
     counts = []
-    for s, (i, search) in enumerate(searches):
-        cell = F.col(f"`{i}`")
-        inside = (cell >= search.low) & (cell <= search.high)
-        counts += [F.count_if(cell < search.low).alias(f"b{s}"), F.count_if(inside).alias(f"c{s}")]
+    for s, one in enumerate(searches):
+        counts += [
+            F.count_if(one.cell < one.low).alias(f"b{s}"),
+            F.count_if(one.cell == one.low).alias(f"l{s}"),
+            F.count(one.between).alias(f"i{s}"),
+            F.count_if((one.cell == one.high) & F.lit(one.low != one.high)).alias(f"h{s}"),
+        ]
     row = values.agg(*counts).first()
-    small, large, still = [], [], []
-    for s, (i, search) in enumerate(searches):
-        below, inside = row[f"b{s}"], row[f"c{s}"]
-        second = min(search.rank + 1, search.last)
-        if not (below <= search.rank and second < below + inside):
-            # The sketch missed: fall back to the whole range, which always holds both ranks.
-            search.low, search.high = ranges[i]
-            still.append((i, search))
-        elif search.low == search.high:
-            answers[(i, search.probability)] = search.low
-        elif inside <= limit:
-            small.append((i, search, below))
+    still: list[_Search] = []
+    inner: list[tuple[_Search, int, int]] = []
+    for s, one in enumerate(searches):
+        at = one.rank - row[f"b{s}"]
+        inside = row[f"i{s}"]
+        if not 0 <= at < row[f"l{s}"] + inside + row[f"h{s}"]:
+            # The sketch missed the rank: start again from the whole range with a wider margin.
+            one.low, one.high = ends[one.place]
+            one.margin *= 2
+            still.append(one)
+        elif at < row[f"l{s}"]:
+            found[(one.place, one.rank)] = one.low
+        elif at >= row[f"l{s}"] + inside:
+            found[(one.place, one.rank)] = one.high
+        else:
+            inner.append((one, at - row[f"l{s}"], inside))
+    if not inner:
+        return still
+    reads = []
+    for s, (one, at, inside) in enumerate(inner):
+        if inside <= limit:
+            reads.append(F.get(F.sort_array(F.collect_list(one.between)), F.lit(at)).alias(f"v{s}"))
         else:
-            large.append((i, search, below, inside))
-    if small:
-        _finish(values, small, answers)
-    if large:
-        still += _sketch_inside(values, large)
+            reads.append(F.percentile_approx(one.between, one.sketch((at + 1) / inside), ACCURACY).alias(f"v{s}"))
+    row = values.agg(*reads).first()
+    for s, (one, _, inside) in enumerate(inner):
+        if inside <= limit:
+            found[(one.place, one.rank)] = row[f"v{s}"]
+        else:
+            one.low, one.high = row[f"v{s}"]
+            still.append(one)
     return still
-
-
-def _finish(values, small, answers):
-    """Sort brackets that were counted to be small and read the two order statistics."""
-    picked = []
-    for s, (i, search, below) in enumerate(small):
-        cell = F.col(f"`{i}`")
-        inside = F.when((cell >= search.low) & (cell <= search.high), cell)
-        at = search.rank - below
-        picked.append(F.slice(F.sort_array(F.collect_list(inside)), at + 1, 2).alias(f"v{s}"))
-    row = values.agg(*picked).first()
-    for s, (i, search, _) in enumerate(small):
-        pair = row[f"v{s}"]
-        share = search.probability * search.last - search.rank
-        low, high = pair[0], pair[-1]
-        answers[(i, search.probability)] = low + (high - low) * share
-
-
-def _sketch_inside(values, large):
-    """Narrow brackets that hold too many values, by their own sketch."""
-    points = []
-    margin = 2.0 / ACCURACY
-    for s, (i, search, below, inside) in enumerate(large):
-        cell = F.col(f"`{i}`")
-        share = (search.rank - below) / inside
-        around = [max(share - margin, 0.0), min(share + margin, 1.0)]
-        points.append(
-            F.percentile_approx(
-                F.when((cell >= search.low) & (cell <= search.high), cell), around, ACCURACY
-            ).alias(f"p{s}")
-        )
-    row = values.agg(*points).first()
-    narrowed = []
-    for s, (i, search, _, _) in enumerate(large):
-        search.low, search.high = row[f"p{s}"][0], row[f"p{s}"][1]
-        narrowed.append((i, search))
-    return narrowed

@@ -14,6 +14,7 @@ from tablewright.functions import constants as K
 from tablewright.functions import text as cells
 from tablewright.functions.dates import date_text, date_value, default_pivot_year, year_first
 from tablewright.functions.numbers import probe_number
+from tablewright.operators.detect import COLUMNS_PER_SCAN
 from tablewright.operators.values import spelling_groups
 from tablewright.plans import rules as R
 from tablewright.plans.plan import Plan
@@ -44,9 +45,21 @@ def column_shapes(df: DataFrame, columns: Sequence[str] | None = None, by: Seque
     the source file): one aggregate over all columns, plus one grouping for spellings.
     """
     names = list(columns or text_columns(df))
-    groups = spelling_groups(df, names, by)
-    df = df.select("*", *[cells.strip(column(n)).alias(f"_text{i}") for i, n in enumerate(names)])
-    places = range(len(names))
+    parts = []
+    for at in range(0, len(names), COLUMNS_PER_SCAN):
+        parts.append(_shapes(df, dict(enumerate(names[at : at + COLUMNS_PER_SCAN], start=at)), by))
+    shapes = reduce(DataFrame.unionByName, parts)
+    spelled = spelling_groups(df, names, by).groupBy(*[column(b) for b in by], "pos").agg(
+        ((F.max("spellings") > 1) & (F.count(F.lit(1)) > 1)).alias("mixed_case")
+    )
+    joined = shapes.join(spelled, [*by, "pos"], "left")
+    return joined.withColumn("mixed_case", F.coalesce("mixed_case", F.lit(False)))
+
+
+def _shapes(df: DataFrame, names: dict[int, str], by: Sequence[str]) -> DataFrame:
+    """The facts of some columns, one aggregate; steps that are read twice are projected first."""
+    df = df.select("*", *[cells.strip(column(n)).alias(f"_text{i}") for i, n in names.items()])
+    places = list(names)
     df = df.select("*", *[date_text(F.col(f"_text{i}")).alias(f"_plain{i}") for i in places])
     pivot = default_pivot_year()
     df = df.select(
@@ -63,7 +76,7 @@ def column_shapes(df: DataFrame, columns: Sequence[str] | None = None, by: Seque
         *[probe_number(F.col(f"_text{i}")).isNotNull().alias(f"_is_number{i}") for i in places],
     )
     sums = []
-    for i, name in enumerate(names):
+    for i, name in names.items():
         raw, text = column(name), F.col(f"_text{i}")
         filled = text != ""
         sums += [
@@ -79,14 +92,9 @@ def column_shapes(df: DataFrame, columns: Sequence[str] | None = None, by: Seque
     wide = df.groupBy(*[column(b) for b in by]).agg(*sums) if by else df.agg(*sums)
     rows = [
         F.struct(F.lit(str(i)).alias("pos"), *[F.col(f"{f}{i}").alias(f) for f in facts])
-        for i in range(len(names))
+        for i in names
     ]
-    shapes = wide.select(*[column(b) for b in by], F.inline(F.array(*rows)))
-    spelled = groups.groupBy(*[column(b) for b in by], "pos").agg(
-        ((F.max("spellings") > 1) & (F.count(F.lit(1)) > 1)).alias("mixed_case")
-    )
-    joined = shapes.join(spelled, [*by, "pos"], "left")
-    return joined.withColumn("mixed_case", F.coalesce("mixed_case", F.lit(False)))
+    return wide.select(*[column(b) for b in by], F.inline(F.array(*rows)))
 
 
 def decisions(shapes: DataFrame) -> DataFrame:

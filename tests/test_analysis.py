@@ -98,7 +98,7 @@ def test_safe_payload_holds_no_values(spark):
 
 
 def test_proposed_passes(spark):
-    data = [(i, f"0{i % 9 + 1}/05/2026", f"$ {i}.250,50", " Ana " if i % 2 else "ana", "08011", "5%") for i in range(10)]
+    data = [(i, f"0{i % 9 + 1}/05/2026", f"$ {i}.250,50", (" Ana " if i % 2 else "ana") if i else "Beto", "08011", "5%") for i in range(10)]
     df = spark.createDataFrame(data, f"{ROW_ID} long, d string, m string, n string, zip string, p string")
     pipeline = propose.propose(df)
     one, two, three = (pipeline.passes[k].rules for k in propose.PASSES)
