@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,12 @@ def canonical_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:///")
 
 
+def metadata_path() -> Column:
+    """The path of the file a row comes from; Spark keeps it in URL form there."""
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return canonical_path(plain)
+
+
 def inventory(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -34,12 +41,20 @@ def inventory(
         if "PATH_NOT_FOUND" in str(error):
             raise IngestError(f"not found: {wanted}") from error
         raise
-    listed = files.select(
-        canonical_path(F.col("path")).alias("path"),
-        F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("suffix"),
-        "length",
-        F.col("modificationTime").alias("modified"),
-    ).filter(F.col("suffix").isin(*suffixes))
+    filled = files.select(
+        canonical_path(F.col("path")).alias("path"), "length", F.col("modificationTime").alias("modified")
+    )
+    # A scan leaves out files without content, so those come from the listing itself.
+    names = [(unquote(path),) for path in files.inputFiles()]
+    every = spark.createDataFrame(names, "path string").select(canonical_path(F.col("path")).alias("path"))
+    empty = every.join(filled, "path", "left_anti").select(
+        "path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified")
+    )
+    listed = (
+        filled.unionByName(empty)
+        .select("path", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("suffix"), "length", "modified")
+        .filter(F.col("suffix").isin(*suffixes))
+    )
     for folder in exclude:
         bare = "file:///" + folder.strip("/") if "://" not in folder else folder.rstrip("/")
         listed = listed.filter(~F.startswith("path", F.lit(bare + "/")))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tablewright.columns import IDENTITY, ROW_ID, SOURCE_FILE, column, text_columns
 from tablewright.functions import constants as K
 from tablewright.sources.headers import IngestError, header_names
-from tablewright.sources.inventory import canonical_path
+from tablewright.sources.inventory import metadata_path
 
 CORRUPT = "_corrupt"
 SNIFF_LINES = 50
@@ -39,7 +39,7 @@ def encodings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     that a field holds a line break.
     """
     lines = spark.read.text(list(paths)).select(
-        canonical_path(F.col("_metadata.file_path")).alias("path"), "value"
+        metadata_path().alias("path"), "value"
     )
     valid = F.is_valid_utf8("value")
     unassigned = "|".join(f"{byte:02X}" for byte in K.CP1252_UNASSIGNED)
@@ -60,7 +60,7 @@ def separators(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     The separator is the candidate that occurs equally often, outside quotes, in most lines.
     """
     lines = spark.read.text(list(paths)).select(
-        canonical_path(F.col("_metadata.file_path")).alias("path"),
+        metadata_path().alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("line"),
         "value",
@@ -86,7 +86,11 @@ def separators(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     sums = [F.min_by(F.col("value").cast("binary"), "rank").alias("header")]
     for i in range(len(K.DELIMITERS)):
         # At most SNIFF_LINES numbers per file.
-        sums += [F.mode(f"n{i}", deterministic=True).alias(f"m{i}"), F.collect_list(f"n{i}").alias(f"l{i}")]
+        sums += [
+            F.mode(f"n{i}", deterministic=True).alias(f"m{i}"),
+            F.collect_list(f"n{i}").alias(f"l{i}"),
+            F.min_by(f"n{i}", "rank").alias(f"h{i}"),
+        ]
     found = counted.groupBy("path").agg(*sums)
 
     def share(i: int) -> Column:
@@ -95,7 +99,12 @@ def separators(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
     shares = [share(i) for i in range(len(K.DELIMITERS))]
     best = F.greatest(*shares)
-    choice = F.when(best < SNIFF_SHARE, K.DELIMITERS[0])
+    # Without such a candidate the header decides, and a header of one name means a comma.
+    most = F.greatest(*[F.col(f"h{i}") for i in range(len(K.DELIMITERS))])
+    header = F.when(most == 0, K.DELIMITERS[0])
+    for i, sep in enumerate(K.DELIMITERS):
+        header = header.when(F.col(f"h{i}") == most, sep)
+    choice = F.when(best < SNIFF_SHARE, header)
     for i, sep in enumerate(K.DELIMITERS):
         choice = choice.when(shares[i] == best, sep)
     return found.select("path", choice.alias("separator"), "header")
@@ -155,7 +164,7 @@ def scan(spark: SparkSession, fmt: TextFormat, paths: Sequence[str]) -> DataFram
         return _from_cp1252(value) if fmt.encoding == "CP1252" else value
 
     return df.select(
-        canonical_path(F.col("_metadata.file_path")).alias(SOURCE_FILE),
+        metadata_path().alias(SOURCE_FILE),
         F.monotonically_increasing_id().alias(ROW_ID),
         *[cell(name).alias(name) for name in fmt.columns],
         CORRUPT,

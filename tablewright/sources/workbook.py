@@ -85,7 +85,8 @@ def _sheet_rows(path: str, content: bytes) -> Iterator[tuple]:
         link = next(v for k, v in sheet.attrib.items() if k.endswith("}id"))
         target = links[link].lstrip("/")
         target = target if target.startswith("xl/") else f"xl/{target}"
-        # Rows are streamed and dropped, so a sheet is never held as a tree.
+        # A marker names the sheet even if it is empty. Rows are streamed and dropped.
+        yield path, number, sheet.get("name"), 0, [], None
         row_no = 0
         for _, row in ElementTree.iterparse(book.open(target)):
             if not row.tag.endswith("}row"):
