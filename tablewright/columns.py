@@ -56,8 +56,11 @@ def present(df: DataFrame, name: str) -> Column:
 
 
 def count_if(condition: Column) -> Column:
-    """Number of rows where the condition is true; 0 (not null) on an empty input."""
-    return F.count_if(condition)
+    """Number of rows where the condition is true, evaluating it once per row.
+
+    ``F.count_if`` compares the condition with false first and so evaluates it twice.
+    """
+    return F.count(F.when(condition, 1))
 
 
 def barrier(df: DataFrame, label: str) -> DataFrame:

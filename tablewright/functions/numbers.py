@@ -24,16 +24,19 @@ _OTHER_DIGIT_VALUES = "".join(str(unicodedata.digit(ch)) for ch in _OTHER_DIGITS
 
 
 def _matched(col: Column, pattern: str) -> Column:
-    """The text itself if it matches as a whole, else the empty string."""
-    return F.regexp_extract(col, f"^({pattern})$", 1)
+    """The text itself if it matches as a whole, else null.
+
+    Null and not the empty text, whose cast would raise and catch an exception for every row.
+    """
+    return F.regexp_substr(col, F.lit(f"^(?:{pattern})$"))
 
 
 def parse_strict(col: Column) -> Column:
     """Double of a plainly written number, null for everything else (also for overflow)."""
     text = strip(col)
-    number = _matched(text, f"{_FINITE}|{_INFINITE}").try_cast("double")
-    overflow = (F.abs(number) == float("inf")) & ~text.rlike(f"^{_INFINITE}$")
-    return F.when(overflow, F.lit(None)).otherwise(number)
+    number = _matched(text, _FINITE).try_cast("double")
+    infinite = F.when(text.rlike(f"^{_INFINITE}$"), text.try_cast("double"))
+    return F.coalesce(F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf"))), infinite)
 
 
 def is_lossy(col: Column) -> Column:
@@ -136,13 +139,17 @@ def normalize_numbers(
     return number_value(col, text, locale, handle_parentheses_negatives, convert_percentages)
 
 
-def probe_number(col: Column) -> Column:
-    """Rough reading used only to decide whether a column looks like amounts."""
+def probe_text(col: Column) -> Column:
+    """Rough plain form used only to decide whether a column looks like amounts."""
     text = F.regexp_replace(
         strip(col), rf"USD|EUR|GBP|U\$S|US\$|[$€£{K.WHITESPACE_CLASS}]", ""
     )
     text = F.regexp_replace(F.regexp_replace(text, r"^\((.+)\)$", "$1"), "%+$", "")
     identifier = rf"^\+?(?:\p{{Nd}}{{{K.IDENTIFIER_DIGITS},}})$|^0\p{{Nd}}+$"
-    # An identifier is blanked, which the strict parser reads as null.
-    text = F.regexp_replace(text, identifier, "")
-    return parse_strict(F.translate(text, ",.", "."))
+    # An identifier is blanked, so that it is no number below.
+    return F.translate(F.regexp_replace(text, identifier, ""), ",.", ".")
+
+
+def is_number(col: Column) -> Column:
+    """Whether a text is a plainly written number, without parsing it."""
+    return col.rlike(f"^(?:{_FINITE}|{_INFINITE})$")

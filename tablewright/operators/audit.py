@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.columns import ROW_ID, column, data_columns, present, type_of
+from tablewright.columns import ROW_ID, column, count_if, data_columns, present, type_of
 from tablewright.plans.plan import Plan
 from tablewright.plans.rules import Rule
 
@@ -72,7 +72,7 @@ class _Metrics:
         else:
             # A value of another type is another value; only null stays null.
             differs = before.isNotNull() | after.isNotNull()
-        return self._sum(f"x{self.before[name]}", F.count_if(both & differs))
+        return self._sum(f"x{self.before[name]}", count_if(both & differs))
 
     def run(self) -> DataFrame:
         return self.joined.agg(*[value.alias(name) for name, value in self.sums.items()])

@@ -9,7 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.columns import ROW_ID, SOURCE_FILE, barrier, column, data_columns, text_columns
+from tablewright.columns import (
+    ROW_ID,
+    SOURCE_FILE,
+    barrier,
+    column,
+    count_if,
+    data_columns,
+    text_columns,
+)
 from tablewright.functions import text as cells
 from tablewright.functions.dates import default_pivot_year
 from tablewright.operators import rows
@@ -115,9 +123,9 @@ def source_differences(
     right = candidate.select(*key, F.struct(*[column(n) for n in names]).alias("_c"))
     both = F.col("_e").isNotNull() & F.col("_c").isNotNull()
     return left.join(right, key, "full_outer").groupBy(source).agg(
-        F.count_if(F.col("_c").isNull()).alias("missing"),
-        F.count_if(F.col("_e").isNull()).alias("extra"),
-        F.count_if(both & ~F.col("_e").eqNullSafe(F.col("_c"))).alias("differing"),
+        count_if(F.col("_c").isNull()).alias("missing"),
+        count_if(F.col("_e").isNull()).alias("extra"),
+        count_if(both & ~F.col("_e").eqNullSafe(F.col("_c"))).alias("differing"),
     )
 
 
@@ -144,11 +152,11 @@ def source_changes(
         F.count("_b").alias("rows_before"),
         F.count("_a").alias("rows_after"),
         *[
-            F.count_if(both & ~F.col(f"b{i}").eqNullSafe(F.col(f"a{i}"))).alias(f"x{i}")
+            count_if(both & ~F.col(f"b{i}").eqNullSafe(F.col(f"a{i}"))).alias(f"x{i}")
             for i in range(len(names))
         ],
         *[
-            F.count_if(both & (F.col(f"b{i}").isNotNull() | F.col(f"a{i}").isNotNull())).alias(f"v{i}")
+            count_if(both & (F.col(f"b{i}").isNotNull() | F.col(f"a{i}").isNotNull())).alias(f"v{i}")
             for i in range(len(names))
         ],
     )
@@ -194,11 +202,11 @@ def batch_summary(items: DataFrame) -> DataFrame:
 
     return items.agg(
         F.count(F.lit(1)).alias("files_found"),
-        F.count_if(ok).alias("processed_ok"),
-        F.count_if(F.col("status") == "invalid").alias("processed_invalid"),
-        F.count_if(F.col("status") == "error").alias("errors"),
-        F.count_if(ok & (F.col("result") == "CLEANED")).alias("cleaned"),
-        F.count_if(ok & (F.col("result") == "UNCHANGED")).alias("unchanged"),
+        count_if(ok).alias("processed_ok"),
+        count_if(F.col("status") == "invalid").alias("processed_invalid"),
+        count_if(F.col("status") == "error").alias("errors"),
+        count_if(ok & (F.col("result") == "CLEANED")).alias("cleaned"),
+        count_if(ok & (F.col("result") == "UNCHANGED")).alias("unchanged"),
         total("rows_before"),
         total("rows_after"),
         total("rows_removed"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tablewright.columns import (
     column,
+    count_if,
     data_columns,
     is_text,
     number_columns,
@@ -103,7 +104,7 @@ def _run_checks(
         return df.sparkSession.createDataFrame([], ISSUE_SCHEMA)
     sums = []
     for i, check in enumerate(checks):
-        sums.append(F.count_if(check.flag).alias(f"a{i}"))
+        sums.append(count_if(check.flag).alias(f"a{i}"))
         sums.append(F.count(F.lit(1) if check.counted is None else F.when(check.counted, 1)).alias(f"t{i}"))
     df = _with_texts(df, {check.place for check in checks})
     counted = df.agg(*sums)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.columns import column, data_columns, present, type_of
+from tablewright.columns import column, count_if, data_columns, present, type_of
 from tablewright.operators.values import first_per_group, value_counts
 from tablewright.plans.rules import ACTIONS
 
@@ -98,7 +98,7 @@ def issue_summary(stats: DataFrame, issues: DataFrame) -> DataFrame:
     counted = issues.agg(
         F.count(F.lit(1)).alias("issues"),
         *[
-            F.count_if(F.col("severity") == level.upper()).alias(f"{level}_issues")
+            count_if(F.col("severity") == level.upper()).alias(f"{level}_issues")
             for level in ("high", "medium", "low")
         ],
     )

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.columns import present
+from tablewright.columns import count_if, present
 
 ACCURACY = 10_000
 # Values between two brackets that may be sorted together.
@@ -103,10 +103,10 @@ def _narrow(
     counts = []
     for s, one in enumerate(searches):
         counts += [
-            F.count_if(one.cell < one.low).alias(f"b{s}"),
-            F.count_if(one.cell == one.low).alias(f"l{s}"),
+            count_if(one.cell < one.low).alias(f"b{s}"),
+            count_if(one.cell == one.low).alias(f"l{s}"),
             F.count(one.between).alias(f"i{s}"),
-            F.count_if((one.cell == one.high) & F.lit(one.low != one.high)).alias(f"h{s}"),
+            count_if((one.cell == one.high) & F.lit(one.low != one.high)).alias(f"h{s}"),
         ]
     row = values.agg(*counts).first()
     still: list[_Search] = []

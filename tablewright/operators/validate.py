@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.columns import ROW_ID, column, data_columns, quoted, type_of
+from tablewright.columns import ROW_ID, column, count_if, data_columns, quoted, type_of
 from tablewright.plans.plan import Plan
 from tablewright.plans.rules import ACTIONS, Rule, RuleError, problems
 
@@ -60,10 +60,10 @@ def cell_differences(
     )
     both = F.col("_e").isNotNull() & F.col("_c").isNotNull()
     counted = left.join(right, list(key), "full_outer").agg(
-        F.count_if(F.col("_c").isNull()).alias("missing"),
-        F.count_if(F.col("_e").isNull()).alias("extra"),
+        count_if(F.col("_c").isNull()).alias("missing"),
+        count_if(F.col("_e").isNull()).alias("extra"),
         *[
-            F.count_if(both & ~F.col(f"e{i}").eqNullSafe(F.col(f"c{i}"))).alias(f"d{i}")
+            count_if(both & ~F.col(f"e{i}").eqNullSafe(F.col(f"c{i}"))).alias(f"d{i}")
             for i in range(len(names))
         ],
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.columns import barrier, column, data_columns, type_of
+from tablewright.columns import barrier, column, count_if, data_columns, type_of
 from tablewright.functions import dates, numbers, text
 from tablewright.operators import rows, shape
 from tablewright.plans.rules import (
@@ -253,7 +253,7 @@ class Plan:
                 names = rule.parameters["new_column_names"]
                 dropped = shape.extra_parts(df, rule.column, rule.parameters["delimiter"], len(names))
                 counted.append(
-                    _loss_rows(df.agg(F.count_if(dropped).alias("_lost_0")), {"_lost_0": rule}, positions)
+                    _loss_rows(df.agg(count_if(dropped).alias("_lost_0")), {"_lost_0": rule}, positions)
                 )
             flags: dict[str, Rule] = {}
             if run[0].action in CELL_ACTIONS:

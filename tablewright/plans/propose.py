@@ -9,11 +9,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from tablewright.columns import column, text_columns
+from tablewright.columns import column, count_if, text_columns
 from tablewright.functions import constants as K
 from tablewright.functions import text as cells
 from tablewright.functions.dates import date_text, date_value, default_pivot_year, year_first
-from tablewright.functions.numbers import probe_number
+from tablewright.functions.numbers import is_number, probe_text
 from tablewright.operators.detect import COLUMNS_PER_SCAN
 from tablewright.operators.values import spelling_groups
 from tablewright.plans import rules as R
@@ -73,7 +73,7 @@ def _shapes(df: DataFrame, names: dict[int, str], by: Sequence[str]) -> DataFram
             .alias(f"_is_date{i}")
             for i in places
         ],
-        *[probe_number(F.col(f"_text{i}")).isNotNull().alias(f"_is_number{i}") for i in places],
+        *[is_number(probe_text(F.col(f"_text{i}"))).alias(f"_is_number{i}") for i in places],
     )
     sums = []
     for i, name in names.items():
@@ -82,11 +82,11 @@ def _shapes(df: DataFrame, names: dict[int, str], by: Sequence[str]) -> DataFram
         sums += [
             F.coalesce(F.bool_or(raw != text), F.lit(False)).alias(f"outer_space{i}"),
             F.coalesce(F.bool_or(raw.rlike(K.INVISIBLE_EVIDENCE)), F.lit(False)).alias(f"invisibles{i}"),
-            F.count_if(filled).alias(f"filled{i}"),
-            F.count_if(filled & F.col(f"_is_date{i}")).alias(f"dates{i}"),
-            F.count_if(filled & F.col(f"_is_number{i}")).alias(f"numbers{i}"),
+            count_if(filled).alias(f"filled{i}"),
+            count_if(filled & F.col(f"_is_date{i}")).alias(f"dates{i}"),
+            count_if(filled & F.col(f"_is_number{i}")).alias(f"numbers{i}"),
             F.coalesce(F.bool_or(filled & raw.rlike(K.NUMBER_EVIDENCE)), F.lit(False)).alias(f"evidence{i}"),
-            F.count_if(filled & raw.endswith("%")).alias(f"percents{i}"),
+            count_if(filled & raw.endswith("%")).alias(f"percents{i}"),
         ]
     facts = ("outer_space", "invisibles", "filled", "dates", "numbers", "evidence", "percents")
     wide = df.groupBy(*[column(b) for b in by]).agg(*sums) if by else df.agg(*sums)
