@@ -14,13 +14,14 @@ from tablewright.functions import constants as K
 from tablewright.functions import text as cells
 from tablewright.functions.dates import date_text, date_value, default_pivot_year, year_first
 from tablewright.functions.numbers import is_number, probe_text
-from tablewright.operators.detect import COLUMNS_PER_SCAN
 from tablewright.operators.values import spelling_groups
 from tablewright.plans import rules as R
 from tablewright.plans.plan import Plan
 from tablewright.plans.rules import Rule, RuleError
 
 PASSES = ("pass1", "pass2", "pass3")
+# Few columns per aggregate: a larger one exceeds what the JVM compiles and runs interpreted.
+COLUMNS_PER_SCAN = 1
 DATE_SHARE = 0.8
 NUMBER_SHARE = 0.8
 PERCENT_SHARE = 0.8
