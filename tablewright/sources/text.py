@@ -6,6 +6,7 @@ import csv
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ def separators(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
     # The bytes are read as Latin-1 here, which keeps the separators and never fails.
     raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    bare = F.regexp_replace(raw, '"(?:[^"]|"")*"', "")
+    bare = F.regexp_replace(raw, '"[^"]*"', "")
     counted = head.select(
         "path",
         "rank",
@@ -173,7 +174,7 @@ def scan(spark: SparkSession, fmt: TextFormat, paths: Sequence[str]) -> DataFram
 
 def split_rejects(scanned: DataFrame, fmt: TextFormat) -> tuple[DataFrame, DataFrame]:
     """Good rows, and rows with more fields than the header. Shorter rows are padded with nulls."""
-    bare = F.regexp_replace(CORRUPT, '"(?:[^"]|"")*"', "")
+    bare = F.regexp_replace(CORRUPT, '"[^"]*"', "")
     fields = F.length(bare) - F.length(F.replace(bare, F.lit(fmt.separator), F.lit(""))) + 1
     too_long = F.coalesce(fields > len(fmt.columns), F.lit(False))
     good = scanned.filter(~too_long).drop(CORRUPT)
@@ -184,17 +185,20 @@ def split_rejects(scanned: DataFrame, fmt: TextFormat) -> tuple[DataFrame, DataF
 
 
 def read_text(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """One table from files of one format: (staged rows, rejected rows)."""
+    """One table from files with equal columns: (staged rows, rejected rows)."""
     from tablewright.runner import stage
 
     wanted = [paths] if isinstance(paths, str) else list(paths)
     groups, failures = describe(spark, wanted)
     if failures:
         raise IngestError("; ".join(f"{path}: {reason}" for path, reason in failures))
-    if len(groups) != 1:
-        raise IngestError(f"expected files of one format, found {len(groups)} kinds")
-    ((fmt, files),) = groups.items()
-    return split_rejects(stage(scan(spark, fmt, files), "scan"), fmt)
+    if len({fmt.columns for fmt in groups}) != 1:
+        raise IngestError(f"expected files with equal columns, found {len(groups)} kinds of file")
+    # Files of one table may differ in separator, encoding or line breaks; a row is known by its
+    # source file and row id.
+    parts = [split_rejects(stage(scan(spark, fmt, files), "scan"), fmt) for fmt, files in groups.items()]
+    good = reduce(DataFrame.unionByName, [rows for rows, _ in parts])
+    return good, reduce(DataFrame.unionByName, [rejected for _, rejected in parts])
 
 
 # How each type is written; a text like 'yes' or '1.5f' is none of them.
