@@ -24,8 +24,8 @@ def build_session(app: str = "tablewright", master: str | None = None, **conf: s
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
-        # The JVM never compiles a method above 8000 bytes. Beyond that Spark's smaller generated
-        # methods per operator run much faster than one huge interpreted one per stage.
+        # The JVM does not compile a method above 8000 bytes; beyond that Spark then generates
+        # smaller methods per operator. No effect was measured yet on the queries tried.
         "spark.sql.codegen.hugeMethodLimit": "8000",
         # Recording the Python call site of every column function slows down wide plans.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
