@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -37,19 +36,16 @@ def build_session(app: str = "tablewright", master: str | None = None, **conf: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else the warehouse folder.
 
-    Only a local session may fall back to a temporary folder: elsewhere a machine-local path
-    would lose the data together with its executor.
+    Both are places the cluster itself names; a machine-local temporary folder would lose the data
+    together with its executor.
     """
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a shared folder before staging tables")
-    folder = tempfile.mkdtemp(prefix="tablewright-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    for key in (CHECKPOINT_DIR, "spark.sql.warehouse.dir"):
+        folder = spark.conf.get(key, None)
+        if folder:
+            return folder
+    raise ValueError(f"set {CHECKPOINT_DIR} to a shared folder before staging tables")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
