@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import langid
+from tablewright.llm import bpe, langid
 from tablewright.llm.common import crc_part, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +32,19 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.identify(docs.select("doc_id", "text"), language_model(docs))
     return found.select("doc_id", (crc_part("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@query
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded to token ids and decoded again, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, offsets=False).drop("text")
+    return bpe.decode(ids, RANKS, public_tokenizers.PATTERN).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
