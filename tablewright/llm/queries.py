@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, chat, langid
+from tablewright.llm import bpe, chat, decontaminate, langid, sharding, url_filter
 from tablewright.llm.common import crc_part, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,113 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(chars)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id"""
+
+
+#: Dated list entries derived from the hosts and first path parts of the pages: a third of the hosts
+#: is blocked for up to 120 days and half of these again later, a quarter of the parts is allowed for
+#: up to 200 days. {n} stands for a number made of the first eight digits of an md5 digest.
+_ENTRIES = """
+WITH places AS (
+  SELECT DISTINCT regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1) AS host,
+    regexp_extract(url, '^[A-Za-z]+://[^/?#]+(/[^/?#]+)', 1) AS part FROM pages WHERE url IS NOT NULL),
+hosts AS (SELECT DISTINCT host, {n_host} AS n FROM places WHERE host <> ''),
+parts AS (SELECT host || part AS place, {n_part} AS n FROM places WHERE host <> '' AND part <> ''),
+blocked AS (SELECT host, n, 1704067200 + n % 20000000 AS since FROM hosts WHERE n % 3 = 0),
+allowed AS (SELECT place, n, 1704067200 + n % 20000000 AS since FROM parts WHERE n % 4 = 0)
+SELECT host AS pattern, 'block' AS kind, true AS active, since AS at FROM blocked
+UNION ALL SELECT host, 'block', false, since + 86400 + n % 10368000 FROM blocked
+UNION ALL SELECT host, 'block', true, since + 86400 + n % 10368000 + 864000 FROM blocked WHERE n % 2 = 0
+UNION ALL SELECT place, 'allow', true, since FROM allowed
+UNION ALL SELECT place, 'allow', false, since + 86400 + n % 17280000 FROM allowed"""
+_FETCHED = "1704067200 + (page_id * 7919) % 31536000"
+
+
+@query
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the list entries that were active when it was fetched."""
+    number = "cast(conv(substr(md5({}), 1, 8), 16, 10) as bigint)"
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    sql = _ENTRIES.format(n_host=number.format("host"), n_part=number.format("host || part"))
+    entries = spark.sql(sql.replace("FROM pages", "FROM {pages}"), pages=pages)
+    captures = pages.withColumn("fetched_at", F.expr(_FETCHED))
+    return url_filter.judge(captures, entries).select("page_id", "fetched_at", "verdict", "pattern")
+
+
+_NUMBER = "cast('0x' || substr(md5({}), 1, 8) as bigint)"
+ORACLE["op1_url_filters"] = (
+    "WITH entries AS ("
+    + _ENTRIES.format(n_host=_NUMBER.format("host"), n_part=_NUMBER.format("host || part"))
+    + f"""),
+captures AS (SELECT page_id, url, {_FETCHED} AS fetched_at,
+  regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', '') AS rest FROM pages),
+split AS (SELECT page_id, fetched_at,
+  regexp_replace(lower(regexp_replace(regexp_extract(rest, '^([^/]*)', 1), '^.*@|:[0-9]*$', '', 'g')), '\\.+$', '') AS host,
+  regexp_replace(regexp_extract(rest, '^[^/]*(.*)$', 1), '/+$', '') AS path FROM captures),
+probes AS (SELECT DISTINCT page_id, fetched_at, unnest(list_concat(
+    [array_to_string(string_split(host, '.')[i:], '.') for i in range(1, len(string_split(host, '.')) + 1)],
+    [array_to_string(string_split(host || path, '/')[:i], '/') for i in range(1, len(string_split(host || path, '/')) + 1)]
+  )) AS pattern FROM split WHERE host IS NOT NULL),
+states AS (SELECT page_id, p.pattern, kind, arg_max(active, e."at" * 2 + active::INT) AS active
+  FROM probes p JOIN entries e ON p.pattern = e.pattern AND e."at" <= fetched_at GROUP BY ALL),
+best AS (SELECT page_id, max({{'size': length(pattern), 'block': kind = 'block', 'pattern': pattern, 'kind': kind}}) AS b
+  FROM states WHERE active GROUP BY page_id)
+SELECT page_id, fetched_at, coalesce(b.kind, 'none') AS verdict, b.pattern AS pattern FROM captures LEFT JOIN best USING (page_id)"""
+)
+
+SHARDS = [f"shard-{i:02d}" for i in range(32)]
+
+
+@query
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document by a permutation-filled lookup table."""
+    lookup = sharding.lookup_table(spark, SHARDS)
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), lookup, "doc_id")
+
+
+_HASH = "cast('0x' || substr(md5({}), 1, 15) as bigint)"
+ORACLE["op5_sharding"] = f"""
+WITH RECURSIVE shards AS (
+  SELECT i, printf('shard-%02d', i) AS shard FROM range({len(SHARDS)}) r(i)),
+orders AS (
+  SELECT list({_HASH.format("shard || '#start'")} % {sharding.SLOTS} ORDER BY i) AS starts,
+    list({_HASH.format("shard || '#step'")} % ({sharding.SLOTS} - 1) + 1 ORDER BY i) AS steps FROM shards),
+turns AS (
+  SELECT 0 AS t, [NULL::BIGINT for x in range({sharding.SLOTS})] AS owner, NULL::BIGINT AS slot
+  UNION ALL
+  SELECT t + 1, list_concat(owner[:s], [t % {len(SHARDS)}], owner[s + 2:]), s
+  FROM (SELECT t, owner, list_filter(
+      [(starts[t % {len(SHARDS)} + 1] + j * steps[t % {len(SHARDS)} + 1]) % {sharding.SLOTS} for j in range({sharding.SLOTS})],
+      lambda x: owner[x + 1] IS NULL)[1] AS s FROM turns, orders WHERE t < {sharding.SLOTS})),
+filled AS (SELECT slot, (t - 1) % {len(SHARDS)} AS i FROM turns WHERE slot IS NOT NULL)
+SELECT doc_id, CAST(filled.slot AS INTEGER) AS slot, shard FROM documents
+JOIN filled ON filled.slot = {_HASH.format("doc_id::VARCHAR")} % {sharding.SLOTS} JOIN shards USING (i)"""
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows of benchmark items cover."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return done.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+ORACLE["op9_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, unnest([array_to_string(w[i:i + least(len(w), 13) - 1], ' ')
+  for i in range(1, len(w) - least(len(w), 13) + 2)]) AS s FROM b WHERE len(w) > 0),
+place AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+hit AS (SELECT doc_id, place.n, i, item_id FROM place JOIN win ON win.n = place.n AND win.s = array_to_string(w[i:i + place.n - 1], ' ')),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)"""
