@@ -83,3 +83,9 @@ def chain(parts: list[np.ndarray]) -> np.ndarray:
 def rows_of(positions: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Index of the text that holds each byte position."""
     return np.searchsorted(offsets, positions, side="right") - 1
+
+
+def flat_words(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and the text of each; ``kinds`` gives the word kind of every byte value."""
+    starts, ends = spans(kinds[data], offsets)
+    return span_hashes(data, starts, ends, fold), rows_of(starts, offsets)
