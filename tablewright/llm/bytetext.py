@@ -10,7 +10,7 @@ _BLOCK = 1 << 20
 _LONG_WORD = 1 << 16
 
 #: One random 64-bit number for each byte value.
-_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Byte values with A-Z lowered.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -22,8 +22,8 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_UP = _powers(_BASE, _BLOCK + _LONG_WORD + 1)
-_DOWN = _powers(_INVERSE, _BLOCK + _LONG_WORD + 1)
+UP = _powers(_BASE, _BLOCK + _LONG_WORD + 1)
+DOWN = _powers(_INVERSE, _BLOCK + _LONG_WORD + 1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -48,7 +48,7 @@ def spans(kinds: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
     """64-bit hash of each span; ``fold`` maps byte values first. Spans must be sorted and disjoint."""
     out = np.empty(len(starts), np.uint64)
-    values = _VALUES if fold is None else _VALUES[fold]
+    values = VALUES if fold is None else VALUES[fold]
     long = np.flatnonzero(ends - starts > _LONG_WORD)
     at = 0
     while at < len(starts):
@@ -59,15 +59,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np
             h = np.uint64(0)
             for s in range(int(starts[at]), int(ends[at]), _BLOCK):
                 piece = values[data[s : min(s + _BLOCK, int(ends[at]))]]
-                h = mix(np.array([h + (piece * _UP[: len(piece)]).sum(dtype=np.uint64)]))[0]
+                h = mix(np.array([h + (piece * UP[: len(piece)]).sum(dtype=np.uint64)]))[0]
             out[at] = h
             at += 1
             continue
         first, last = int(starts[at]), int(ends[stop - 1])
         sums = np.zeros(last - first + 1, np.uint64)
-        np.cumsum(values[data[first:last]] * _UP[: last - first], out=sums[1:])
+        np.cumsum(values[data[first:last]] * UP[: last - first], out=sums[1:])
         s, e = starts[at:stop] - first, ends[at:stop] - first
-        out[at:stop] = (sums[e] - sums[s]) * _DOWN[s]
+        out[at:stop] = (sums[e] - sums[s]) * DOWN[s]
         at = stop
     return mix(out + (ends - starts).astype(np.uint64))
 
