@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.session import new_path
@@ -44,6 +44,28 @@ def crc_part(key: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def hash_bound(share: float) -> int:
+    """Largest signed 64-bit hash within the given share of all hashes."""
+    return min(int(share * 2.0**64) - 2**63, 2**63 - 1)
+
+
+def sample_by_class(df: DataFrame, group: str, key: str, size: int) -> DataFrame:
+    """At most ``size`` rows of each class, those with the smallest hash of ``key`` (column ``pick``).
+
+    Rows are counted per class first, so that about 1.2 times ``size`` of each are ranked, however
+    many there are. There are few classes: a model holds each of them on the driver anyway.
+    """
+    counted = {row[0]: row[1] for row in df.filter(F.col(group).isNotNull()).groupBy(group).count().collect()}
+    keep = F.lit(False)
+    for value, count in counted.items():
+        share = min(1.0, 1.2 * (size + 50) / count)
+        below = F.col("pick") <= hash_bound(share)
+        keep = keep | ((F.col(group) == F.lit(value)) & below)
+    order = Window.partitionBy(group).orderBy("pick", key)
+    picked = df.withColumn("pick", F.xxhash64(key)).filter(keep)
+    return picked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size).drop("place")
+
+
 def flat_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text array in one buffer, and ``len + 1`` offsets; null counts as empty."""
     if values.null_count:

@@ -20,11 +20,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.common import slices
+from tablewright.llm.common import sample_by_class, slices
 
 #: Bound of the training sample: pieces of text per language, characters of each, dictionary bytes.
 SAMPLE_PIECES = 400
@@ -68,26 +68,11 @@ def learn(
     piece_chars: int = PIECE_CHARS,
     dictionary_bytes: int = DICTIONARY_BYTES,
 ) -> LanguageModel:
-    """Dictionaries from a bounded sample: ``pieces`` rows per language, picked by a hash of the key.
-
-    The window keeps ``pieces`` rows per language and task before it shuffles, so a frequent language
-    sends no more than a rare one.
-    """
-    order = Window.partitionBy("lang").orderBy("pick", "piece")
-    sample = (
-        df.select(
-            F.col(lang).alias("lang"),
-            F.xxhash64(F.col(key)).alias("pick"),
-            F.substring(F.col(text), 1, piece_chars).alias("piece"),
-        )
-        .filter("lang is not null and length(piece) > 0")
-        .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= pieces)
-        .select("lang", "place", "piece")
-        .collect()
-    )
+    """Dictionaries from a bounded sample: ``pieces`` rows per language, picked by a hash of the key."""
+    rows = df.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.substring(F.col(text), 1, piece_chars).alias("piece"))
+    sample = sample_by_class(rows.filter("length(piece) > 0"), "lang", "key", pieces).collect()
     found: dict[str, list[str]] = {}
-    for row in sorted(sample, key=lambda r: (r.lang, r.place)):
+    for row in sorted(sample, key=lambda r: (r.lang, r.pick, r.piece)):
         found.setdefault(row.lang, []).append(row.piece)
     names = tuple(sorted(found))
     # Matches are cheapest near the end of a dictionary, all of it is within reach of the first block.

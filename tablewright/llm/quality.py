@@ -9,7 +9,7 @@ updates in each and averages the weights that the tasks found, round by round.
 
 Defined cases: null and wordless texts have the zero vector and get the score of the bias; labels
 other than 0 and 1 are not learned from; without labels every score is 0.5. Texts are read whole.
-Repeated rows count as often as they occur. Extra columns are kept; a clashing ``score`` is replaced.
+Repeated label rows count once. Extra columns are kept; a clashing ``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.llm.bytetext import chain, flat_words
-from tablewright.llm.common import drop_stage, flat_bytes, slices, stage
+from tablewright.llm.common import drop_stage, flat_bytes, sample_by_class, slices, stage
 
 BITS = 18
 #: Bounds of the training: labelled texts per label, tasks that train side by side, rounds of
@@ -117,14 +117,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     average of a feature is a map-side sum.
     """
     spark = docs.sparkSession
-    order = Window.partitionBy("label").orderBy("pick", "key")
-    picked = (
-        labels.select(F.col(label).cast("int").alias("label"), F.xxhash64(F.col(key)).alias("pick"), F.col(key).alias("key"))
-        .filter("label in (0, 1) and key is not null")
-        .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= SAMPLE_PER_LABEL)
-        .drop("place")
-    )
+    rows = labels.select(F.col(label).cast("int").alias("label"), F.col(key).alias("key"))
+    rows = rows.filter("label in (0, 1) and key is not null").distinct()
+    picked = sample_by_class(rows, "label", "key", SAMPLE_PER_LABEL)
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     sample = stage(texts.join(F.broadcast(picked), "key").withColumn("shard", F.pmod("pick", F.lit(SHARDS))), "quality-sample")
     model = QualityModel(np.zeros(1 << BITS), 0.0)

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, chat, decontaminate, langid, minhash, quality, sharding, suffixes, url_filter
+from tablewright.llm import bpe, chat, decontaminate, langid, minhash, pq, quality, sharding, suffixes, url_filter
 from tablewright.llm.common import crc_part, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -245,3 +245,23 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(docs).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op2_pq_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all embeddings of one label at a cosine of 0.98 or more, and their components."""
+    return pq.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+ORACLE["op2_pq_near_dup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+least AS (SELECT u, min(v) AS v FROM reach GROUP BY u),
+counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.v, vec_id)) AS component_id,
+  vec_id <= coalesce(least.v, vec_id) AS kept
+FROM embeddings LEFT JOIN counts ON counts.u = vec_id LEFT JOIN least ON least.u = vec_id"""
