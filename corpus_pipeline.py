@@ -1,30 +1,82 @@
-"""Corpus pipeline: language, near copies, repeated passages, benchmark passages, token round trip."""
+"""Corpus pipeline: language, near copies, repeated passages, benchmark passages, token round trip.
+
+Every stage takes the documents that the one before it left, reads whole texts and writes its result;
+all but the last return the columns of ``documents``. Decisions:
+
+* language_id: documents without letters, or whose two best languages are tied, go;
+* minhash: of each group of near copies (five-word shingles, similarity of 0.8) the smallest id stays;
+* suffixes: strings of 400 bytes that occur more than once are cut out of the texts; a character that
+  a cut splits goes as a whole, and ``n_chars`` is counted anew;
+* decontamination: documents in which benchmark windows cover a twentieth of the words go;
+* byte_bpe: texts become token ids with the digest of what they decode to; a document whose tokens do
+  not decode to its text would be a fault of the tokenizer and stops the run.
+
+Empty tables pass through. Null texts go in the first stage, as they have no letters.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablewright.llm import langid
+from tablewright.llm import bpe, decontaminate, langid, minhash, suffixes
 from tablewright.llm.common import stage, table
-from tablewright.llm.queries import language_model
+from tablewright.llm.queries import RANKS, language_model, reach_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is found; texts without letters or with tied languages go."""
     found = langid.identify(docs, language_model(docs))
     return found.filter("not rejected").select(docs.columns)
 
 
-STAGES: list[tuple[str, Stage]] = [("language_id", language)]
-#: Compression sizes and byte-level suffixes cannot be expressed in SQL.
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept"))
+    return docs.join(found, docs["doc_id"] == found["_kept"], "left_semi")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(docs).filter("n_removed > 0").select(
+        F.col("doc_id").alias("_id"), F.col("kept_text").alias("_text")
+    )
+    joined = docs.join(cut, docs["doc_id"] == cut["_id"], "left")
+    whole = F.col("_id").isNull()
+    chars = F.when(whole, F.col("n_chars")).otherwise(F.length("_text").cast("long"))
+    text = F.when(whole, F.col("text")).otherwise(F.col("_text"))
+    return joined.withColumn("n_chars", chars).withColumn("text", text).select(docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.filter("not contaminated").select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, offsets=False)
+    done = bpe.decode(ids, RANKS, public_tokenizers.PATTERN)
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    checked = F.when(same, F.sha2("decoded", 256)).otherwise(F.raise_error(F.lit("tokens do not decode to their text")).cast("string"))
+    return done.select("doc_id", "lang", "source", "n_tokens", "ids", checked.alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language),
+    ("minhash_near_dedup", near_copies),
+    ("suffix_dedup", repeated_passages),
+    ("decontamination", benchmark_passages),
+    ("byte_bpe", tokens),
+]
+#: Compression sizes and token merges cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another, each written and read again."""
+    reach_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")

@@ -18,7 +18,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def _reach_package(spark: SparkSession) -> None:
+def reach_package(spark: SparkSession) -> None:
     """Lets Python workers that share this file system import the package from where it lies."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
@@ -29,7 +29,7 @@ def _reach_package(spark: SparkSession) -> None:
 def query(function: Query) -> Query:
     @wraps(function)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _reach_package(spark)
+        reach_package(spark)
         return function(spark, sf_dir)
 
     QUERIES[function.__name__] = run

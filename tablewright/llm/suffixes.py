@@ -377,9 +377,10 @@ def removed_runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """Rows (key, n_bytes, n_removed, spans, kept): one per text.
+    """Rows (key, n_bytes, n_removed, spans, kept, kept_text): one per text.
 
-    ``spans`` lists the maximal removed runs as (start, end) bytes, ``kept`` holds the other bytes.
+    ``spans`` lists the maximal removed runs as (start, end) bytes, ``kept`` holds the other bytes, and
+    ``kept_text`` their text, without what a cut leaves of a character.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
@@ -422,20 +423,22 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 for value, found in zip(part.column(1).to_pylist(), part.column(2)):
                     data = (value or "").encode()
                     if not found.is_valid:
-                        rows.append((len(data), 0, [], data))
+                        rows.append((len(data), 0, [], data, value or ""))
                         continue
                     start, end = (c.to_numpy().astype(np.int64) for c in found.values.flatten())
                     start, end = removed_runs(start, end)
                     edges = [0, *np.column_stack([start, end]).ravel().tolist(), len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
                     spans = [{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist())]
-                    rows.append((len(data), len(data) - len(kept), spans, kept))
-                n, removed, spans, kept = zip(*rows)
+                    rows.append((len(data), len(data) - len(kept), spans, kept, kept.decode(errors="ignore")))
+                n, removed, spans, kept, kept_text = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
-                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                    names=[key, "n_bytes", "n_removed", "spans", "kept"],
+                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()),
+                     pa.array(kept_text, pa.string())],
+                    names=[key, "n_bytes", "n_removed", "spans", "kept", "kept_text"],
                 )
 
     joined = texts.join(spans, "key", "left").select("key", "text", "found")
-    return joined.mapInArrow(cut, f"`{key}` long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    schema = f"`{key}` long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary, kept_text string"
+    return joined.mapInArrow(cut, schema)
