@@ -265,3 +265,21 @@ counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.v, vec_id)) AS component_id,
   vec_id <= coalesce(least.v, vec_id) AS kept
 FROM embeddings LEFT JOIN counts ON counts.u = vec_id LEFT JOIN least ON least.u = vec_id"""
+
+
+_TOKENS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x20\\x09-\\x0D]+')"
+)
+ORACLE["op8_minhash_near_dedup"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+one AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM sets),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, a.n + b.n AS n, count(*) AS c FROM one a JOIN one b USING (s)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM pairs WHERE 100 * c >= 85 * (n - c)),
+reach AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+least AS (SELECT u AS doc_id, min(v) AS v FROM reach GROUP BY u)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(v, doc_id)) AS component_id,
+  doc_id <= coalesce(v, doc_id) AS kept FROM sets LEFT JOIN least USING (doc_id)"""
