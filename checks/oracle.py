@@ -613,7 +613,31 @@ ORACLE["file_inventory"] = """SELECT name, '.parquet' AS suffix, 'unsupported fi
     ('pages'), ('benchmark'), ('labels'), ('conversations')) t(name)"""
 ORACLE["incremental_folder_clean"] = _with(
     _SALES,
-    f"""SELECT CASE WHEN region = 'F' THEN 0 ELSE 1 END AS batch, CAST(o_orderkey AS VARCHAR) AS o_orderkey, region,
-      number AS amount, {title('label')} AS label FROM ({numbers(_SALES, 'amount')})""",
+    f"""SELECT CASE WHEN region = 'F' THEN 0 ELSE 1 END AS batch, o_orderkey, region, sold_on,
+      number AS amount, {title('label')} AS label, nullif(note, '') AS note FROM ({numbers(_SALES, 'amount')})""",
 )
+ORACLE["text_clean_run"] = _with(
+    _SALES,
+    f"""SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, region, sold_on, number AS amount, {title('label')} AS label,
+      nullif(note, '') AS note FROM ({numbers(_SALES, 'amount')})""",
+)
+
+
+def _published(cell: str) -> str:
+    """A text cell as the text sink writes it and a reader gets it back."""
+    return f"nullif(CASE WHEN left({cell}, 1) IN ('=', '+', '-', '@') THEN chr(39) || {cell} ELSE {cell} END, '') AS {cell}"
+
+
+ORACLE["csv_roundtrip_customer"] = _with(
+    "dirty_customer",
+    "SELECT c_custkey, c_acctbal, "
+    + ", ".join(map(_published, ("name", "status", "amount", "email", "phone", "segment")))
+    + " FROM dirty_customer",
+)
+ORACLE["csv_one_column"] = _with("dirty_customer", f"SELECT {_published('name')}, count(*) AS n FROM dirty_customer GROUP BY 1")
+ORACLE["intake_plan_size"] = f"""SELECT event_id % 10 AS team, count(*) AS n_rules FROM ({ORACLE['proposal_intake']})
+    WHERE accepted GROUP BY 1"""
+ORACLE["ragged_inner_quotes"] = """SELECT CASE WHEN p_partkey % 3 = 0 THEN 'rejected' ELSE 'kept' END AS part,
+    CAST(p_partkey AS VARCHAR) AS key, CASE WHEN p_partkey % 3 = 0 THEN 'too many fields' ELSE '5" ' || p_name END AS name,
+    CASE WHEN p_partkey % 3 <> 0 THEN '3" bolt' END AS size FROM part"""
 ORACLE["folder_batch"] = """SELECT 0 AS processed_invalid, 0 AS errors, count(*) AS total_rows_before, 0 AS unpublished FROM orders"""

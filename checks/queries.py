@@ -13,12 +13,12 @@ from tablewright.functions import dates, numbers, text
 from tablewright.operators import audit, batch, detect, profile, rows, shape, validate
 from tablewright.plans import intake, propose
 from tablewright.plans import rules as R
-from tablewright.plans.plan import Plan
+from tablewright.plans.plan import Plan, run_steps, strict_steps
 from tablewright.folder import clean_folder
 from tablewright.operators.validate import ValidationResult
-from tablewright.runner import stage
+from tablewright.runner import clean_table, stage
 from tablewright.session import new_path
-from tablewright.sinks.publish import neutralize_formulas, publish
+from tablewright.sinks.publish import neutralize_formulas, publish, text_options
 from tablewright.sources.inventory import inventory
 from tablewright.sources.text import infer_types, read_text
 from tablewright.streaming.incremental import clean_new_files
@@ -66,7 +66,6 @@ _cells(
 )
 _cells("normalize_dates_dayfirst", "dirty_orders", ["o_orderkey"], "order_date", lambda c: dates.normalize_dates(c, True, PIVOT))
 _cells("normalize_dates_monthfirst", "dirty_orders", ["o_orderkey"], "order_date", lambda c: dates.normalize_dates(c, False, PIVOT))
-_cells("to_numeric_strict", "dirty_lineitem", ["l_orderkey", "l_linenumber"], "qty_text", numbers.to_numeric_strict)
 _cells("strip_invisibles_documents", "documents", ["doc_id"], "text", text.strip_invisibles)
 _cells("strip_invisibles_conversations", "conversations", ["conv_id", "turn"], "text", text.strip_invisibles)
 _cells(
@@ -141,6 +140,12 @@ def split_merge_roundtrip(spark, sf_dir):
     return shape.merge_columns(halves, ["left_part", "right_part"], "s_name", "#", True)
 
 
+@query
+def to_numeric_strict(spark, sf_dir):
+    df = view(spark, sf_dir, "dirty_lineitem")
+    return run_steps(df, {"qty_text": strict_steps("qty_text")}).withColumnRenamed("qty_text", "value")
+
+
 # Row and table rules ----------------------------------------------------------------------------
 
 
@@ -397,9 +402,19 @@ def multipass_row_counts(spark, sf_dir):
 
 @query
 def proposal_intake(spark, sf_dir):
-    return intake.intake_proposals(view(spark, sf_dir, "responses"), "response", ["event_id"]).withColumnRenamed(
-        "column", "column_name"
-    )
+    return intake.intake_proposals(
+        view(spark, sf_dir, "responses"), "response", ["event_id"], most=20, reason_chars=500
+    ).withColumnRenamed("column", "column_name")
+
+
+@query
+def intake_plan_size(spark, sf_dir):
+    """Plans of proposals that come in many responses per key: every accepted one is a rule."""
+    responses = view(spark, sf_dir, "responses").withColumn("team", F.col("event_id") % 10)
+    accepted = intake.intake_proposals(responses, "response", ["team"])
+    plans = intake.plans_from_proposals(accepted, ["team"])
+    rows_ = [(team, len(plan.rules)) for (team,), plan in plans.items()]
+    return spark.createDataFrame(rows_, "team long, n_rules long")
 
 
 # Validation and audit ---------------------------------------------------------------------------
@@ -562,7 +577,7 @@ def clean_segments(spark, sf_dir):
 
 def _written(df: DataFrame, label: str, sep: str = ",") -> str:
     path = new_path(df.sparkSession, label)
-    df.write.option("header", True).option("sep", sep).option("escape", '"').option("emptyValue", "").csv(path)
+    text_options(df.write, len(df.columns)).option("sep", sep).csv(path)
     return path
 
 
@@ -576,6 +591,65 @@ def csv_roundtrip(spark, sf_dir):
     return good.select("doc_id", "text")
 
 
+@query
+def csv_roundtrip_customer(spark, sf_dir):
+    """Outer spaces, blanks and nulls of a whole dirty table, published as text and read back."""
+    customers = view(spark, sf_dir, "dirty_customer")
+    path = new_path(spark, "published")
+    publish(customers, path, ValidationResult(True), "csv")
+    good, _ = read_text(spark, [path])
+    return good.select(
+        F.col("c_custkey").cast("long").alias("c_custkey"), "name", "status", "amount", "email", "phone", "segment",
+        F.col("c_acctbal").cast("double").alias("c_acctbal"),
+    )
+
+
+@query
+def csv_one_column(spark, sf_dir):
+    """A table of one column keeps its nulls as rows of the text file."""
+    path = new_path(spark, "published")
+    publish(view(spark, sf_dir, "dirty_customer").select("name"), path, ValidationResult(True), "csv")
+    good, _ = read_text(spark, [path])
+    return good.groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query
+def text_clean_run(spark, sf_dir):
+    """Sales as text files with two separators, through reading, a plan and its validation."""
+    sales = view(spark, sf_dir, "messy_sales")
+    paths = [_written(sales.filter("region = 'F'"), "commas"), _written(sales.filter("region <> 'F'"), "pipes", "|")]
+    good, _ = read_text(spark, paths)
+    plan = Plan(
+        (
+            R.trim_text("amount"), R.normalize_numbers("amount"), R.normalize_case("label", "title"),
+            R.blank_to_null("note"), R.dedupe_exact(),
+        )
+    ).approve()
+    outcome = clean_table(good, plan)
+    if not outcome.validation.valid:
+        raise ValueError("; ".join(outcome.validation.errors))
+    return outcome.cleaned.select("o_orderkey", "region", "sold_on", "amount", "label", "note")
+
+
+@query
+def ragged_inner_quotes(spark, sf_dir):
+    """Rows with quotes inside a field: surplus fields are rejected, none is swallowed."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    line = F.concat(
+        F.col("p_partkey").cast("string"), F.lit(',5" '), "p_name", F.lit(',3" bolt'),
+        F.when(F.col("p_partkey") % 3 == 0, ",,LOST").otherwise(""),
+    )
+    path = new_path(spark, "ragged")
+    parts.select(line.alias("key,name,size")).write.option("header", True).option("quote", "").option("sep", "\x01").csv(path)
+    good, bad = read_text(spark, path)
+    kept = good.select(F.lit("kept").alias("part"), "key", "name", "size")
+    lost = bad.select(
+        F.lit("rejected").alias("part"), F.split("record", ",")[0].alias("key"), F.col("reason").alias("name"),
+        F.lit(None).cast("string").alias("size"),
+    )
+    return kept.unionByName(lost)
+
+
 @query
 def delimiter_sniff(spark, sf_dir):
     """Semicolon files with commas inside the fields."""
@@ -645,13 +719,15 @@ def file_inventory(spark, sf_dir):
 @query
 def incremental_folder_clean(spark, sf_dir):
     """Two deliveries of sales; the second call cleans only what is new."""
-    sales = view(spark, sf_dir, "messy_sales").select("o_orderkey", "region", "amount", "label")
+    sales = view(spark, sf_dir, "messy_sales")
     folder, target, checkpoint = (new_path(spark, label) for label in ("in", "out", "progress"))
     plan = Plan((R.trim_text("amount"), R.normalize_numbers("amount"), R.normalize_case("label", "title"))).approve()
     for delivery in ("region = 'F'", "region <> 'F'"):
-        sales.filter(delivery).write.mode("append").option("header", True).csv(folder)
-        clean_new_files(spark, folder, sales.withColumn("o_orderkey", F.col("o_orderkey").cast("string")).schema, plan, target, checkpoint).awaitTermination()
-    return spark.read.parquet(target).select("batch", "o_orderkey", "region", "amount", "label")
+        # The second delivery has its columns in another order.
+        rows_ = sales.filter(delivery) if delivery == "region = 'F'" else sales.filter(delivery).select(*reversed(sales.columns))
+        text_options(rows_.write.mode("append"), len(sales.columns)).csv(folder)
+        clean_new_files(spark, folder, sales.schema, plan, target, checkpoint).awaitTermination()
+    return spark.read.parquet(target).select("batch", *sales.columns)
 
 
 @query

@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 ROW_ID = "_row_id"
 SOURCE_FILE = "_source_file"
 IDENTITY = (SOURCE_FILE, ROW_ID)
+# Column of malformed records while a text file is read, and the partition of a published folder.
+CORRUPT = "_corrupt"
+FILE_LABEL = "_file"
+RESERVED = (*IDENTITY, CORRUPT, FILE_LABEL)
 
 
 def quoted(name: str) -> str:

@@ -11,8 +11,8 @@ from tablewright.functions import constants as K
 from tablewright.functions.text import strip
 
 _TIME_SUFFIX = r"[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,9})?)?(?: ?[AaPp][Mm])?$"
-# No known form is longer; longer texts skip the patterns.
-_LONGEST = 64
+# Every known form starts like this; other texts skip the patterns.
+_POSSIBLE = r"^(?:[0-9]|(?i:" + "|".join(sorted({m[:3] for m in K.MONTHS})) + r"))[^\n]*[0-9]"
 
 _MONTH = "(?i:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in K.MONTHS) + ")"
 # The look-ahead checks the whole name, the group keeps its first three letters.
@@ -70,7 +70,7 @@ def date_value(raw: Column, text: Column, ordered: Column, allow_time: bool = Fa
         F.coalesce(_cast(F.translate(ordered, "/", "-")), _cast(swapped))
     )
     # Most text of a non-date column ends here, before any of the patterns above.
-    possible = (F.length(text) <= _LONGEST) & text.rlike("[0-9]")
+    possible = text.rlike(_POSSIBLE)
     if not allow_time:
         possible = possible & (~raw.rlike(_LEADING_YEAR) | raw.rlike(_ISO))
     return F.when(possible, found)

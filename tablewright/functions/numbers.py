@@ -44,14 +44,18 @@ def is_lossy(col: Column) -> Column:
     return col.isNotNull() & ~is_blank(col) & parse_strict(col).isNull()
 
 
-def to_numeric_strict(col: Column, name: str = "value") -> Column:
-    """Strict double; a value that would be lost fails the job and is named in the error."""
+def guard_strict(col: Column, parsed: Column, name: str = "value") -> Column:
+    """The parsed number; a text that it does not stand for fails the job and is named in the error."""
     message = F.concat(
         F.lit(f"strict conversion of column '{name}' would lose the value '"), col, F.lit("'")
     )
-    return F.when(is_lossy(col), F.raise_error(message).cast("double")).otherwise(
-        parse_strict(col)
-    )
+    lost = parsed.isNull() & col.isNotNull() & ~is_blank(col)
+    return F.when(lost, F.raise_error(message).cast("double")).otherwise(parsed)
+
+
+def to_numeric_strict(col: Column, name: str = "value") -> Column:
+    """Strict double in one expression; a plan parses first and guards the result in a second step."""
+    return guard_strict(col, parse_strict(col), name)
 
 
 def parse_float(col: Column) -> Column:

@@ -49,14 +49,31 @@ def junk_to_null(
     return F.when(is_junk(col, extra_patterns, convert_text_zeros), F.lit(None)).otherwise(col)
 
 
+# Put before each word so that ``initcap`` starts one there; a private-use character and a space.
+_MARK = "\uf8ff"
+#: Characters whose change of case depends on their place or has several characters, and the mark.
+_SPECIAL = "[" + _MARK + "".join(
+    ch
+    for ch in map(chr, (*range(0x80, 0xD800), *range(0xF900, 0x10000)))
+    if len(ch.upper()) > 1 or len(ch.lower()) > 1 or ch.upper() != ch.title() or ch in "Σςσ"
+) + "]"
+_CASED = r"[\p{Lu}\p{Ll}\p{Lt}]"
+
+
 def title_case(col: Column) -> Column:
     """Upper-case every letter that follows a non-letter, lower-case the others.
 
-    ``initcap`` only starts a word after a space and would give ``O'neil`` and ``María-josé``.
+    ``initcap`` only starts a word after a space and would give ``O'neil`` and ``María-josé``, so a
+    mark with a space is put before each word first. Texts with special characters go run by run.
     """
-    cased = r"[\p{Lu}\p{Ll}\p{Lt}]"
+    marked = F.regexp_replace(col, f"(?<!{_CASED})(?={_CASED})", f"{_MARK} ")
+    plain = F.replace(F.initcap(marked), F.lit(f"{_MARK} "), F.lit(""))
+    return F.when(col.rlike(_SPECIAL), _title_runs(col)).otherwise(plain)
+
+
+def _title_runs(col: Column) -> Column:
     runs = F.regexp_extract_all(
-        col, F.lit(rf"{cased}+|[^\p{{Lu}}\p{{Ll}}\p{{Lt}}]+"), F.lit(0)
+        col, F.lit(rf"{_CASED}+|[^\p{{Lu}}\p{{Ll}}\p{{Lt}}]+"), F.lit(0)
     )
 
     def titled(run: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.columns import ROW_ID, column, count_if, data_columns, present, type_of
+from tablewright.columns import IDENTITY, column, count_if, data_columns, present, type_of
 from tablewright.plans.plan import Plan
 from tablewright.plans.rules import Rule
 
@@ -160,9 +160,13 @@ def _entry(m: _Metrics, position: int, rule: Rule) -> Column | None:
 
 
 def transforms(
-    plan: Plan, original: DataFrame, cleaned: DataFrame, key: Sequence[str] = (ROW_ID,)
+    plan: Plan, original: DataFrame, cleaned: DataFrame, key: Sequence[str] | None = None
 ) -> DataFrame:
-    """One row per applied rule; cells are compared by row key, so removed rows shift nothing."""
+    """One row per applied rule; cells are compared by row key, so removed rows shift nothing.
+
+    The key is the source file, where there is one, and the row id.
+    """
+    key = list(key or [name for name in IDENTITY if name in original.columns and name in cleaned.columns])
     metrics = _Metrics(original, cleaned, key)
     entries = [
         entry

@@ -24,9 +24,6 @@ from tablewright.operators import rows
 from tablewright.plans.plan import date_steps, number_steps, run_steps
 from tablewright.plans.propose import PASSES, column_shapes, decisions
 
-# A decision table of at most this many cells is broadcast; above it Spark joins by shuffle and
-# AQE splits a source that holds too many rows.
-BROADCAST_CELLS = 200_000
 FACTS = ("outer_space", "invisibles", "mixed_case", "kind", "percent")
 
 
@@ -43,9 +40,10 @@ def source_decisions(df: DataFrame, source: str = SOURCE_FILE) -> DataFrame:
     )
 
 
-def with_decisions(df: DataFrame, chosen: DataFrame, source: str, sources: int | None) -> DataFrame:
-    small = sources is not None and sources * len(chosen.columns) <= BROADCAST_CELLS
-    return df.join(F.broadcast(chosen) if small else chosen, source, "left")
+def with_decisions(df: DataFrame, chosen: DataFrame, source: str) -> DataFrame:
+    """Rows with the decisions of their source; Spark broadcasts them if they are small, else AQE
+    splits a source that holds too many rows."""
+    return df.join(chosen, source, "left")
 
 
 def clean_sources(
@@ -53,7 +51,6 @@ def clean_sources(
     chosen: DataFrame,
     source: str = SOURCE_FILE,
     passes: Iterable[str] = PASSES,
-    sources: int | None = None,
     pivot_year: int | None = None,
 ) -> DataFrame:
     """The three automatic passes, each cell under the rules of its own source.
@@ -67,7 +64,7 @@ def clean_sources(
     names = text_columns(df.drop(source))
     fixed = [n for n in df.columns if n not in names]
     pivot = pivot_year or default_pivot_year()
-    out = with_decisions(df, chosen, source, sources)
+    out = with_decisions(df, chosen, source)
     decided = [c for c in chosen.columns if c != source]
 
     def level(step) -> None:
@@ -135,7 +132,6 @@ def source_changes(
     chosen: DataFrame,
     source: str = SOURCE_FILE,
     passes: Iterable[str] = PASSES,
-    sources: int | None = None,
 ) -> DataFrame:
     """(source, rows_before, rows_after, rows_removed, changes, actions, result) per source.
 
@@ -160,7 +156,7 @@ def source_changes(
             for i in range(len(names))
         ],
     )
-    joined = with_decisions(counted, chosen, source, sources)
+    joined = with_decisions(counted, chosen, source)
     removed = F.col("rows_before") - F.col("rows_after")
     row_rules = 2 if "pass3" in wanted else 0
     changed = F.lit(0).cast("long")
@@ -273,6 +269,12 @@ ITEM_SCHEMA = (
 )
 
 
+def empty_items(spark, sources: Sequence[str], items: DataFrame) -> DataFrame:
+    """Items of the sources that have no row, such as files with nothing but a header."""
+    rows_ = [(path, "ok", 0, 0, 0, 0, 0, "UNCHANGED", None) for path in sources]
+    return spark.createDataFrame(rows_, ITEM_SCHEMA).join(items.select("source"), "source", "left_anti")
+
+
 def failed_items(spark, failures: Sequence[tuple[str, str]]) -> DataFrame:
     rows_ = [(path, "error", None, None, None, None, None, None, reason) for path, reason in failures]
     return spark.createDataFrame(rows_, ITEM_SCHEMA)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.columns import ROW_ID, column, data_columns, quoted
+from tablewright.columns import IDENTITY, ROW_ID, column, data_columns, quoted
 
 _UNORDERED = (T.MapType, T.VariantType)
 
@@ -31,8 +31,13 @@ def dedupe_exact(
     keys = [*scope, *[name for name in names if name not in scope]]
     if ROW_ID not in df.columns:
         return df.dropDuplicates([name for name in keys])
-    kept = df.groupBy(*[column(name) for name in keys]).agg(F.min(ROW_ID).alias(ROW_ID))
-    return kept.select(*[column(name) for name in df.columns])
+    # The first row is the one with the smallest source file and row id; both stay together.
+    identity = [name for name in IDENTITY if name in df.columns and name not in keys]
+    first = F.min(F.struct(*[column(name) for name in identity])).alias("_first")
+    kept = df.groupBy(*[column(name) for name in keys]).agg(first)
+    return kept.select(
+        *[F.col(f"_first.{name}").alias(name) if name in identity else column(name) for name in df.columns]
+    )
 
 
 def row_order(

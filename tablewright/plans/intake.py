@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.columns import column
-from tablewright.functions import constants as K
 from tablewright.plans.plan import Plan
 from tablewright.plans.rules import ACTIONS, Rule
 
 
-def intake_proposals(df: DataFrame, response: str, keys: Sequence[str] = ()) -> DataFrame:
+def intake_proposals(
+    df: DataFrame,
+    response: str,
+    keys: Sequence[str] = (),
+    most: int | None = None,
+    reason_chars: int | None = None,
+) -> DataFrame:
     """(keys..., ordinal, action, column, reason, confidence, parameters, accepted, note).
 
     One row per proposal and one for a response without usable proposals. Rejected rows say why;
-    accepted rows still need approval before anything is applied.
+    accepted rows still need approval before anything is applied. A caller may refuse proposals of
+    one response beyond ``most`` and shorten reasons to ``reason_chars``; neither is done by itself.
     """
     parsed = df.select(
         *[column(k) for k in keys], F.try_parse_json(column(response)).alias("_doc")
@@ -63,20 +71,21 @@ def intake_proposals(df: DataFrame, response: str, keys: Sequence[str] = ()) ->
     rejected = (
         F.when(F.col("_kind").isNotNull() & ~F.col("_kind").startswith("ARRAY"), "proposals is not a list")
         .when(F.col("ordinal").isNull(), "no valid proposal")
-        .when(F.col("ordinal") >= K.MAX_PROPOSALS, f"over the limit of {K.MAX_PROPOSALS} proposals")
+        .when(F.lit(most is not None) & (F.col("ordinal") >= (most or 0)), f"over the limit of {most} proposals")
         .when(~F.coalesce("_object", F.lit(False)), "not an object")
         .when(F.col("action").isNull() | ~F.col("action").isin(*ACTIONS), "unknown action")
         .when(F.col("_confidence").isNull(), "confidence is not a number")
         .when(~F.col("_confidence").between(0, 1), "confidence is out of range")
         .when(F.col("_reason_kind").isNotNull() & (F.col("_reason_kind") != "STRING"), "reason is not text")
     )
-    too_long = F.length("_reason") > K.MAX_REASON_CHARS
+    too_long = F.length("_reason") > reason_chars if reason_chars is not None else F.lit(False)
+    reason = F.substring("_reason", 1, reason_chars) if reason_chars is not None else F.col("_reason")
     return read.select(
         *[column(k) for k in keys],
         "ordinal",
         "action",
         "column",
-        F.substring("_reason", 1, K.MAX_REASON_CHARS).alias("reason"),
+        reason.alias("reason"),
         F.col("_confidence").alias("confidence"),
         "parameters",
         rejected.isNull().alias("accepted"),
@@ -84,11 +93,21 @@ def intake_proposals(df: DataFrame, response: str, keys: Sequence[str] = ()) ->
     )
 
 
-def rules_from_proposals(proposals: DataFrame) -> Plan:
-    """Accepted proposals of one response as unapproved rules (at most the intake limit)."""
-    import json
-
-    rows = proposals.filter("accepted").orderBy("ordinal").limit(K.MAX_PROPOSALS).collect()
+def _plan(rows: list) -> Plan:
     return Plan(
         tuple(Rule(r.action, r.column, json.loads(r.parameters), r.reason, False, "proposal") for r in rows)
     )
+
+
+def rules_from_proposals(proposals: DataFrame) -> Plan:
+    """All accepted proposals of one response, in their order, as unapproved rules."""
+    return _plan(proposals.filter("accepted").orderBy("ordinal").collect())
+
+
+def plans_from_proposals(proposals: DataFrame, keys: Sequence[str]) -> dict[tuple, Plan]:
+    """One plan of unapproved rules per key; every accepted proposal is in the plan of its key.
+
+    Plans are objects of the driver, so their rules are gathered there.
+    """
+    rows = proposals.filter("accepted").orderBy(*[column(k) for k in keys], "ordinal").collect()
+    return {key: _plan(list(group)) for key, group in groupby(rows, lambda r: tuple(r[k] for k in keys))}

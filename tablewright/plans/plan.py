@@ -43,7 +43,7 @@ def cell_steps(rule: Rule, data_type: T.DataType) -> list[Callable[..., Column]]
     if rule.action == "normalize_numbers":
         return number_steps(**parameters)
     if rule.action == "to_numeric_strict":
-        return [lambda cell: numbers.to_numeric_strict(cell, rule.column)]
+        return strict_steps(rule.column)
     functions = {
         "trim_text": text.trim_text,
         "blank_to_null": text.blank_to_null,
@@ -81,6 +81,10 @@ def number_steps(
     ]
 
 
+def strict_steps(name: str) -> list[Callable[..., Column]]:
+    return [numbers.parse_strict, lambda cell, parsed: numbers.guard_strict(cell, parsed, name)]
+
+
 def run_steps(df: DataFrame, steps: dict[str, list[Callable[..., Column]]]) -> DataFrame:
     """Replace each named column by the result of its last step; earlier steps are projected first."""
     known = df.columns

@@ -28,11 +28,13 @@ def inventory(
     paths: str | Sequence[str],
     suffixes: Sequence[str] = K.BATCH_SUFFIXES,
     exclude: Sequence[str] = (),
+    most_workbook_bytes: int | None = None,
 ) -> DataFrame:
     """(path, suffix, length, modified, problem) of all files, recursively.
 
     Only listings are read, never contents. ``exclude`` names folders (such as the output folder)
-    whose files are left out.
+    whose files are left out. A workbook is parsed by one task, so a caller may refuse those above
+    ``most_workbook_bytes``.
     """
     wanted = [paths] if isinstance(paths, str) else list(paths)
     try:
@@ -62,7 +64,7 @@ def inventory(
         F.when(F.col("length") == 0, "empty file")
         .when(F.col("suffix") == ".xls", "legacy workbooks are not supported")
         .when(
-            F.col("suffix").isin(*K.WORKBOOK_SUFFIXES) & (F.col("length") > K.MAX_WORKBOOK_BYTES),
+            F.col("suffix").isin(*K.WORKBOOK_SUFFIXES) & (F.col("length") > F.lit(most_workbook_bytes)),
             "workbook is too large",
         )
         .when(~F.col("suffix").isin(*K.TEXT_SUFFIXES, *K.WORKBOOK_SUFFIXES), "unsupported file type")

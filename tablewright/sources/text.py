@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.columns import IDENTITY, ROW_ID, SOURCE_FILE, column, text_columns
+from tablewright.columns import CORRUPT, IDENTITY, ROW_ID, SOURCE_FILE, column, text_columns
 from tablewright.functions import constants as K
 from tablewright.sources.headers import IngestError, header_names
 from tablewright.sources.inventory import metadata_path
 
-CORRUPT = "_corrupt"
-SNIFF_LINES = 50
 SNIFF_SHARE = 0.9
 
 
@@ -56,56 +55,48 @@ def encodings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def separators(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, separator, header) from the first lines of each file.
+    """(path, separator, header) from all lines of each file.
 
-    The separator is the candidate that occurs equally often, outside quotes, in most lines.
+    The separator is the candidate that occurs equally often, outside quotes, in most lines. Lines
+    are counted by file, candidate and number of occurrences, which is small after the map side.
     """
     lines = spark.read.text(list(paths)).select(
         metadata_path().alias("path"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("line"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
         "value",
     )
-    order = Window.partitionBy("path").orderBy("line")
-    head = (
-        lines.filter((F.col("start") == 0) & (F.trim("value") != ""))
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= SNIFF_LINES)
-    )
     # The bytes are read as Latin-1 here, which keeps the separators and never fails.
     raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    bare = F.regexp_replace(raw, '"[^"]*"', "")
-    counted = head.select(
-        "path",
-        "rank",
-        "value",
-        *[
-            (F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))).alias(f"n{i}")
-            for i, sep in enumerate(K.DELIMITERS)
-        ],
+    counted = lines.filter(F.trim("value") != "").select(
+        "path", "at", F.col("value").cast("binary").alias("value"), F.regexp_replace(raw, '"[^"]*"', "").alias("bare")
     )
-    sums = [F.min_by(F.col("value").cast("binary"), "rank").alias("header")]
-    for i in range(len(K.DELIMITERS)):
-        # At most SNIFF_LINES numbers per file.
-        sums += [
-            F.mode(f"n{i}", deterministic=True).alias(f"m{i}"),
-            F.collect_list(f"n{i}").alias(f"l{i}"),
-            F.min_by(f"n{i}", "rank").alias(f"h{i}"),
-        ]
-    found = counted.groupBy("path").agg(*sums)
+    counts = F.array(*[F.length("bare") - F.length(F.replace("bare", F.lit(sep), F.lit(""))) for sep in K.DELIMITERS])
+    counted = counted.select("path", "at", "value", counts.alias("counts"))
+    header = counted.groupBy("path").agg(
+        F.count("*").alias("lines"), F.min_by("value", "at").alias("header"), F.min_by("counts", "at").alias("first")
+    )
+    same = (
+        counted.select("path", F.posexplode("counts").alias("candidate", "times"))
+        .groupBy("path", "candidate", "times")
+        .agg(F.count("*").alias("lines"))
+        .groupBy("path", "candidate")
+        .agg(F.max(F.struct("lines", (-F.col("times")).alias("times"))).alias("mode"))
+        .groupBy("path")
+        .agg(*[F.max(F.when(F.col("candidate") == i, F.col("mode"))).alias(f"m{i}") for i in range(len(K.DELIMITERS))])
+    )
+    found = header.join(same, "path")
 
     def share(i: int) -> Column:
-        same = F.size(F.filter(f"l{i}", lambda n: n == F.col(f"m{i}")))
-        return F.when(F.col(f"m{i}") > 0, same / F.size(f"l{i}")).otherwise(0.0)
+        return F.when(F.col(f"m{i}.times") < 0, F.col(f"m{i}.lines") / F.col("lines")).otherwise(0.0)
 
     shares = [share(i) for i in range(len(K.DELIMITERS))]
     best = F.greatest(*shares)
     # Without such a candidate the header decides, and a header of one name means a comma.
-    most = F.greatest(*[F.col(f"h{i}") for i in range(len(K.DELIMITERS))])
-    header = F.when(most == 0, K.DELIMITERS[0])
+    most = F.array_max("first")
+    by_header = F.when(most == 0, K.DELIMITERS[0])
     for i, sep in enumerate(K.DELIMITERS):
-        header = header.when(F.col(f"h{i}") == most, sep)
-    choice = F.when(best < SNIFF_SHARE, header)
+        by_header = by_header.when(F.get("first", F.lit(i)) == most, sep)
+    choice = F.when(best < SNIFF_SHARE, by_header)
     for i, sep in enumerate(K.DELIMITERS):
         choice = choice.when(shares[i] == best, sep)
     return found.select("path", choice.alias("separator"), "header")
@@ -172,37 +163,53 @@ def scan(spark: SparkSession, fmt: TextFormat, paths: Sequence[str]) -> DataFram
     )
 
 
+def _too_long(fmt: TextFormat) -> Column:
+    """Whether a malformed record has more fields than the header; quotes count only around a field."""
+    sep = re.escape(fmt.separator)
+    field = rf'(?s)(?:\A|{sep})(?:"(?:[^"]|"")*+"(?={sep}|\z)|[^{sep}]*)'
+    return F.coalesce(F.regexp_count(F.col(CORRUPT), F.lit(field)) > len(fmt.columns), F.lit(False))
+
+
 def split_rejects(scanned: DataFrame, fmt: TextFormat) -> tuple[DataFrame, DataFrame]:
     """Good rows, and rows with more fields than the header. Shorter rows are padded with nulls."""
-    bare = F.regexp_replace(CORRUPT, '"[^"]*"', "")
-    fields = F.length(bare) - F.length(F.replace(bare, F.lit(fmt.separator), F.lit(""))) + 1
-    too_long = F.coalesce(fields > len(fmt.columns), F.lit(False))
-    good = scanned.filter(~too_long).drop(CORRUPT)
-    bad = scanned.filter(too_long).select(
+    good = scanned.filter(~_too_long(fmt)).drop(CORRUPT)
+    bad = scanned.filter(_too_long(fmt)).select(
         column(SOURCE_FILE), column(ROW_ID), F.col(CORRUPT).alias("record"), F.lit("too many fields").alias("reason")
     )
     return good, bad
 
 
-def read_text(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """One table from files with equal columns: (staged rows, rejected rows)."""
+def read_text(
+    spark: SparkSession, paths: str | Sequence[str], any_order: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """One table from files with equal columns: (staged rows, rejected rows).
+
+    Files of one table may differ in separator, encoding or line breaks. Row ids are given once,
+    over the scans of all kinds together, so they are unique in the table. With ``any_order`` files
+    may name their columns in different orders.
+    """
     from tablewright.runner import stage
 
     wanted = [paths] if isinstance(paths, str) else list(paths)
     groups, failures = describe(spark, wanted)
     if failures:
         raise IngestError("; ".join(f"{path}: {reason}" for path, reason in failures))
-    if len({fmt.columns for fmt in groups}) != 1:
+    if len({tuple(sorted(fmt.columns)) if any_order else fmt.columns for fmt in groups}) != 1:
         raise IngestError(f"expected files with equal columns, found {len(groups)} kinds of file")
-    # Files of one table may differ in separator, encoding or line breaks; a row is known by its
-    # source file and row id.
-    parts = [split_rejects(stage(scan(spark, fmt, files), "scan"), fmt) for fmt, files in groups.items()]
-    good = reduce(DataFrame.unionByName, [rows for rows, _ in parts])
-    return good, reduce(DataFrame.unionByName, [rejected for _, rejected in parts])
+    surplus = "_surplus"
+    parts = [scan(spark, fmt, files).withColumn(surplus, _too_long(fmt)) for fmt, files in groups.items()]
+    every = reduce(DataFrame.unionByName, parts).withColumn(ROW_ID, F.monotonically_increasing_id())
+    rows = stage(every, "scan")
+    rejected = rows.filter(surplus).select(
+        column(SOURCE_FILE), column(ROW_ID), F.col(CORRUPT).alias("record"), F.lit("too many fields").alias("reason")
+    )
+    return rows.filter(~F.col(surplus)).drop(CORRUPT, surplus), rejected
 
 
 # How each type is written; a text like 'yes' or '1.5f' is none of them.
-_INTEGER = r"^[+-]?[0-9]{1,18}$"
+_INTEGER = r"^[+-]?[0-9]+$"
+# Integers up to this size are exact as doubles.
+_EXACT = 2**53
 _DOUBLE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity)$"
 _BOOLEAN = r"^(True|TRUE|true|False|FALSE|false)$"
 
@@ -211,13 +218,20 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     """Cast text columns whose every value is an integer, a double or a boolean; dates stay text.
 
     One aggregate over all columns decides. Codes with leading zeros become numbers, so this is
-    a choice of the caller and never the default.
+    a choice of the caller and never the default. Integers that do not fit 64 bits keep their
+    column text, as do whole numbers that a double would round.
     """
     names = [n for n in (columns or text_columns(df)) if n not in IDENTITY]
     sums = []
     for i, name in enumerate(names):
-        for kind, pattern in (("i", _INTEGER), ("d", _DOUBLE), ("b", _BOOLEAN)):
-            sums.append(F.bool_and(F.trim(column(name)).rlike(pattern)).alias(f"{kind}{i}"))
+        cell = F.trim(column(name))
+        whole = cell.try_cast("bigint")
+        rounded = cell.rlike(_INTEGER) & ~F.coalesce(whole.between(-_EXACT, _EXACT), F.lit(False))
+        sums += [
+            F.bool_and(cell.rlike(_INTEGER) & whole.isNotNull()).alias(f"i{i}"),
+            F.bool_and(cell.rlike(_DOUBLE) & ~rounded).alias(f"d{i}"),
+            F.bool_and(cell.rlike(_BOOLEAN)).alias(f"b{i}"),
+        ]
     if not names:
         return df
     row = df.agg(*sums).first()

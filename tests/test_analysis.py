@@ -10,7 +10,7 @@ from tablewright.operators import detect, profile
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.plans import propose
 from tablewright.plans import rules as R
-from tablewright.plans.intake import intake_proposals, rules_from_proposals
+from tablewright.plans.intake import intake_proposals, plans_from_proposals, rules_from_proposals
 
 
 def found(issues):
@@ -141,7 +141,7 @@ def test_proposal_intake(spark):
         "not json",
     ]
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "doc int, response string")
-    out = intake_proposals(df, "response", ["doc"]).orderBy("doc", "ordinal").collect()
+    out = intake_proposals(df, "response", ["doc"], most=20, reason_chars=500).orderBy("doc", "ordinal").collect()
     by_doc = lambda d: [r for r in out if r.doc == d]
     assert [r.accepted for r in by_doc(0)] == [True, False, False, False, False, True]
     assert len(by_doc(0)[0].reason) == 500 and by_doc(0)[0].note == "reason was shortened"
@@ -149,6 +149,9 @@ def test_proposal_intake(spark):
     assert sum(r.accepted for r in by_doc(1)) == 20 and len(by_doc(1)) == 25
     assert [r.note for r in by_doc(2)] == ["proposals is not a list"]
     assert [r.note for r in by_doc(3) + by_doc(4)] == ["no valid proposal"] * 2
+    every = intake_proposals(df, "response", ["doc"])
+    assert {k: len(p.rules) for k, p in plans_from_proposals(every, ["doc"]).items()} == {(0,): 2, (1,): 25}
+    assert every.agg(F.max(F.length("reason"))).first()[0] == 800
     plan = rules_from_proposals(intake_proposals(df.filter("doc = 0"), "response"))
     assert [(r.action, r.parameters, r.approved) for r in plan.rules] == [("trim_text", {"x": 1}, False), ("trim_text", {}, False)]
 

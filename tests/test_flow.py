@@ -12,6 +12,7 @@ from tablewright.plans.plan import Plan
 from tablewright.runner import clean_table, stage
 from tablewright.sinks.publish import PublishError, publish
 from tablewright.sources import text, workbook
+from tablewright.sources.text import read_text
 from tablewright.sources.headers import IngestError, header_names
 from tablewright.sources.inventory import inventory
 from tablewright.streaming.incremental import apply_stream, clean_new_files
@@ -210,6 +211,52 @@ def test_workbooks(spark, tmp_path):
             workbook.read_workbook(spark, bad)
 
 
+def test_text_files_survive_the_whole_path(spark, tmp_path):
+    """Files of two formats through read_text and clean_table; no row id repeats, nothing is lost."""
+    a = write(tmp_path, "a.csv", 'x,y,z\n1, a ,\n1, a ,\n5" pipe,3" bolt,c,LOST\n"q,1",2,3\n')
+    b = write(tmp_path, "b.csv", "x;y;z\n1; a ;\n2;b\n1;2;3;;5\n")
+    good, bad = read_text(spark, [a, b])
+    assert sorted(r.record for r in bad.collect()) == ["1;2;3;;5", '5" pipe,3" bolt,c,LOST']
+    ids = [r[ROW_ID] for r in good.collect()]
+    assert len(ids) == len(set(ids)) == 5
+    outcome = clean_table(good, Plan((R.trim_text("y"), R.dedupe_exact())).approve())
+    assert outcome.validation.valid, outcome.validation.errors
+    got = sorted(tuple(r) for r in outcome.cleaned.select("x", "y", "z").collect())
+    assert got == [("1", "a", None), ("2", "b", None), ("q,1", "2", "3")]
+    with pytest.raises(IngestError):
+        read_text(spark, write(tmp_path, "c.csv", "_row_id,x\n1,2\n"))
+
+
+def test_published_text_keeps_every_cell(spark, tmp_path):
+    cells = [" a ", "b\t", None, "", '"q"', "x,y", "l\nm", "=f"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "n int, c string")
+    publish(df, str(tmp_path / "two"), ValidationResult(True), "csv")
+    good, bad = read_text(spark, str(tmp_path / "two"))
+    want = [c or None for c in cells[:-1]] + ["'=f"]
+    assert [r.c for r in sorted(good.collect(), key=lambda r: int(r.n))] == want and bad.count() == 0
+    publish(df.select("c"), str(tmp_path / "one"), ValidationResult(True), "csv")
+    good, _ = read_text(spark, str(tmp_path / "one"))
+    assert sorted((r.c for r in good.collect()), key=str) == sorted(want, key=str)
+    with pytest.raises(PublishError):
+        publish(df, str(tmp_path / "two"), ValidationResult(True), "csv")
+    publish(df.filter("n > 3"), str(tmp_path / "two"), ValidationResult(True), "csv", overwrite=True)
+    assert spark.read.option("header", True).csv(str(tmp_path / "two")).count() >= 4
+    assert [p.name for p in tmp_path.iterdir() if "writing" in p.name] == []
+
+
+def test_folder_edge_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    write(folder, "header.csv", "a;b\n")
+    write(folder, "rows.csv", "file,v\nx1,1\nx2,2\nx0,3\n")
+    write(folder, "twice.csv", "k,K\n1,2\n")
+    run = clean_folder(spark, str(folder), str(tmp_path / "out"))
+    items = {r.source.rsplit("/", 1)[1]: (r.status, r.rows_before, r.result) for r in run.items.collect()}
+    assert items == {"header.csv": ("ok", 0, "UNCHANGED"), "rows.csv": ("ok", 3, "UNCHANGED"), "twice.csv": ("error", None, None)}
+    rows = spark.read.option("header", True).csv(run.output + "/kind=*/_file=rows-*")
+    assert [r.file for r in rows.collect()] == ["x1", "x2", "x0"]
+    assert spark.read.option("header", True).csv(run.output + "/kind=*/_file=header-*").columns == ["a", "b"]
+
+
 def test_folder_batch(spark, tmp_path):
     folder = tmp_path / "in"
     write(folder, "clientes.csv", "Nombre,Email\n Ana ,a@x\nana,a@x\nBeto,b@x\nBETO,b@x\n")
@@ -230,9 +277,9 @@ def test_folder_batch(spark, tmp_path):
     assert (total.files_found, total.processed_ok, total.errors, total.cleaned, total.unchanged) == (5, 3, 2, 2, 1)
     assert batch.self_check(run.items, run.summary).first().consistent
     assert run.rejects.count() == 2
-    sales = spark.read.option("header", True).csv(run.output + "/kind=*/file=ventas-*")
+    sales = spark.read.option("header", True).csv(run.output + "/kind=*/_file=ventas-*")
     assert sorted(tuple(r) for r in sales.select("Fecha", "Monto").collect()) == [
-        ("2026-05-12", "1250.5"), ("2026-05-13", "'-150.0"), ("2026-06-01", "2000.0")
+        ("2026-05-12", "1250.5"), ("2026-05-13", "-150.0"), ("2026-06-01", "2000.0")
     ]
     again = clean_folder(spark, str(folder), str(tmp_path / "out"))
     assert again.summary.first().files_found == 5 and again.output != run.output
@@ -242,12 +289,10 @@ def test_one_source_with_most_rows(spark):
     """Decisions and duplicates belong to a source, also when one source dominates."""
     rows = [("big", i, f" v{i % 5} ", "1,5") for i in range(300)] + [("small", 1000 + i, f"v{i}", "word") for i in range(9)]
     df = spark.createDataFrame(rows, f"{SOURCE_FILE} string, {ROW_ID} long, a string, b string")
-    for sources in (None, 2):
-        chosen = batch.source_decisions(df)
-        out = batch.clean_sources(df, chosen, sources=sources)
-        counts = {r[SOURCE_FILE]: r["count"] for r in out.groupBy(SOURCE_FILE).count().collect()}
-        assert counts == {"big": 5, "small": 9}
-        assert {r.b for r in out.collect()} == {"1.5", "word"}
+    out = batch.clean_sources(df, batch.source_decisions(df))
+    counts = {r[SOURCE_FILE]: r["count"] for r in out.groupBy(SOURCE_FILE).count().collect()}
+    assert counts == {"big": 5, "small": 9}
+    assert {r.b for r in out.collect()} == {"1.5", "word"}
 
 
 def test_streams(spark, tmp_path):
