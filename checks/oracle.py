@@ -193,7 +193,8 @@ ORACLE["drop_empty_rows"] = _with(
 )
 ORACLE["drop_empty_columns"] = _with("dirty_events", "SELECT event_id, user_id, event_type, value FROM dirty_events")
 ORACLE["dedupe_exact"] = _with("dirty_dup_customer", "SELECT DISTINCT name, segment FROM dirty_dup_customer")
-ORACLE["dedupe_exact_documents"] = 'SELECT min(doc_id) AS doc_id, "text", lang FROM documents GROUP BY "text", lang'
+ORACLE["dedupe_exact_documents"] = """SELECT min(doc_id) AS doc_id, "text", lang, source, n_chars FROM documents
+    GROUP BY "text", lang, source, n_chars"""
 ORACLE["dedupe_trim_then_exact"] = _with(
     "dirty_dup_customer", f"SELECT DISTINCT {strip('name')} AS name, segment FROM dirty_dup_customer"
 )
@@ -206,9 +207,9 @@ for _name, _desc in (("first", ""), ("last", "DESC")):
         QUALIFY row_number() OVER (PARTITION BY "text" ORDER BY doc_id {_desc}) = 1"""
 ORACLE["dedupe_by_key_composite"] = """SELECT event_id, user_id, event_type, value, props FROM events
     QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1"""
-ORACLE["dedupe_by_key_lineitem"] = """SELECT * EXCLUDE (l_shipdate) FROM lineitem
+ORACLE["dedupe_by_key_lineitem"] = """SELECT * FROM lineitem
     QUALIFY row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_extendedprice, l_orderkey,
-      l_linenumber, l_suppkey, l_quantity, l_discount, l_tax, l_linestatus) = 1"""
+      l_linenumber, l_suppkey, l_quantity, l_discount, l_tax, l_linestatus, l_shipdate) = 1"""
 
 # Profiles ---------------------------------------------------------------------------------------
 
@@ -237,7 +238,7 @@ ORACLE["profile_orders"] = _profile(
     [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_orderpriority", "string")],
 )
 ORACLE["profile_documents"] = _profile(
-    "documents", "doc_id", [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string")], False
+    "documents", "doc_id", [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")], False
 )
 ORACLE["table_stats"] = "SELECT count(*) AS row_count, CAST(11 AS BIGINT) AS column_count FROM lineitem"
 
@@ -603,8 +604,9 @@ ORACLE["delimiter_sniff"] = _with(
 ORACLE["header_normalise"] = """SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS "Columna_2",
     CAST(n_regionkey AS VARCHAR) AS region FROM nation"""
 ORACLE["encoding_detect"] = "SELECT doc_id || '#' || replace(lower(lang), 'e', '€') AS line FROM documents"
-ORACLE["infer_column_types"] = """SELECT l_orderkey, l_quantity, l_returnflag, CAST(l_linenumber AS BIGINT) AS l_linenumber
-    FROM lineitem"""
+ORACLE["infer_column_types"] = """SELECT * REPLACE (CAST(l_linenumber AS BIGINT) AS l_linenumber,
+      CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS l_shipdate), l_orderkey + 1234567890123456789 AS wide,
+    '9' || CAST(l_orderkey + 1234567890123456789 AS VARCHAR) AS wider FROM lineitem"""
 ORACLE["ragged_rows"] = """SELECT CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'kept' END AS part,
     CASE event_type WHEN 'error' THEN 'too many fields' WHEN 'view' THEN NULL ELSE event_type END AS kind, count(*) AS n
     FROM events GROUP BY ALL"""

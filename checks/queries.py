@@ -167,8 +167,8 @@ def dedupe_exact(spark, sf_dir):
 
 @query
 def dedupe_exact_documents(spark, sf_dir):
-    """The first of equal texts, kept with its row id."""
-    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(ROW_ID), "text", "lang")
+    """The first of documents that agree in all columns but their id, kept with its row id."""
+    df = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", ROW_ID)
     return rows.dedupe_exact(df).withColumnRenamed(ROW_ID, "doc_id")
 
 
@@ -202,7 +202,7 @@ def dedupe_by_key_composite(spark, sf_dir):
 
 @query
 def dedupe_by_key_lineitem(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").drop("l_shipdate")
+    df = table(spark, sf_dir, "lineitem")
     order = ["l_extendedprice", "l_orderkey", "l_linenumber"]
     return rows.dedupe_by_key(df, ["l_partkey", "l_returnflag"], "first", order)
 
@@ -230,7 +230,7 @@ def profile_orders(spark, sf_dir):
 
 @query
 def profile_documents(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    df = table(spark, sf_dir, "documents")
     return _profile_rows(profile.profile(df, order_by="doc_id")).drop("samples")
 
 
@@ -686,9 +686,13 @@ def encoding_detect(spark, sf_dir):
 @query
 def infer_column_types(spark, sf_dir):
     """Every column read as text, then given the type that all of its values have."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag", "l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
+    # Nineteen digits fit 64 bits, twenty do not and stay text.
+    lines = lines.withColumn("wide", F.col("l_orderkey") + F.lit(1234567890123456789)).withColumn(
+        "wider", F.concat(F.lit("9"), F.col("wide").cast("string"))
+    )
     good, _ = read_text(spark, _written(lines, "typed"))
-    return infer_types(good).select("l_orderkey", "l_quantity", "l_returnflag", "l_linenumber")
+    return infer_types(good).select(lines.columns)
 
 
 @query
