@@ -109,6 +109,13 @@ def _entry(m: _Metrics, position: int, rule: Rule) -> Column | None:
         before, changed = m.nulls_before(name), m.rows_before()
         after = m.nulls_after(first) if first in m.after else zero
         summary = F.lit(f"split on {parameters['delimiter']!r} into {parameters['new_column_names']}")
+    elif rule.action == "rename_column":
+        new = parameters["new_name"]
+        if name not in m.before or new not in m.after:
+            return None
+        kind_in, kind_out = types_in[name], types_out[new]
+        before, after = m.nulls_before(name), m.nulls_after(new)
+        summary = F.lit(f"renamed to {new!r}")
     elif rule.action == "merge_columns":
         name, sources = parameters["new_column_name"], parameters["source_columns"]
         if name not in m.after:

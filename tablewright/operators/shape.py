@@ -46,6 +46,11 @@ def split_column(
     return source.select(*out)
 
 
+def rename_column(df: DataFrame, name: str, new_name: str) -> DataFrame:
+    """The column keeps its place under another name."""
+    return df.select(*[column(n).alias(new_name) if n == name else column(n) for n in df.columns])
+
+
 def extra_parts(df: DataFrame, name: str, delimiter: str, kept: int) -> Column:
     """True where a split would silently drop parts."""
     text = cells.as_text(column(name), type_of(df, name))

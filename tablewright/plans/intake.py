@@ -14,6 +14,10 @@ from tablewright.plans.plan import Plan
 from tablewright.plans.rules import ACTIONS, Rule
 
 
+# A response names rules of the engine, not functions of the caller.
+PROPOSABLE = tuple(action for action in ACTIONS if action != "custom")
+
+
 def intake_proposals(
     df: DataFrame,
     response: str,
@@ -73,7 +77,7 @@ def intake_proposals(
         .when(F.col("ordinal").isNull(), "no valid proposal")
         .when(F.lit(most is not None) & (F.col("ordinal") >= (most or 0)), f"over the limit of {most} proposals")
         .when(~F.coalesce("_object", F.lit(False)), "not an object")
-        .when(F.col("action").isNull() | ~F.col("action").isin(*ACTIONS), "unknown action")
+        .when(F.col("action").isNull() | ~F.col("action").isin(*PROPOSABLE), "unknown action")
         .when(F.col("_confidence").isNull(), "confidence is not a number")
         .when(~F.col("_confidence").between(0, 1), "confidence is out of range")
         .when(F.col("_reason_kind").isNotNull() & (F.col("_reason_kind") != "STRING"), "reason is not text")

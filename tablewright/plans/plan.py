@@ -15,6 +15,7 @@ from tablewright.functions import dates, numbers, text
 from tablewright.operators import rows, shape
 from tablewright.plans.rules import (
     CELL_ACTIONS,
+    CUSTOM,
     LOSSY_ACTIONS,
     ROW_ACTIONS,
     WITHOUT_PARAMETERS,
@@ -32,6 +33,8 @@ def cell_steps(rule: Rule, data_type: T.DataType) -> list[Callable[..., Column]]
     """
     parameters = {} if rule.action in WITHOUT_PARAMETERS else dict(rule.parameters)
     textual = isinstance(data_type, T.StringType)
+    if rule.action == "custom":
+        return [CUSTOM[parameters["name"]]]
     if rule.action == "normalize_dates":
         if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             return [lambda cell: F.date_format(cell, "yyyy-MM-dd")]
@@ -310,6 +313,8 @@ def _apply_run(
         return shape.drop_empty_columns(df)
     if rule.action == "split_column":
         return shape.split_column(df, rule.column, **rule.parameters)
+    if rule.action == "rename_column":
+        return shape.rename_column(df, rule.column, **rule.parameters)
     return shape.merge_columns(df, **rule.parameters)
 
 

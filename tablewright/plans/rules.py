@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
+from pyspark.sql import Column
+
+from tablewright.columns import RESERVED
 from tablewright.functions.dates import default_pivot_year
 from tablewright.functions.text import java_regex
 
@@ -20,8 +23,9 @@ CELL_ACTIONS = (
     "normalize_numbers",
     "replace_values",
     "strip_invisibles",
+    "custom",
 )
-SHAPE_ACTIONS = ("split_column", "merge_columns")
+SHAPE_ACTIONS = ("split_column", "merge_columns", "rename_column")
 ROW_ACTIONS = ("drop_empty_rows", "dedupe_exact", "dedupe_by_key")
 TABLE_ACTIONS = ("drop_empty_rows", "drop_empty_columns", "dedupe_exact", "merge_columns")
 ACTIONS = (*CELL_ACTIONS, *SHAPE_ACTIONS, *ROW_ACTIONS, "drop_empty_columns", "flag_for_review")
@@ -43,6 +47,17 @@ class RuleError(ValueError):
     """A rule is invalid, or applying it would destroy data."""
 
 
+#: Functions of custom rules by name; a plan holds the name, so that a replay finds the same function.
+CUSTOM: dict[str, Callable[[Column], Column]] = {}
+
+
+def register_custom(name: str, function: Callable[[Column], Column]) -> None:
+    """Make a deterministic ``Column`` to ``Column`` function known to plans under a name."""
+    if name in CUSTOM and CUSTOM[name] is not function:
+        raise RuleError(f"a custom rule named '{name}' exists already")
+    CUSTOM[name] = function
+
+
 @dataclass(frozen=True)
 class Rule:
     action: str
@@ -131,6 +146,15 @@ def problems(rule: Rule, columns: Iterable[str] | None = None) -> list[str]:
             found.append(f"merge_columns: column '{name}' already exists")
         if not isinstance(parameters.get("separator", " "), str):
             found.append("merge_columns: separator must be text")
+    elif rule.action == "rename_column":
+        name = parameters.get("new_name")
+        if not isinstance(name, str) or not name or name in RESERVED:
+            found.append("rename_column: new_name must be a name that is not reserved")
+        elif known is not None and name != rule.column and name in known:
+            found.append(f"rename_column: column '{name}' already exists")
+    elif rule.action == "custom":
+        if parameters.get("name") not in CUSTOM:
+            found.append(f"custom: no function is registered as {parameters.get('name')!r}")
     elif rule.action == "replace_values":
         found.extend(_mapping_problems(parameters.get("mappings")))
     return found
@@ -167,6 +191,16 @@ def _rule(action: str, column: str | None, description: str, **parameters: Any)
     return check(Rule(action, column, parameters, description))
 
 
+def rename_column(column: str, new_name: str) -> Rule:
+    """A better name for a column, such as one that was numbered for want of a header."""
+    return _rule("rename_column", column, f"Rename '{column}' to '{new_name}'", new_name=new_name)
+
+
+def custom(column: str, name: str) -> Rule:
+    """Apply the function registered under ``name``."""
+    return _rule("custom", column, f"Apply '{name}' to '{column}'", name=name)
+
+
 def drop_empty_rows() -> Rule:
     return _rule("drop_empty_rows", None, "Drop rows that are null in every column")
 

@@ -147,3 +147,21 @@ def test_key_dedupe_limits_groups_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     physical = rows.dedupe_by_key(df, ["k"], "first", ["v"])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in physical and "Partial" in physical
+
+
+def test_rename_and_custom_rules(spark):
+    from tablewright.runner import clean_table
+
+    R.register_custom("shout", lambda cell: F.concat(cell, F.lit("!")))
+    with pytest.raises(R.RuleError):
+        R.custom("a", "unknown")
+    with pytest.raises(R.RuleError):
+        R.rename_column("a", "_row_id")
+    plan = Plan((R.custom("Columna_1", "shout"), R.rename_column("Columna_1", "name"), R.trim_text("name"))).approve()
+    assert Plan.from_json(plan.to_json()) == plan
+    df = spark.createDataFrame([(" a", 1), (None, 2)], "Columna_1 string, n int")
+    outcome = clean_table(df, plan)
+    assert outcome.validation.valid and sorted(map(tuple, outcome.cleaned.select("n", "name").collect())) == [(1, "a!"), (2, None)]
+    assert outcome.cleaned.columns[1:] == ["name", "n"]
+    with pytest.raises(R.RuleError):
+        Plan((R.rename_column("Columna_1", "n"),)).approve().apply(df)
