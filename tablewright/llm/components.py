@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import drop_stage, stage
 
+#: Edges per task. A round over few edges then needs few tasks and, with one, no shuffle.
+EDGES_PER_TASK = 200_000
+
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node around it."""
@@ -23,8 +26,21 @@ def _small(edges: DataFrame) -> DataFrame:
     )
 
 
-def _state() -> list:
-    return [F.count("*"), F.sum(F.hash("u", "v").cast("long"))]
+def _open(edges: DataFrame) -> tuple[int, int]:
+    """Number of edges, and of nodes that keep them from being stars around their smallest node."""
+    ends = edges.select(F.col("u").alias("node"), "v", F.lit(True).alias("out"), F.lit(False).alias("in")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("v"), F.lit(False).alias("out"), F.lit(True).alias("in"))
+    )
+    nodes = ends.groupBy("node").agg(
+        F.min("v").alias("low"), F.max("v").alias("high"), F.max("out").alias("out"), F.max("in").alias("in"), F.count("v").alias("edges")
+    )
+    wrong = F.col("out") & (F.col("in") | (F.col("low") != F.col("high")))
+    row = nodes.agg(F.sum("edges"), F.count_if(wrong)).first()
+    return row[0] or 0, row[1] or 0
+
+
+def _sized(edges: DataFrame, count: int) -> DataFrame:
+    return edges.coalesce(max(1, -(-count // EDGES_PER_TASK)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,14 +53,12 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     links = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     links = stage(links, "components")
-    before = links.agg(*_state()).first()
-    while before[0]:
-        after = stage(_small(_large(links).distinct()).filter("u <> v").distinct(), "components")
-        count = after.agg(*_state()).first()
+    count, wrong = _open(links)
+    while wrong:
+        before = _sized(links, count)
+        after = stage(_sized(_small(_large(before)).filter("u <> v").distinct(), count), "components")
         drop_stage(spark, links)
         links = after
-        if count == before:
-            break
-        before = count
+        count, wrong = _open(_sized(links, count))
     labels = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())

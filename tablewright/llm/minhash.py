@@ -11,7 +11,8 @@ components.
 Defined cases: null and wordless texts have no shingles and are linked with nothing; a text with fewer
 words than a shingle is one shingle; identical sets are linked through their smallest key before
 any node is built, so copies cost nothing further. Repeated words and shingles count once. ``key``
-must be unique and not null. Extra columns are ignored. An empty table gives an empty result.
+must be unique; a row without one takes the component of its copies, if any, and is never kept before
+them. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from tablewright.llm.components import components
 #: exhaustively; levels of branching.
 TOKENS = 64
 TREES = 8
-NODE_DOCS = 1_500
+NODE_DOCS = 4_096
 NODE_SHINGLES = 3_000_000
 LEVELS = 16
 #: Pairs whose estimate lies this much below the threshold (four standard deviations) are dropped.
@@ -112,21 +113,22 @@ def _branches(rows: DataFrame, threshold: float) -> DataFrame:
     return out.withColumn("path", F.xxhash64("path", "place", F.substr("tokens", (F.col("place") * 4 + 1).cast("int"), F.lit(4)))).drop("place")
 
 
-def _nodes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of small nodes (one node of each set of members), and of nodes that are too large.
+def _nodes(members: DataFrame) -> DataFrame:
+    """Members of the nodes to compare, one node of each small set of members.
 
     Nodes whose documents share one label are connected already and left out. ``blocks`` is the number
-    of blocks that a large node is dealt into.
+    of blocks that a node is dealt into which is too large, else null.
     """
     seen = members.groupBy("path").agg(
         F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.min("label").alias("low"), F.max("label").alias("high"),
         F.bit_xor(F.xxhash64("key")).alias("who"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("too"),
     ).filter("low <> high")
     small = (F.col("docs") == 2) | ((F.col("docs") <= NODE_DOCS) & (F.col("shingles") <= NODE_SHINGLES))
-    first = seen.filter(small).groupBy("docs", "who", "too").agg(F.min("path").alias("path"))
     blocks = F.ceil(F.greatest(F.col("docs") / NODE_DOCS, F.col("shingles") / NODE_SHINGLES) * 2)
-    large = seen.filter(~small).select("path", blocks.alias("blocks"))
-    return members.join(first.select("path"), "path"), members.join(large, "path")
+    kept = seen.groupBy("docs", "who", "too", F.when(~small, F.col("path")).alias("large")).agg(
+        F.min("path").alias("path"), F.min(F.when(~small, blocks)).alias("blocks")
+    )
+    return members.join(kept.select("path", "blocks"), "path")
 
 
 def _likely(tokens: np.ndarray, least: float) -> np.ndarray:
@@ -158,9 +160,10 @@ def _sift(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def confirmed_links(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links of one node that span its components: pairs with intersection / union >= percent / 100.
+    """Components of one node under links with intersection / union >= percent / 100.
 
-    Every document is compared with all that are not yet known to be connected to it.
+    Every document is compared with all that are not yet known to be connected to it. The result
+    links each document to the smallest key of its component.
     """
     order = np.lexsort((keys, [len(s) for s in sets]))
     keys, sets = keys[order], [sets[i] for i in order]
@@ -171,7 +174,6 @@ def confirmed_links(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> l
     bounds = np.searchsorted(inverse[by_value], np.arange(len(values) + 1))
     holders, offsets = owner[by_value], np.append(0, np.cumsum(sizes))
     label = np.arange(len(sets))
-    links = []
     for i in range(len(sets)):
         if (label == label[i]).all():
             break
@@ -181,11 +183,11 @@ def confirmed_links(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> l
         first = np.repeat(bounds[mine] - np.append(0, np.cumsum(lengths)[:-1]), lengths)
         shared += np.bincount(holders[first + np.arange(lengths.sum())], minlength=len(sets))
         near = (100 * shared >= percent * (sizes + sizes[i] - shared)) & (label != label[i])
-        for j in np.flatnonzero(near):
-            if label[j] != label[i]:
-                links.append((int(keys[i]), int(keys[j])))
-                label[label == label[j]] = label[i]
-    return links
+        if near.any():
+            label[np.isin(label, label[near])] = label[i]
+    least = np.full(len(sets), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, keys)
+    return [(int(k), int(m)) for k, m in zip(keys, least[label]) if k != m]
 
 
 def _confirm(likely: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -206,12 +208,19 @@ def _confirm(likely: DataFrame, docs: DataFrame, key: str, text: str, size: int,
                 u, v = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    # The keys of likely documents grow with the corpus, so they are never broadcast.
+    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).hint("merge")
     sets = texts.join(likely.select("key").distinct(), "key").select("key", "text").mapInArrow(build, "key long, shingles binary")
-    dealt = likely.join(sets, "key").repartition("path").sortWithinPartitions("path")
+    dealt = likely.hint("merge").join(sets, "key").repartition("path").sortWithinPartitions("path")
     return dealt.select("path", "key", "shingles").mapInArrow(compare, "u long, v long")
 
 
+def _neighbours(edges: DataFrame) -> DataFrame:
+    """Smallest node among each node and its neighbours: equal ones are connected through it."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("component"))
+
+
 def _pairs_of_blocks(large: DataFrame) -> DataFrame:
     """Members of large nodes in one group for each pair of blocks: every pair of members meets."""
     mine = F.pmod(F.xxhash64("key"), F.col("blocks"))
@@ -246,15 +255,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         edges = found if edges is None else edges.unionByName(found)
 
     for level in range(LEVELS):
-        rows = stage(_branches(members, threshold).select("path", "key", "n", "label"), "minhash-nodes")
-        old.append(rows)
-        small, large = _nodes(rows)
-        block = F.pmod(F.xxhash64("key", F.lit(level)), F.col("blocks"))
-        compare(small.select("path", "key").unionByName(large.select(F.xxhash64("path", block).alias("path"), "key")))
+        nodes = stage(_nodes(_branches(members, threshold).select("path", "key", "n", "label")), "minhash-nodes")
+        old.append(nodes)
+        block = F.xxhash64("path", F.pmod(F.xxhash64("key", F.lit(level)), F.col("blocks")))
+        compare(nodes.select(F.when(F.col("blocks").isNull(), F.col("path")).otherwise(block).alias("path"), "key"))
+        large = nodes.filter("blocks is not null")
         if large.isEmpty():
             break
-        known = components(edges)
-        old.append(known)
+        # At first the smallest neighbour will do as a label; later all that is known counts.
+        known = _neighbours(edges) if level == 0 else components(edges)
         labelled = large.drop("label").join(known.withColumnRenamed("node", "key"), "key", "left")
         members = labelled.join(tokens, "key").select(
             "path", "key", "n", "tokens", "blocks", F.coalesce("component", "key").alias("label")
