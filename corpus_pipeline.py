@@ -35,8 +35,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(found, docs["doc_id"] == found["_kept"], "left_semi")
+    copies = minhash.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_copy"))
+    return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

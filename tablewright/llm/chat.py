@@ -9,7 +9,8 @@ as one conversation::
 Control strings that occur inside a role or a text get one backslash after their first character; one
 that has backslashes there already gets one more, so that reading back removes exactly one.
 
-Defined cases: null role, text and score count as empty, empty and 0. A message whose parent is null
+Defined cases: null role, text and score count as empty, empty and 0; messages without a tree or node
+are left out. A message whose parent is null
 or unknown is a root. Repeated node ids within a tree are merged to the row that sorts first by
 (parent, role, text). Messages on a cycle have no root and are in no path. Ties between branches go to
 the smaller leaf. Extra columns are ignored. A conversation is one string, so one path must fit into

@@ -7,8 +7,8 @@ on it, length and position bounds drop what cannot fit, and the words of what is
 
 Defined cases: words are runs of characters that are no ASCII punctuation, space or control; A-Z count
 as a-z, other characters as they are. Null and wordless texts have no words and are never hit; items
-without words have no window. Repeated items share their windows and each count. Overlapping hits
-count each word once. Extra columns of the documents are kept; clashing result columns are replaced.
+without words have no window. Repeated items share their windows and each count; an item without an id
+hits but is not listed. Documents without a key are never hit. Overlapping hits count each word once. Extra columns of the documents are kept; clashing result columns are replaced.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ reach, and a coded vector is passed on if its estimate is within reach plus its
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows without a
 label, link with nothing; so do vectors of different lengths. Equal vectors of one label are one row
-of the index with a count. ``key`` must be unique and not null. An empty table gives an empty result.
+of the index with a count. ``key`` must be unique; a row without one gets the links of its equals, if
+there are any, and links nothing itself. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def _unit(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     v = F.col("v")
     clean = df.select(F.col(key).cast("long").alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    clean = clean.filter("label is not null and v is not null").filter(finite & F.exists(v, lambda x: x != 0))
+    clean = clean.filter("key is not null and label is not null and v is not null").filter(finite & F.exists(v, lambda x: x != 0))
     # -0.0 and 0.0 are one number here
     clean = clean.withColumn("v", F.transform(v, lambda x: x + F.lit(0.0)))
     return clean.groupBy("label", "v").agg(F.min("key").alias("key"), F.count("*").alias("times"))
