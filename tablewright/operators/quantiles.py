@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tablewright.columns import count_if, present
 
 ACCURACY = 10_000
-# Values between two brackets that may be sorted together.
+# Values between brackets that one aggregate may gather, for all open ranks together.
 BRACKET_LIMIT = 200_000
 
 
@@ -45,8 +45,8 @@ def exact_quantiles(
 
     ``percentile`` would gather every distinct value of a column in one task. Instead a sketch
     brackets each wanted rank, one aggregate counts the values below, at and between the ends,
-    and only at most ``limit`` values between the ends are ever sorted. A larger rest is
-    bracketed again; each round leaves the ends out, so it always shrinks. All columns share
+    and only at most ``limit`` values between the ends, of all ranks together, are gathered and
+    sorted. A larger rest is bracketed again; each round leaves the ends out, so it always shrinks. All columns share
     each round, and the sketch leaves about one value in five thousand.
     """
     names = list(columns)
@@ -127,15 +127,20 @@ def _narrow(
             inner.append((one, at - row[f"l{s}"], inside))
     if not inner:
         return still
+    room, gathered = limit, set()
+    for s in sorted(range(len(inner)), key=lambda s: inner[s][2]):
+        if inner[s][2] <= room:
+            gathered.add(s)
+            room -= inner[s][2]
     reads = []
     for s, (one, at, inside) in enumerate(inner):
-        if inside <= limit:
+        if s in gathered:
             reads.append(F.get(F.sort_array(F.collect_list(one.between)), F.lit(at)).alias(f"v{s}"))
         else:
             reads.append(F.percentile_approx(one.between, one.sketch((at + 1) / inside), ACCURACY).alias(f"v{s}"))
     row = values.agg(*reads).first()
-    for s, (one, _, inside) in enumerate(inner):
-        if inside <= limit:
+    for s, (one, _, _) in enumerate(inner):
+        if s in gathered:
             found[(one.place, one.rank)] = row[f"v{s}"]
         else:
             one.low, one.high = row[f"v{s}"]
