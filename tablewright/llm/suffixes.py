@@ -17,7 +17,8 @@ Its strings are counted by 128-bit digests instead, which spread over all tasks.
 
 Defined cases: null counts as empty; texts shorter than ``length`` keep all their bytes; matches never
 cross texts; overlapping occurrences in one text count; all repeats are judged on the input. ``key``
-must be unique and not null. Extra columns are ignored here.
+must be unique; repeated rows count as copies of each other, and rows without a key are neither
+searched nor cut. Extra columns are ignored here.
 """
 
 from __future__ import annotations
@@ -384,11 +385,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    marks = stage(anchors(texts, length), "suffix-anchors")
+    marks = stage(anchors(texts.filter("key is not null"), length), "suffix-anchors")
     grams = marks.groupBy("gram", "context").agg(F.count("*").alias("times")).groupBy("gram").agg(
         F.sum("times").alias("times"), (F.count("*") > HOT_CONTEXTS).alias("hot")
     )
-    shared = marks.join(grams.filter("times > 1"), "gram").select("key", "p", "lo", "hi", "hot", "head")
+    # Written first, so that the join has a shuffle on both sides and a frequent gram can be split.
+    grams = stage(grams.filter("times > 1").select("gram", "hot"), "suffix-grams")
+    shared = marks.join(grams, "gram").select("key", "p", "lo", "hi", "hot", "head")
     shared = stage(shared, "suffix-shared")
     total = shared.filter("not hot").count()
     ranges = max(1, min(MOST_RANGES, -(-total // RANGE_ANCHORS)))
@@ -413,7 +416,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         .agg(F.flatten(F.collect_list("part")).alias("found"))
     )
     spans = stage(spans, "suffix-spans")
-    for old in (marks, shared, runs):
+    for old in (marks, grams, shared, runs):
         drop_stage(spark, old)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
