@@ -30,16 +30,19 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reach_package(spark)
     found = langid.identify(docs, language_model(docs))
     return found.filter("not rejected").select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reach_package(spark)
     copies = minhash.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_copy"))
     return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reach_package(spark)
     cut = suffixes.remove_repeats(docs).filter("n_removed > 0").select(
         F.col("doc_id").alias("_id"), F.col("kept_text").alias("_text")
     )
@@ -51,13 +54,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reach_package(spark)
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return found.filter("not contaminated").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reach_package(spark)
     ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, offsets=False)
-    done = bpe.decode(ids, RANKS, public_tokenizers.PATTERN)
+    done = bpe.decode(ids, RANKS)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     checked = F.when(same, F.sha2("decoded", 256)).otherwise(F.raise_error(F.lit("tokens do not decode to their text")).cast("string"))
     return done.select("doc_id", "lang", "source", "n_tokens", "ids", checked.alias("decoded_sha256"))
@@ -76,7 +81,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another, each written and read again."""
-    reach_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")

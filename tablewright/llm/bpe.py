@@ -8,14 +8,16 @@ Defined cases: null counts as the empty text and has no tokens. Special tokens a
 Ids that no rank has raise ``KeyError`` when decoded. A character whose bytes fall into two tokens
 gets the same offsets in both; decoding works on bytes, so it needs no care there. Each match of the
 pattern is encoded by itself, so a worker encodes each distinct match once and keeps its ids in a
-bounded table. Extra columns are kept; clashing result columns are replaced.
+bounded table; so it does with the chunks between single spaces, where every match ends. Extra columns
+are kept; clashing result columns are replaced.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +30,11 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 from tablewright.llm.common import slices
 
-#: Distinct matches that a worker remembers; beyond that it starts anew.
-KNOWN_MATCHES = 200_000
+#: Distinct matches, and chunks between spaces, that a worker remembers as recent; as many older ones
+#: are at hand besides.
+KNOWN_MATCHES = 60_000
+#: White space beside a space: there a space need not begin a match.
+_BESIDE = re.compile(r" \s|\s |\A | \Z")
 
 
 def byte_characters() -> list[str]:
@@ -57,6 +62,26 @@ def merge_of(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     return parts[0], parts[1]
 
 
+class _Recent:
+    """Values by key in two generations, so that memory stays bounded."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, keys: set[str], make: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+        """Values of all keys; those of new keys are made together."""
+        found = {k: v for k in keys if (v := self.young.get(k)) is not None}
+        aged = {k: v for k in keys if k not in found and (v := self.old.get(k)) is not None}
+        new = [k for k in keys if k not in found and k not in aged]
+        made = dict(zip(new, make(new))) if new else {}
+        if len(self.young) + len(aged) + len(made) > KNOWN_MATCHES:
+            self.old, self.young = self.young, {}
+        self.young.update(aged)
+        self.young.update(made)
+        return {**found, **aged, **made}
+
+
 class Codec:
     """Encoder and decoder of one rank file."""
 
@@ -69,37 +94,53 @@ class Codec:
             for token in sorted(ranks, key=ranks.__getitem__)
             if len(token) > 1
         ]
-        self.tokens = {rank: token for token, rank in ranks.items()}
         self.tokenizer = Tokenizer(models.BPE({spelled[t]: r for t, r in ranks.items()}, merges, cache_capacity=0))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-
-    def _learn(self, matches: set[str]) -> None:
-        """Encodes the matches that are not known yet: ids and offsets within the match."""
-        if len(self.known) > KNOWN_MATCHES:
-            self.known.clear()
-        new = [m for m in matches if m not in self.known]
-        for match, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[match] = np.array(found.ids, "<u4").tobytes(), np.array(found.offsets, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        matches = self.pattern.findall(text)
-        known = self.known
-        try:
-            return b"".join([known[m][0] for m in matches])
-        except KeyError:
-            self._learn(set(matches))
-            return b"".join([self.known[m][0] for m in matches])
+        self.known, self.chunks = _Recent(), _Recent()
+
+    def _encode_new(self, matches: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(matches, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _encode_matches(self, texts: list[str]) -> list[bytes]:
+        parts = [self.pattern.findall(text) for text in texts]
+        ids = self.known.find({match for part in parts for match in part}, self._encode_new)
+        return [b"".join([ids[match] for match in part]) for part in parts]
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        return self._encode_matches([" " + chunk for chunk in chunks])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers.
+
+        A space with other characters on both sides always begins a match of the pattern. Texts in
+        which all spaces are such are looked up chunk by chunk, each with the space before it.
+        """
+        plain = [not _BESIDE.search(text) for text in texts]
+        split = [text.split(" ") if cut else [text] for text, cut in zip(texts, plain)]
+        first = self._encode_matches([parts[0] for parts in split])
+        ids = self.chunks.find({chunk for parts in split for chunk in parts[1:]}, self._encode_chunks)
+        return [head + b"".join([ids[chunk] for chunk in parts[1:]]) for head, parts in zip(first, split)]
 
     def offsets(self, text: str) -> bytes:
         """For each token the first and last-plus-one character that it touches, in the same form."""
         found = list(self.pattern.finditer(text))
-        self._learn({m.group() for m in found})
-        parts = [np.frombuffer(self.known[m.group()][1], "<u4") + np.uint32(m.start()) for m in found]
+        encoded = self.tokenizer.encode_batch([m.group() for m in found], add_special_tokens=False)
+        parts = [np.array(e.offsets, "<u4").reshape(-1, 2) + np.uint32(m.start()) for e, m in zip(encoded, found)]
         return b"".join(part.astype("<u4").tobytes() for part in parts)
 
+    def forget(self) -> None:
+        """Gives the remembered ids back, since a worker outlives its tasks."""
+        self.known, self.chunks = _Recent(), _Recent()
+
+
+class Decoder:
+    """Bytes of the tokens of one rank file."""
+
+    def __init__(self, path: str) -> None:
+        self.tokens = {rank: token for token, rank in read_ranks(path).items()}
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -110,20 +151,25 @@ def _codec(name: str, pattern: str) -> Codec:
     return Codec(SparkFiles.get(name), pattern)
 
 
-def _mapped(df: DataFrame, rank_file: str, pattern: str, column: str, added: list[T.StructField], work) -> DataFrame:
-    """Runs ``work(codec, column values)`` over bounded parts of the Arrow batches."""
-    df.sparkSession.sparkContext.addFile(rank_file)
-    name = rank_file.rsplit("/", 1)[-1]
+@lru_cache(maxsize=2)
+def _decoder(name: str) -> Decoder:
+    return Decoder(SparkFiles.get(name))
+
+
+def _mapped(
+    df: DataFrame, column: str, added: list[T.StructField], work: Callable[[pa.Array], list[pa.Array]], end: Callable[[], None]
+) -> DataFrame:
+    """Runs ``work`` on the values of a column over bounded parts of the Arrow batches, then ``end``."""
     new = [f.name for f in added]
     kept = [c for c in df.columns if c not in new]
     schema = T.StructType([df.schema[c] for c in kept] + added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name, pattern)
         for batch in batches:
             for part in slices(batch, column):
-                values = work(codec, part.column(part.schema.get_field_index(column)))
+                values = work(part.column(part.schema.get_field_index(column)))
                 yield pa.RecordBatch.from_arrays([*part.columns, *values], names=[*part.schema.names, *new])
+        end()
 
     return df.select(*kept).mapInArrow(run, schema)
 
@@ -134,24 +180,29 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", offs
     ``offsets`` is binary too: start and end character of each token as two such numbers.
     The rank file is distributed with the job, so executors need no copy of their own.
     """
+    df.sparkSession.sparkContext.addFile(rank_file)
+    name = rank_file.rsplit("/", 1)[-1]
     added = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
     if offsets:
         added.append(T.StructField("offsets", T.BinaryType()))
 
-    def work(codec: Codec, values: pa.Array) -> list[pa.Array]:
+    def work(values: pa.Array) -> list[pa.Array]:
+        codec = _codec(name, pattern)
         texts = [value or "" for value in values.to_pylist()]
-        ids = [codec.encode(value) for value in texts]
+        ids = codec.encode(texts)
         out = [pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())]
         return out + ([pa.array(map(codec.offsets, texts), pa.binary())] if offsets else [])
 
-    return _mapped(df, rank_file, pattern, text, added, work)
+    return _mapped(df, text, added, work, lambda: _codec(name, pattern).forget())
 
 
-def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids") -> DataFrame:
+def decode(df: DataFrame, rank_file: str, ids: str = "ids") -> DataFrame:
     """Adds ``decoded``: the bytes of the ids in column ``ids``; null ids give no bytes."""
+    df.sparkSession.sparkContext.addFile(rank_file)
+    name = rank_file.rsplit("/", 1)[-1]
 
-    def work(codec: Codec, values: pa.Array) -> list[pa.Array]:
-        found = [codec.decode(value or b"") for value in values.to_pylist()]
-        return [pa.array(found, pa.binary())]
+    def work(values: pa.Array) -> list[pa.Array]:
+        decoder = _decoder(name)
+        return [pa.array([decoder.decode(value or b"") for value in values.to_pylist()], pa.binary())]
 
-    return _mapped(df, rank_file, pattern, ids, [T.StructField("decoded", T.BinaryType())], work)
+    return _mapped(df, ids, [T.StructField("decoded", T.BinaryType())], work, lambda: None)

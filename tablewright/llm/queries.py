@@ -57,7 +57,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded to token ids and decoded again, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, offsets=False).drop("text")
-    return bpe.decode(ids, RANKS, public_tokenizers.PATTERN).select(
+    return bpe.decode(ids, RANKS).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
