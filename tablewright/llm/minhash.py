@@ -1,12 +1,18 @@
-"""Near-duplicate documents by chosen-path set similarity joins over minwise tokens.
-
-A document is the set of its word shingles. In each of several independent trees, a document starts
-at the root and is sent on to the nodes named by a few chosen minwise tokens, so that similar sets
-meet in many nodes. Nodes that are small enough are compared exhaustively: first by estimates from
-the minwise tokens, then on the full sets. Nodes that are too large are compared within blocks and
-branch again by other tokens; a child whose documents are known to be connected already is left, so
-large groups of near copies end after a few levels. Links that the full sets confirm are joined to
-components.
+"""Near-duplicate documents: chosen-path joins over minwise tokens, then an exact prefix-filtered join.
+
+A document is the set of its word shingles. First, most links are found by chance: in each of several
+independent trees, a document starts at the root and is sent on to the nodes named by a few chosen
+minwise tokens, so that similar sets meet in many nodes. Nodes that are small enough are compared:
+first by estimates from the minwise tokens, then on the full sets. Nodes that are too large are
+compared within blocks and branch again by other tokens; a child whose documents are known to be
+connected already is left.
+
+Then the links that chance missed are found without loss. All shingles have one order, in which those
+frequent in a sample come last. Two sets as similar as the threshold share one of their first
+shingles in it (1 - threshold of the set, and one more), so documents meet at these. Nodes whose
+documents are connected already are left; from the others, only documents go that no length, place or
+parity bound leaves a partner of another component, and the full sets decide. Nodes that are too large
+are compared in pairs of blocks. Links that the full sets confirm are joined to components.
 
 Defined cases: null and wordless texts have no shingles and are linked with nothing; a text with fewer
 words than a shingle is one shingle; identical sets are linked through their smallest key before
@@ -22,12 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.llm.bytetext import LOWER, chain, flat_words
-from tablewright.llm.common import drop_stage, flat_bytes, groups_in_order, slices, stage
+from tablewright.llm.common import drop_stage, flat_bytes, groups_in_order, hash_bound, slices, stage
 from tablewright.llm.components import components
 
 #: Minwise tokens per document; trees; documents and shingles that a node may hold to be compared
@@ -36,9 +42,14 @@ TOKENS = 64
 TREES = 8
 NODE_DOCS = 4_096
 NODE_SHINGLES = 3_000_000
-LEVELS = 16
-#: Pairs whose estimate lies this much below the threshold (four standard deviations) are dropped.
+LEVELS = 3
+#: Pairs whose estimate lies this much below the threshold (four standard deviations) wait for the exact join.
 SLACK = 0.18
+#: Documents sampled for the order of the shingles, and slots that count their shingles. Any order is
+#: exact; a good one has few documents meet. Least bits of a set's parity map.
+SAMPLE_DOCS = 10_000
+SLOT_BITS = 23
+PARITY_BITS = 1_024
 
 _MULTIPLY = np.random.default_rng(8).integers(1, 1 << 62, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _KIND = np.ones(256, np.uint8)
@@ -78,9 +89,70 @@ def _tokens(found: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Rows (key, n, digest of the set, tokens as 32-bit numbers); no digest for empty sets."""
-    schema = "key long, n long, digest binary, tokens binary"
+def _slots(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def frequent_slots(docs: DataFrame, key: str, text: str, size: int) -> np.ndarray:
+    """Frequency class of each slot of shingle hashes in a sample of documents; 0 is rare."""
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                slots, counts = np.unique(_slots(shingle_sets(part.column(0), size)[0]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts)], names=["slot", "docs"])
+
+    sample = docs.filter(F.xxhash64(key) <= hash_bound(share)).select(F.col(text).alias("text")).distinct()
+    counted = sample.mapInArrow(run, "slot long, docs long").groupBy("slot").agg(F.sum("docs").alias("docs")).filter("docs > 2").toArrow()
+    classes = np.zeros(1 << SLOT_BITS, np.uint8)
+    classes[counted.column("slot").to_numpy()] = np.log2(counted.column("docs").to_numpy()).astype(np.uint8) + 1
+    return classes
+
+
+def prefixes(found: np.ndarray, offsets: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First shingles of all sets in the common order, ``len + 1`` offsets, and how many are rare.
+
+    Sets with 100 * intersection >= percent * union have an intersection of percent / 100 of either
+    set at least, so that at most the rest of a set comes before their first common shingle.
+    """
+    sizes = np.diff(offsets)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    kind = classes[_slots(found)]
+    order = np.lexsort((found, kind, owner))
+    keep = np.arange(len(found)) - offsets[owner] <= (sizes - -(-percent * sizes // 100))[owner]
+    ends = np.append(0, np.cumsum(np.bincount(owner[keep], minlength=len(sizes))))
+    rare = np.bincount(owner[keep], weights=kind[order][keep] == 0, minlength=len(sizes)).astype(np.int64)
+    return found[order][keep], ends, rare
+
+
+def parities(found: np.ndarray, offsets: np.ndarray, whole: bool) -> list[bytes]:
+    """A map of bits per set: for each residue of the hashes, whether an odd number has it.
+
+    Maps of one length differ in no more bits than the sets have shingles that are in one of them only.
+    ``whole`` maps have a bit for each shingle at least, a power of two; the halves of a map fold to
+    the shorter one.
+    """
+    sizes = np.diff(offsets)
+    bits = np.full(len(sizes), PARITY_BITS, np.int64)
+    if whole:
+        bits = np.maximum(bits, np.int64(1) << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    bases = np.append(0, np.cumsum(bits))
+    codes = np.repeat(bases[:-1], sizes) + (found & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
+    codes, counts = np.unique(codes, return_counts=True)
+    codes = codes[counts % 2 == 1]
+    out = np.zeros(bases[-1] // 8, np.uint8)
+    if len(codes):
+        place = codes >> 3
+        starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        out[place[starts]] = np.bitwise_or.reduceat(np.uint8(1) << (codes & 7).astype(np.uint8), starts)
+    return [out[a:b].tobytes() for a, b in zip(bases // 8, bases[1:] // 8)]
+
+
+def sketches(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """Rows (key, n, digest, tokens as 32-bit numbers, prefix, rare, parity, map); no digest for empty sets."""
+    schema = "key long, n long, digest binary, tokens binary, prefix array<long>, rare long, parity binary, map binary"
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_slots(docs, key, text, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,9 +163,12 @@ def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 for start, end in zip(offsets, offsets[1:]):
                     digests.append(hashlib.blake2b(found[start:end].tobytes(), digest_size=16).digest() if end > start else None)
                     rows.append(next(tokens).tobytes() if end > start else None)
+                first, ends, rare = prefixes(found, offsets, shared.value, percent)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(first.view(np.int64)))
+                maps = [pa.array(parities(found, offsets, whole), pa.binary()) for whole in (False, True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(digests, pa.binary()), pa.array(rows, pa.binary())],
-                    names=["key", "n", "digest", "tokens"],
+                    [part.column(0).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(digests, pa.binary()), pa.array(rows, pa.binary()), lists, pa.array(rare), *maps],
+                    names=["key", "n", "digest", "tokens", "prefix", "rare", "parity", "map"],
                 )
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
@@ -226,22 +301,95 @@ def _pairs_of_blocks(large: DataFrame) -> DataFrame:
     mine = F.pmod(F.xxhash64("key"), F.col("blocks"))
     dealt = large.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     path = F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other"))
-    return dealt.select(path.alias("path"), "key")
+    return dealt.withColumn("path", path).drop("mine", "other", "blocks")
+
+
+def _meetings(reps: DataFrame, linked: DataFrame) -> DataFrame:
+    """Members (path, key, n, place, label, blocks) of nodes named by a prefix shingle.
+
+    Nodes with one label are left out. Of nodes with the same members that of the earliest shingle
+    stays, for which the bound on places holds.
+    """
+    known = reps.select("key", "n", "prefix", "rare").join(linked.withColumnRenamed("node", "key"), "key", "left")
+    columns = ["key", "n", F.coalesce("component", "key").alias("label")]
+    # Most rare shingles are in one document only: a window drops them before anything is joined.
+    one = Window.partitionBy("path")
+    few = known.select(*columns, F.posexplode(F.slice("prefix", F.lit(1), F.col("rare").cast("int"))).alias("place", "path"))
+    few = few.withColumn("low", F.min("label").over(one)).withColumn("high", F.max("label").over(one)).filter("low <> high").drop("low", "high")
+    often = known.select(*columns, F.posexplode("prefix").alias("place", "path"), "rare").filter("place >= rare").drop("rare")
+    members = stage(few.unionByName(often), "minhash-meetings")
+    seen = members.groupBy("path").agg(
+        F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum("place").alias("places"),
+        F.bit_xor(F.xxhash64("key")).alias("who"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("too"),
+    ).filter("low <> high")
+    small = (F.col("docs") == 2) | ((F.col("docs") <= NODE_DOCS) & (F.col("shingles") <= NODE_SHINGLES))
+    blocks = F.when(~small, F.ceil(F.greatest(F.col("docs") / NODE_DOCS, F.col("shingles") / NODE_SHINGLES) * 2))
+    kept = seen.groupBy("docs", "who", "too").agg(F.min_by(F.struct("path", blocks.alias("blocks")), "places").alias("node"))
+    nodes = stage(members.join(kept.select("node.path", "node.blocks"), "path"), "minhash-exact-nodes")
+    drop_stage(reps.sparkSession, members)
+    return nodes
+
+
+def possible(n: np.ndarray, place: np.ndarray, label: np.ndarray, maps: list[bytes], percent: int) -> np.ndarray:
+    """Members of a node that may be linked with one of another label for all that the bounds say.
+
+    A link needs an intersection of percent / (100 + percent) of both sizes. What follows the first
+    common shingle of two sets bounds it from above; so does the number of bits in which their parity
+    maps differ, each of which is a shingle of one set only. Maps are folded to the shorter one.
+    """
+    most = (n - place) * (100 + percent) // percent - n
+    lengths = np.array([len(m) for m in maps])
+    folded: dict[int, np.ndarray] = {}
+    for length in np.unique(lengths).tolist():
+        folded[length] = np.zeros((len(n), length // 8), np.uint64)
+        for i in np.flatnonzero(lengths >= length):
+            folded[length][i] = np.bitwise_xor.reduce(np.frombuffer(maps[i], np.uint64).reshape(-1, length // 8), axis=0)
+    out = np.zeros(len(n), bool)
+    for start in range(0, len(n), 128):
+        rows = slice(start, start + 128)
+        near = (label[rows, None] != label) & (n <= most[rows, None]) & (n[rows, None] <= most)
+        a, b = np.nonzero(near)
+        a += start
+        shorter = np.minimum(lengths[a], lengths[b])
+        for length, words in folded.items():
+            left, right = a[shorter == length], b[shorter == length]
+            step = max(1, (1 << 23) // length)
+            for at in range(0, len(left), step):
+                i, j = left[at : at + step], right[at : at + step]
+                apart = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
+                total = n[i] + n[j]
+                out[i[(100 + percent) * (total - apart) >= 2 * percent * total]] = True
+    return out
+
+
+def _possible(members: DataFrame, reps: DataFrame, maps: str, percent: int) -> DataFrame:
+    """Members (path, key, n, place, label) that the bounds leave by the given maps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_in_order(batches, "path"):
+            n, place, label = (group.column(c).to_numpy().astype(np.int64) for c in ("n", "place", "label"))
+            kept = possible(n, place, label, group.column("map").to_pylist(), percent)
+            if kept.any():
+                yield from group.drop_columns("map").filter(pa.array(kept)).combine_chunks().to_batches()
+
+    every = members.select("path", "key", "n", "place", "label").join(reps.select("key", F.col(maps).alias("map")), "key")
+    dealt = every.select("path", "key", "n", "place", "label", "map").repartition("path").sortWithinPartitions("path")
+    return dealt.mapInArrow(run, "path long, key long, n long, place int, label long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Rows (key, n_shingles, component_id, kept): one per document.
 
     Documents are linked where 100 * intersection >= percent * union of their shingle sets. Copies of
-    one set share a digest and are represented by the smallest key. What is shuffled are tokens, and
-    the full sets of the documents that resemble another. Nodes that are still too large after
-    ``LEVELS`` levels are compared exhaustively in pairs of blocks.
+    one set share a digest and are represented by the smallest key. What is shuffled are tokens,
+    prefixes, and the full sets of the documents that may resemble another. Nodes that are still too
+    large after ``LEVELS`` levels are left to the exact join, as is every pair that the trees miss.
     """
     spark = docs.sparkSession
     threshold = percent / 100
-    drawn = stage(sketches(docs, key, text, size), "minhash-sketches")
+    drawn = stage(sketches(docs, key, text, size, percent), "minhash-sketches")
     first = drawn.filter("n > 0").groupBy("digest").agg(F.min("key").alias("key"))
-    reps = stage(drawn.join(first.select("key"), "key").select("key", "n", "tokens"), "minhash-representatives")
+    reps = stage(drawn.join(first.select("key"), "key").select("key", "n", "tokens", "prefix", "rare", "parity", "map"), "minhash-representatives")
     tokens = reps.select("key", "tokens")
     trees = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TREES - 1).cast("long")))
     members = reps.select(trees.alias("path"), "key", "n", "tokens", F.col("key").alias("label"))
@@ -268,9 +416,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         members = labelled.join(tokens, "key").select(
             "path", "key", "n", "tokens", "blocks", F.coalesce("component", "key").alias("label")
         )
-    else:
-        compare(_pairs_of_blocks(members))
     linked = components(edges)
+    nodes = _meetings(reps, linked)
+    members = nodes.filter("blocks is null").drop("blocks").unionByName(_pairs_of_blocks(nodes.filter("blocks is not null")))
+    likely = stage(_possible(members, reps, "parity", percent), "minhash-possible")
+    missed = stage(_possible(likely, reps, "map", percent), "minhash-missed")
+    found = stage(_confirm(missed.select("path", "key"), docs, key, text, size, percent), "minhash-links")
+    old += [nodes, likely, missed, found]
+    if not found.isEmpty():
+        linked = components(linked.toDF("u", "v").unionByName(found))
     names = drawn.select("key", "n", "digest").join(first.withColumnRenamed("key", "rep"), "digest", "left")
     done = names.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "key").alias("component_id")

@@ -82,3 +82,54 @@ def test_links_at_the_bound_and_minwise_estimates():
     a, b = np.arange(1, 101, dtype=np.uint64), np.arange(9, 101, dtype=np.uint64)
     assert minhash.confirmed_links(np.array([4, 9]), [a, b], 92) == [(9, 4)]
     assert minhash.confirmed_links(np.array([4, 9]), [a, b], 93) == []
+
+
+def near_pair(rng, n, changed, name):
+    """Two texts of ``n`` words that differ in the last ``changed`` ones."""
+    base = [f"{name}{rng.randrange(10**9)}" for _ in range(n)]
+    return " ".join(base), " ".join(base[: n - changed] + [f"{name}x{i}" for i in range(changed)])
+
+
+@pytest.mark.parametrize("node", [minhash.NODE_DOCS, 32])
+def test_links_that_every_tree_misses(spark, monkeypatch, node):
+    monkeypatch.setattr(minhash, "NODE_DOCS", node)
+    monkeypatch.setattr(minhash, "_likely", lambda tokens, least: np.zeros(len(tokens), bool))
+    docs = documents()
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = minhash.near_duplicates(frame, size=3, percent=85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == brute_force(docs)
+
+
+def test_links_among_unlinked_documents_that_share_much(spark, monkeypatch):
+    """A passage makes up most of each text; only planted pairs are near copies."""
+    monkeypatch.setattr(minhash, "NODE_DOCS", 16)
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(70))
+    docs = [(i, f"{passage} " + " ".join(f"u{i}x{j}" for j in range(32))) for i in range(1200)]
+    for i in range(1200, 1400, 2):
+        one, other = near_pair(rng, 40, 9, f"n{i}")
+        docs += [(i, f"{passage} {one}"), (i + 1, f"{passage} {other}")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = minhash.near_duplicates(frame, size=3, percent=80).collect()
+    found = {r.doc_id: r.component_id for r in rows}
+    assert found == {k: k - 1 if k > 1200 and k % 2 else k for k, _ in docs}
+
+
+def test_prefixes_and_parities_lose_no_link():
+    rng = np.random.default_rng(4)
+    classes = rng.integers(0, 4, 1 << minhash.SLOT_BITS).astype(np.uint8)
+    for percent in (50, 80, 85):
+        for _ in range(200):
+            n = int(rng.integers(1, 120)) if rng.random() < 0.8 else int(rng.integers(900, 1_200))
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[: len(a) - int(rng.integers(0, n // 4 + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            if 100 * common < percent * (len(a) + len(b) - common) or np.array_equal(a, b):
+                continue
+            first, ends, _ = minhash.prefixes(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), classes, percent)
+            left, right = first[: ends[1]].tolist(), first[ends[1] :].tolist()
+            shared = next(h for h in left if h in right)
+            places = np.array([left.index(shared), right.index(shared)])
+            for whole in (False, True):
+                maps = minhash.parities(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), whole)
+                assert minhash.possible(np.array([len(a), len(b)]), places, np.array([1, 2]), maps, percent).all()
