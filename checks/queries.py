@@ -412,9 +412,7 @@ def intake_plan_size(spark, sf_dir):
     """Plans of proposals that come in many responses per key: every accepted one is a rule."""
     responses = view(spark, sf_dir, "responses").withColumn("team", F.col("event_id") % 10)
     accepted = intake.intake_proposals(responses, "response", ["team"])
-    plans = intake.plans_from_proposals(accepted, ["team"])
-    rows_ = [(team, len(plan.rules)) for (team,), plan in plans.items()]
-    return spark.createDataFrame(rows_, "team long, n_rules long")
+    return intake.plan_sizes(accepted, ["team"])
 
 
 # Validation and audit ---------------------------------------------------------------------------

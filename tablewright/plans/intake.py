@@ -108,10 +108,18 @@ def rules_from_proposals(proposals: DataFrame) -> Plan:
     return _plan(proposals.filter("accepted").orderBy("ordinal").collect())
 
 
-def plans_from_proposals(proposals: DataFrame, keys: Sequence[str]) -> dict[tuple, Plan]:
+def plan_sizes(proposals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., n_rules): the number of accepted proposals per key, counted without gathering any."""
+    return proposals.filter("accepted").groupBy(*[column(k) for k in keys]).agg(F.count("*").alias("n_rules"))
+
+
+def plans_from_proposals(proposals: DataFrame, keys: Sequence[str], of: tuple | None = None) -> dict[tuple, Plan]:
     """One plan of unapproved rules per key; every accepted proposal is in the plan of its key.
 
-    Plans are objects of the driver, so their rules are gathered there.
+    Plans are objects of the driver, so their rules are gathered there. ``of`` names the one key
+    whose plan is wanted; without it, all proposals have to fit the driver.
     """
+    for k, value in zip(keys, of or ()):
+        proposals = proposals.filter(column(k).eqNullSafe(value))
     rows = proposals.filter("accepted").orderBy(*[column(k) for k in keys], "ordinal").collect()
     return {key: _plan(list(group)) for key, group in groupby(rows, lambda r: tuple(r[k] for k in keys))}

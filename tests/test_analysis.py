@@ -10,7 +10,7 @@ from tablewright.operators import detect, profile
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.plans import propose
 from tablewright.plans import rules as R
-from tablewright.plans.intake import intake_proposals, plans_from_proposals, rules_from_proposals
+from tablewright.plans.intake import intake_proposals, plan_sizes, plans_from_proposals, rules_from_proposals
 
 
 def found(issues):
@@ -156,6 +156,21 @@ def test_proposal_intake(spark):
     assert [(r.action, r.parameters, r.approved) for r in plan.rules] == [("trim_text", {"x": 1}, False), ("trim_text", {}, False)]
 
 
+def test_plan_sizes_gather_no_proposal(spark, monkeypatch):
+    from checks import queries
+
+    good = {"action": "trim_text", "column": "a", "reason": "r", "confidence": 0.9}
+    response = json.dumps({"proposals": [good, {**good, "action": "rm"}, good]})
+    df = spark.createDataFrame([(i, response) for i in range(25)], "event_id long, response string")
+    monkeypatch.setattr(queries, "view", lambda *_: df)
+    monkeypatch.setattr(queries.intake, "plans_from_proposals", None)
+    sizes = {r.team: r.n_rules for r in queries.intake_plan_size(spark, "").collect()}
+    assert sizes == {team: 6 if team < 5 else 4 for team in range(10)}
+    every = intake_proposals(df, "response", ["event_id"])
+    assert {r.event_id: r.n_rules for r in plan_sizes(every, ["event_id"]).collect()} == dict.fromkeys(range(25), 2)
+    assert {k: len(p.rules) for k, p in plans_from_proposals(every, ["event_id"], (7,)).items()} == {(7,): 2}
+
+
 def test_spelling_groups_and_rollup_of_many_columns(spark):
     wide = spark.range(50).select(*[F.concat(F.lit("v"), (F.col("id") % (i + 2)).cast("string")).alias(f"c{i}") for i in range(60)])
     got = {r["column"]: r.distinct for r in profile.profile(wide).collect()}
