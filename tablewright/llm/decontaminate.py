@@ -33,7 +33,8 @@ def words(text: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    return F.translate(text, _UPPER, _LOWER)
+    """A-Z lowered. Other letters stay: how they are lowered may depend on what is beside them."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
 def _shingles(tokens: Column, size: int) -> Column:
@@ -52,7 +53,7 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", siz
         F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.slice("w", i, length))).alias("words"),
     )
     shared = cut.groupBy("words", "length").agg(F.collect_set(F.col("item").cast("string")).alias("items"))
-    by_size = [F.when(F.least(F.col("length"), F.lit(SHINGLE_WORDS)) == k, _shingles(F.transform("words", F.lower), k)) for k in range(1, SHINGLE_WORDS + 1)]
+    by_size = [F.when(F.least(F.col("length"), F.lit(SHINGLE_WORDS)) == k, _shingles(F.col("words"), k)) for k in range(1, SHINGLE_WORDS + 1)]
     return shared.select("words", "length", "items", F.coalesce(*by_size).alias("shingles"))
 
 
@@ -69,8 +70,7 @@ def contaminated(
     """Adds ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``contaminated`` to every document.
 
     Two passes over the texts: the first finds where shingles of the benchmark occur, the second
-    compares words in the documents that are left. Shingles are hashed from lower-cased words, which
-    can only add candidates; the comparison folds A-Z alone. A document is contaminated if at least one
+    compares words in the documents that are left. Both fold A-Z alone. A document is contaminated if at least one
     of ``per`` words is hit. ``key`` must be unique.
     """
     wanted = stage(windows(benchmark, item, item_text, size), "decontaminate-windows")
@@ -78,7 +78,7 @@ def contaminated(
     needed = wanted.select(F.explode("shingles").alias("shingle")).distinct()
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
-    lowered = docs.select(F.col(key).alias("key"), words(F.lower(F.col(text))).alias("w"))
+    lowered = docs.select(F.col(key).alias("key"), words(folded(F.col(text))).alias("w"))
     found = [
         lowered.select("key", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"), k)).alias("place", "shingle")).join(needed, "shingle")
         for k in sorted(sizes)

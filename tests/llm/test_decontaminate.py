@@ -53,3 +53,14 @@ def test_empty_tables(spark, write_tables):
     assert (row.n_words, row.n_hit, row.n_items, row.contaminated) == (2, 0, 0, False)
     folder = write_tables(documents=([], DOCS), benchmark=([(1, "a b")], "item_id long, text string"))
     assert QUERIES["op9_decontamination"](spark, folder).count() == 0
+
+
+def test_letters_that_are_lowered_by_their_neighbours(spark, write_tables):
+    items = [(1, "e^Σ x"), (2, "Α.Σ. x"), (3, "ΕΣ.Α"), (4, "one ΕΣ:Α two É`Σ three f^Σ four Α.Σ. five g^Σ six")]
+    docs = [(k, f"Before {t} after") for k, t in items] + [(9, "e^σ x"), (10, "E^Σ X")]
+    folder = write_tables(
+        documents=([(k, t, None, "s", 0) for k, t in docs], DOCS), benchmark=(items, "item_id long, text string")
+    )
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in QUERIES["op9_decontamination"](spark, folder).collect()}
+    assert got == expected(docs, items)
+    assert all(got[k][1] for k in (1, 2, 3, 4, 10)) and not got[9][1]
