@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, chat, decontaminate, langid, minhash, pq, quality, sharding, suffixes, url_filter
+from tablewright.llm import bpe, chat, decontaminate, langid, lines, minhash, pq, quality, sharding, suffixes, url_filter
 from tablewright.llm.common import crc_part, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -283,3 +283,22 @@ reach AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l
 least AS (SELECT u AS doc_id, min(v) AS v FROM reach GROUP BY u)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(v, doc_id)) AS component_id,
   doc_id <= coalesce(v, doc_id) AS kept FROM sets LEFT JOIN least USING (doc_id)"""
+
+
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 20 code points or more that three documents hold stay in the largest of them only."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE["op11_line_dedup"] = """
+WITH l AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+one AS (SELECT doc_id, i, w[i] AS line, translate(regexp_replace(w[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l, unnest(range(1, len(w) + 1)) r(i)),
+often AS (SELECT k, max(doc_id) AS last FROM one WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT doc_id, i, line, last IS NOT NULL AND doc_id < last AS gone FROM one LEFT JOIN often USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
