@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Callable
 from functools import wraps
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, chat, decontaminate, langid, lines, minhash, pq, quality, sharding, suffixes, url_filter
+from tablewright.llm import bpe, chat, decontaminate, langid, lines, minhash, pq, quality, runs, sharding, suffixes, url_filter
 from tablewright.llm.common import crc_part, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -302,3 +305,35 @@ marked AS (SELECT doc_id, i, line, last IS NOT NULL AND doc_id < last AS gone FR
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+
+def periodic_tails(keys: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text's words become periodic, and the period: in one text of ten, by the crc32 of its id.
+
+    A text without an id stays as it is.
+    """
+    h = np.array([zlib.crc32(str(k).encode()) if k is not None else 1 for k in keys.to_pylist()], np.int64)
+    g = h // 10
+    a = np.where((h % 10 == 0) & (sizes > 0), g % np.maximum(sizes, 1), sizes)
+    return a, 1 + (sizes - a) // (3 + g % 8)
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal periodic runs of words of every whole text, and the text without their repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.find_runs(docs, key="doc_id", rewrite=periodic_tails)
+    ranked = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("s"), r["period"].alias("q"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    best = found.select("doc_id", "runs", "collapsed", ranked.alias("best"), listed.alias("listed"))
+    length = -F.col("best.n")
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.s").alias("start"),
+        length.alias("length"),
+        F.col("best.q").alias("period"),
+        F.expr("(-best.n * 1000) div best.q").alias("exponent_milli"),
+        F.sha2(F.col("listed").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
