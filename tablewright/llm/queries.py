@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, chat, decontaminate, langid, lines, minhash, pq, quality, runs, sharding, suffixes, url_filter
-from tablewright.llm.common import crc_part, table
+from tablewright.llm import bpe, chat, decontaminate, langid, lines, minhash, pq, quality, runs, sharding, suffixes, trie, url_filter
+from tablewright.llm.common import crc_part, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -337,3 +337,49 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("listed").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, each rebuilt on the first turns of another one."""
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = stage(trie.turn_rows(talks, "conv_id", [F.col("turn")], "role", "text"), "trie-turns")
+    members = turns.select("conv").distinct()
+    shared = (F.crc32(F.col("conv").cast("string").cast("binary")) % 9).cast("long")
+    # A conversation lends its first eight turns at most, to ids within four of its own.
+    lent = turns.filter("conv % 5 = 0 and pos <= 8").withColumn("borrower", F.explode(F.sequence(F.col("conv") - 4, F.col("conv") + 4)))
+    lent = lent.filter("borrower - borrower % 5 = conv").select(F.col("borrower").alias("conv"), "pos", "h1", "h2", "bytes")
+    lent = lent.filter(F.col("pos") <= shared).join(members, "conv", "left_semi")
+    rebuilt = turns.filter(F.col("pos") > shared).unionByName(lent)
+    return trie.prefix_trie(rebuilt, members)
+
+
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[512 + ascii(x), 0, 0, 0, 0, 0, 0, 0, 0] "
+    "for x in string_split({}::VARCHAR, '')])), lambda a, b: CASE WHEN b >= 512 THEN xor(a, (b - 512)::BIGINT) "
+    "WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END), 4294967295::BIGINT)"
+)
+ORACLE["op13_prefix_trie"] = f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+    md5(coalesce(role, '')) || md5(coalesce(text, '')) AS said, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC.format("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT c.conv_id, pos, said, bytes FROM convs c JOIN turns t ON t.conv_id = c.base AND pos <= h
+  UNION ALL SELECT c.conv_id, pos, said, bytes FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND pos > h),
+placed AS (SELECT *, row_number() OVER w AS d, string_agg(said, '') OVER w AS said_so_far, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+path AS (
+  SELECT conv_id, d, md5(said_so_far) AS node, CASE WHEN d > 1 THEN md5(said_so_far[:64 * (d - 1)]) ELSE 'root' END AS parent, bytes, d = n AS ends FROM placed
+  UNION ALL SELECT conv_id, 0, 'root', NULL, 0, conv_id NOT IN (SELECT conv_id FROM rebuilt) FROM convs),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, any_value(parent) AS parent, any_value(bytes) AS bytes, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM path GROUP BY node, d),
+children AS (SELECT parent AS node, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+sized AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (node, d)),
+subtree AS (
+  SELECT p.node, p.d, sum((n_convs - 1) * u.bytes)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM sized u JOIN path p ON p.conv_id = u.conv_id AND p.d <= u.d GROUP BY ALL)
+SELECT s.conv_id, s.d AS depth, up.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves, saved_tokens, s.ends_sha256
+FROM sized s JOIN subtree USING (node, d) LEFT JOIN nodes up ON up.node = s.parent AND up.d = s.d - 1"""
