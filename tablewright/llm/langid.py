@@ -68,15 +68,30 @@ def learn(
     piece_chars: int = PIECE_CHARS,
     dictionary_bytes: int = DICTIONARY_BYTES,
 ) -> LanguageModel:
-    """Dictionaries from a bounded sample: ``pieces`` rows per language, picked by a hash of the key."""
-    rows = df.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.substring(F.col(text), 1, piece_chars).alias("piece"))
+    """Dictionaries from a bounded sample: ``pieces`` rows per language, picked by a hash of the key.
+
+    The piece of a row begins at a place anywhere in its text, by another hash of the key; all pieces
+    of a language have an equal share of its dictionary.
+    """
+    room = F.greatest(F.char_length(F.col(text)) - piece_chars + 1, F.lit(1))
+    place = (F.pmod(F.xxhash64(F.lit("place"), key), room) + 1).cast("int")
+    rows = df.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.substring(F.col(text), place, F.lit(piece_chars)).alias("piece"))
     sample = sample_by_class(rows.filter("length(piece) > 0"), "lang", "key", pieces).collect()
     found: dict[str, list[str]] = {}
     for row in sorted(sample, key=lambda r: (r.lang, r.pick, r.piece)):
         found.setdefault(row.lang, []).append(row.piece)
     names = tuple(sorted(found))
-    # Matches are cheapest near the end of a dictionary, all of it is within reach of the first block.
-    return LanguageModel(names, tuple(b"\n".join(map(fold, found[n]))[-dictionary_bytes:] for n in names))
+    return LanguageModel(names, tuple(_dictionary(found[n], dictionary_bytes) for n in names))
+
+
+def _dictionary(pieces: list[str], limit: int) -> bytes:
+    """The pieces folded, each cut to its share of the limit; what short ones leave goes to the others."""
+    parts = sorted(map(fold, pieces), key=len)
+    out: list[bytes] = []
+    for i, part in enumerate(parts):
+        share = (limit - sum(len(x) + 1 for x in out)) // (len(parts) - i) - 1
+        out.append(part[: max(0, share)])
+    return b"\n".join(out)
 
 
 class _Sizes:

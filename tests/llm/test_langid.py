@@ -1,5 +1,7 @@
 import zlib
 
+import zstandard
+
 from tablewright.llm import langid
 from tablewright.llm.queries import QUERIES
 
@@ -52,3 +54,23 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     right = QUERY.filter("held_out").join(docs, "doc_id").selectExpr("avg(int(lang = lang_pred)) a").first().a
     assert right > 0.97
+
+
+def test_sizes_against_direct_calls():
+    model = langid.LanguageModel(("a", "b"), (EN.encode() * 5, DE.encode() * 5))
+    data = langid.fold((EN + DE) * 200)
+    got = langid._Sizes(model, langid.LEVEL, langid.BLOCK_BYTES).of(data)
+    for content, size in zip(model.dictionaries, got):
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        one = zstandard.ZstdCompressor(dict_data=known, level=langid.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False)
+        blocks = [data[i : i + langid.BLOCK_BYTES] for i in range(0, len(data), langid.BLOCK_BYTES)]
+        assert size == sum(len(one.compress(b)) for b in blocks)
+
+
+def test_pieces_come_from_whole_texts_and_share_the_dictionary(spark):
+    docs = [(i, "header " * 300 + f"tail{i} " * 300, "en") for i in range(40)]
+    model = langid.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"), piece_chars=100, dictionary_bytes=3000)
+    content = model.dictionaries[0]
+    assert b"tail" in content and b"header" in content and 2500 < len(content) <= 3000
+    parts = langid._dictionary(["a" * 10, "b" * 5000, "c" * 5000], 2000).split(b"\n")
+    assert [len(p) for p in parts] == [10, 993, 994]
