@@ -8,7 +8,9 @@ on it, length and position bounds drop what cannot fit, and the words of what is
 Defined cases: words are runs of characters that are no ASCII punctuation, space or control; A-Z count
 as a-z, other characters as they are. Null and wordless texts have no words and are never hit; items
 without words have no window. Repeated items share their windows and each count; an item without an id
-hits but is not listed. Documents without a key are never hit. Overlapping hits count each word once. Extra columns of the documents are kept; clashing result columns are replaced.
+hits but is not listed. Documents without a key, and repeated ones, are judged like all others.
+Overlapping hits count each word once. All columns of the documents are kept, whatever their names;
+those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.columns import column
 from tablewright.llm.common import stage
 
 WINDOW_WORDS = 13
@@ -71,14 +74,16 @@ def contaminated(
 
     Two passes over the texts: the first finds where shingles of the benchmark occur, the second
     compares words in the documents that are left. Both fold A-Z alone. A document is contaminated if at least one
-    of ``per`` words is hit. ``key`` must be unique.
+    of ``per`` words is hit. Rows are told apart by a hash of key and text, so repeated and missing keys
+    do no harm; should two hashes be equal, the second pass finds that out.
     """
     wanted = stage(windows(benchmark, item, item_text, size), "decontaminate-windows")
     sizes = [r.k for r in wanted.select(F.least("length", F.lit(SHINGLE_WORDS)).alias("k")).distinct().collect()]
     needed = wanted.select(F.explode("shingles").alias("shingle")).distinct()
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
-    lowered = docs.select(F.col(key).alias("key"), words(folded(F.col(text))).alias("w"))
+    row = F.xxhash64(column(key), column(text))
+    lowered = docs.select(row.alias("key"), words(folded(column(text))).alias("w"))
     found = [
         lowered.select("key", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"), k)).alias("place", "shingle")).join(needed, "shingle")
         for k in sorted(sizes)
@@ -102,18 +107,19 @@ def contaminated(
         .withColumn("start", F.col("place") - F.col("offset"))
         .filter("start >= 0 and start + length <= n")
         .groupBy("key")
-        .agg(F.collect_list(F.struct("start", "length", F.array_join("words", " ").alias("joined"), "items")).alias("found"))
+        .agg(F.collect_set(F.struct("start", "length", F.array_join("words", " ").alias("joined"), "items")).alias("found"))
     )
-    left = docs.drop("n_words", "n_hit", "items", "contaminated")
-    joined = left.join(candidates.withColumnRenamed("key", "_key"), left[key] == F.col("_key"), "left").drop("_key")
-    tokens = joined.withColumn("_w", words(F.col(text)))
+    # All columns travel in one, so that their names cannot clash with those used here.
+    kept = [column(c) for c in docs.columns if c not in ("n_words", "n_hit", "items", "contaminated")]
+    whole = docs.select(F.struct(*kept).alias("all"), column(text).alias("body"), row.alias("key"))
+    tokens = whole.join(candidates, "key", "left").select("all", "found", words(F.col("body")).alias("w"))
     none = F.expr("cast(array() as array<struct<start: int, length: int, joined: string, items: array<string>>>)")
     true = F.filter(
         F.coalesce("found", none),
-        lambda c: folded(F.array_join(F.slice("_w", c.start + 1, c.length), " ")) == c.joined,
+        lambda c: folded(F.array_join(F.slice("w", c.start + 1, c.length), " ")) == c.joined,
     )
-    checked = tokens.withColumn("_n", F.size("_w")).withColumn("_true", true)
-    hit = F.size(F.array_distinct(F.flatten(F.transform("_true", lambda c: F.sequence(c.start, c.start + c.length - 1)))))
-    names = F.array_sort(F.array_distinct(F.flatten(F.transform("_true", lambda c: c.items))))
-    done = checked.select(*left.columns, F.col("_n").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), names.alias("items"))
+    checked = tokens.select("all", F.size("w").alias("n"), true.alias("true"))
+    hit = F.size(F.array_distinct(F.flatten(F.transform("true", lambda c: F.sequence(c.start, c.start + c.length - 1)))))
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform("true", lambda c: c.items))))
+    done = checked.select("all.*", F.col("n").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), names.alias("items"))
     return done.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * per >= F.col("n_words")))

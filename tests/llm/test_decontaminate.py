@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from tablewright.llm import decontaminate
 from tablewright.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -64,3 +65,17 @@ def test_letters_that_are_lowered_by_their_neighbours(spark, write_tables):
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in QUERIES["op9_decontamination"](spark, folder).collect()}
     assert got == expected(docs, items)
     assert all(got[k][1] for k in (1, 2, 3, 4, 10)) and not got[9][1]
+
+
+def test_columns_of_any_name_and_rows_without_a_key(spark):
+    names = ["doc_id", "text", "found", "_key", "_w", "_n", "_true", "key", "w", "all", "n_hit", "body", "contaminated"]
+    schema = ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names)
+    rows = [(k, text, *(f"{n}{i}" for n in names[2:])) for i, (k, text) in enumerate([(1, "fine words"), (None, "say ONE two"), (None, "none"), (3, "one two"), (3, "x"), (3, "x")])]
+    items = spark.createDataFrame([(7, "one two")], "item_id long, text string")
+    done = decontaminate.contaminated(spark.createDataFrame(rows, schema), items)
+    kept = [n for n in names if n not in ("n_hit", "contaminated")]
+    assert done.columns == [*kept, "n_words", "n_hit", "items", "contaminated"]
+    got = [(tuple(r[n] for n in kept), r.n_hit, tuple(r["items"])) for r in done.collect()]
+    index = [names.index(n) for n in kept]
+    want = [(tuple(r[i] for i in index), 2 if "two" in r[1] else 0, ("7",) if "two" in r[1] else ()) for r in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
