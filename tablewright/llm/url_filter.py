@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.columns import column
+
 #: Length of the time buckets that split hot patterns and bound what is compared per capture.
 BUCKET_SECONDS = 30 * 86400
 
@@ -60,7 +62,7 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
     the buckets, and each capture meets only the few intervals of one pattern in one bucket.
     """
     bucket = F.floor(F.col("moment") / BUCKET_SECONDS)
-    asked = captures.select(F.col(url).alias("asked"), F.col(at).alias("moment")).filter(
+    asked = captures.select(column(url).alias("asked"), column(at).alias("moment")).filter(
         "asked is not null and moment is not null"
     ).distinct()
     span = asked.agg(F.min("moment").alias("low"), F.max("moment").alias("high"))
@@ -73,7 +75,9 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
     best = hits.groupBy("asked", "moment").agg(
         F.max(F.struct(F.length("pattern").alias("size"), (F.col("kind") == "block").alias("block"), "pattern", "kind")).alias("best")
     )
-    judged = best.select(F.col("asked").alias("_asked"), F.col("moment").alias("_moment"), "best.kind", "best.pattern")
-    left = captures.drop("verdict", "pattern")
-    joined = left.join(judged, (left[url] == judged["_asked"]) & (left[at] == judged["_moment"]), "left")
-    return joined.select(*[left[c] for c in left.columns], F.coalesce("kind", F.lit("none")).alias("verdict"), "pattern")
+    judged = best.select("asked", "moment", F.col("best.kind").alias("found"), F.col("best.pattern").alias("by"))
+    # All columns travel in one, so that their names cannot clash with those used here.
+    kept = [column(c) for c in captures.columns if c not in ("verdict", "pattern")]
+    whole = captures.select(F.struct(*kept).alias("all"), column(url).alias("asked"), column(at).alias("moment"))
+    joined = whole.join(judged, ["asked", "moment"], "left")
+    return joined.select("all.*", F.coalesce("found", F.lit("none")).alias("verdict"), F.col("by").alias("pattern"))

@@ -40,3 +40,13 @@ def test_empty_tables(spark, write_tables):
     assert judged(spark, [], [("a.org", "block", True, 0)]) == []
     folder = write_tables(pages=([], "page_id long, url string, html string"))
     assert QUERIES["op1_url_filters"](spark, folder).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    names = ["kind", "asked", "moment", "all", "found", "by", "bucket", "verdict"]
+    df = spark.createDataFrame([("http://a.org", 5, *names), (None, 5, *names)], ", ".join(["url string", "fetched_at long", *(f"`{n}` string" for n in names)]))
+    done = url_filter.judge(df, spark.createDataFrame([("a.org", "block", True, 0)], ENTRY))
+    assert done.columns == ["url", "fetched_at", *names[:-1], "verdict", "pattern"]
+    rows = {r.url: r for r in done.collect()}
+    assert [rows["http://a.org"][n] for n in names] == [*names[:-1], "block"] and rows[None].verdict == "none"
+    assert [rows[None][n] for n in names[:-1]] == names[:-1]
