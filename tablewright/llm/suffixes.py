@@ -16,9 +16,10 @@ A gram with more than ``HOT_CONTEXTS`` different surroundings would make one ran
 Its strings are counted by 128-bit digests instead, which spread over all tasks.
 
 Defined cases: null counts as empty; texts shorter than ``length`` keep all their bytes; matches never
-cross texts; overlapping occurrences in one text count; all repeats are judged on the input. ``key``
-must be unique; repeated rows count as copies of each other, and rows without a key are neither
-searched nor cut. Extra columns are ignored here.
+cross texts; overlapping occurrences in one text count; all repeats are judged on the input. ``key`` must
+be unique, but a repeated row counts as a copy of the other; a row without a key is known by a hash of
+its text (a number below -2^62, where no keys may lie), so it is searched and cut like any other. All
+other columns are kept, whatever their names; those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tablewright.columns import column, quoted
 from tablewright.llm.bytetext import DOWN, UP, VALUES, mix, rows_of
 from tablewright.llm.common import drop_stage, flat_bytes, groups_in_order, slices, stage
 
@@ -378,14 +381,18 @@ def removed_runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """Rows (key, n_bytes, n_removed, spans, kept, kept_text): one per text.
+    """``docs`` with n_bytes, n_removed, spans, kept and kept_text.
 
     ``spans`` lists the maximal removed runs as (start, end) bytes, ``kept`` holds the other bytes, and
     ``kept_text`` their text, without what a cut leaves of a character.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    marks = stage(anchors(texts.filter("key is not null"), length), "suffix-anchors")
+    new = ("n_bytes", "n_removed", "spans", "kept", "kept_text")
+    others = [c for c in docs.columns if c not in (text, *new)]
+    nameless = F.pmod(F.xxhash64(column(text)), F.lit(1 << 62)) - F.lit(1 << 62) - F.lit(1 << 62)
+    known = F.coalesce(column(key).cast("long"), nameless).alias("key")
+    texts = docs.select(known, column(text).alias("text"))
+    marks = stage(anchors(texts, length), "suffix-anchors")
     grams = marks.groupBy("gram", "context").agg(F.count("*").alias("times")).groupBy("gram").agg(
         F.sum("times").alias("times"), (F.count("*") > HOT_CONTEXTS).alias("hot")
     )
@@ -436,12 +443,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     rows.append((len(data), len(data) - len(kept), spans, kept, kept.decode(errors="ignore")))
                 n, removed, spans, kept, kept_text = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
+                    [part.column(3), part.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
                      pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()),
                      pa.array(kept_text, pa.string())],
-                    names=[key, "n_bytes", "n_removed", "spans", "kept", "kept_text"],
+                    names=["all", "text", *new],
                 )
 
-    joined = texts.join(spans, "key", "left").select("key", "text", "found")
-    schema = f"`{key}` long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary, kept_text string"
-    return joined.mapInArrow(cut, schema)
+    whole = docs.select(known, column(text).alias("text"), F.struct(*map(column, others)).alias("all") if others else F.struct(F.lit(0)).alias("all"))
+    joined = whole.join(spans, "key", "left").select("key", "text", "found", "all")
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    kinds = (T.LongType(), T.LongType(), span, T.BinaryType(), T.StringType())
+    schema = T.StructType([joined.schema["all"], joined.schema["text"], *map(T.StructField, new, kinds)])
+    done = joined.mapInArrow(cut, schema)
+    kept_columns = [F.col("text").alias(c) if c == text else F.col(f"all.{quoted(c)}") for c in docs.columns if c not in new]
+    return done.select(*kept_columns, *new)

@@ -85,3 +85,30 @@ def test_loser_tree_merges_front_coded_runs():
         assert [e[:2] for _, e in got] == sorted(e[:2] for r in runs for e in r)
         for (_, a), (shared, b) in zip(got, got[1:]):
             assert shared == suffixes.common_prefix(a[0], b[0])
+
+
+def test_rows_without_a_key_and_columns_of_any_name(spark):
+    rng = random.Random(7)
+    say = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    passage = say(60)
+    texts = [(1, say(30) + passage + say(9)), (None, passage + say(40)), (None, say(50)), (None, say(20) + passage[10:]), (2, say(70))]
+    texts += [(None, texts[2][1])]
+    rows = [(k, t, i, "f", "k") for i, (k, t) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, found int, `all` string, n_removed string")
+    done = suffixes.remove_repeats(df, length=40)
+    assert done.columns == ["doc_id", "text", "found", "all", "n_bytes", "n_removed", "spans", "kept", "kept_text"]
+    want = brute_force([(i, t) for i, (_, t) in enumerate(texts)], 40)
+    got = {r.found: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in done.collect()}
+    assert got == want and want[1][1] and want[3][1] and want[2][1]
+    assert {(r.doc_id, r.text, r.found, r["all"]) for r in done.collect()} == {r[:4] for r in rows}
+
+
+def test_text_beyond_one_chunk_through_the_whole_operator(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(450))
+    long = "".join(rng.choice("abcdefgh ") for _ in range((1 << 20) - 200))
+    docs = [(1, long + passage + long[:3000]), (2, "x" + passage)]
+    monkeypatch.setattr(suffixes, "RANGE_ANCHORS", 4)
+    rows = {r.doc_id: r for r in suffixes.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert bytes(rows[2].kept) == b"x" and rows[1].n_removed == 450 + 6000
+    assert bytes(rows[1].kept) == long[3000:].encode()
