@@ -14,6 +14,19 @@ from tablewright.session import new_path
 SLICE_BYTES = 2 << 20
 
 
+#: Large blocks go back to the system at once, and Arrow takes its blocks from there as well.
+_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "524288", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
+def lean_workers(spark: SparkSession) -> None:
+    """Python workers that are started from now on keep no memory that they have freed.
+
+    A worker outlives its tasks; without this it holds the most that any stage before took.
+    """
+    for name, value in _MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

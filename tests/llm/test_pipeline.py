@@ -48,6 +48,9 @@ def test_stages_keep_the_columns(spark, write_tables):
     empty = write_tables(documents=([], DOCS), benchmark=([], "item_id long, text string"))
     assert corpus_pipeline.run(spark, empty).count() == 0
     docs = spark.createDataFrame([(1, "plain words", "en", "s", 11), (2, "plain words", "en", "s", 11)], DOCS)
+    more = docs.selectExpr("*", "'f' found", "'k' `all`", "1 n_removed").unionByName(docs.selectExpr("*", "'f' found", "'k' `all`", "1 n_removed"))
+    for name, step in corpus_pipeline.STAGES[2:4]:
+        assert {c for c in step(spark, more, empty).columns} >= {"found", "all"} and step(spark, more, empty).count() == 4
     for name, step in corpus_pipeline.STAGES[:-1]:
         out = step(spark, docs, empty)
         assert out.schema.simpleString() == docs.schema.simpleString(), name
