@@ -11,7 +11,9 @@ all but the last return the columns of ``documents``. Decisions:
 * byte_bpe: texts become token ids with the digest of what they decode to; a document whose tokens do
   not decode to its text would be a fault of the tokenizer and stops the run.
 
-Empty tables pass through. Null texts go in the first stage, as they have no letters.
+Empty tables pass through. Null texts go in the first stage, as they have no letters. Repeated ids and
+rows without one are judged like all others; extra columns are kept until the last stage, but
+for those named like a result of a stage.
 """
 
 from __future__ import annotations
@@ -23,44 +25,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import bpe, decontaminate, langid, minhash, suffixes
-from tablewright.llm.common import stage, table
+from tablewright.llm.common import drop_stage, lean_workers, stage, table
 from tablewright.llm.queries import RANKS, language_model, reach_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _prepare(spark: SparkSession) -> None:
     reach_package(spark)
+    lean_workers(spark)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _prepare(spark)
     found = langid.identify(docs, language_model(docs))
     return found.filter("not rejected").select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    reach_package(spark)
+    _prepare(spark)
     copies = minhash.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_copy"))
     return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    reach_package(spark)
-    cut = suffixes.remove_repeats(docs).filter("n_removed > 0").select(
-        F.col("doc_id").alias("_id"), F.col("kept_text").alias("_text")
-    )
-    joined = docs.join(cut, docs["doc_id"] == cut["_id"], "left")
-    whole = F.col("_id").isNull()
-    chars = F.when(whole, F.col("n_chars")).otherwise(F.length("_text").cast("long"))
-    text = F.when(whole, F.col("text")).otherwise(F.col("_text"))
-    return joined.withColumn("n_chars", chars).withColumn("text", text).select(docs.columns)
+    _prepare(spark)
+    done = suffixes.remove_repeats(docs)
+    cut = F.col("n_removed") > 0
+    new = {
+        "n_chars": F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")),
+        "text": F.when(cut, F.col("kept_text")).otherwise(F.col("text")),
+    }
+    return done.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    reach_package(spark)
+    _prepare(spark)
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return found.filter("not contaminated").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    reach_package(spark)
+    _prepare(spark)
     ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, offsets=False)
     done = bpe.decode(ids, RANKS)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
@@ -80,8 +86,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another, each written and read again; what was read last is deleted."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            drop_stage(spark, last)
+        last = docs
     return docs
