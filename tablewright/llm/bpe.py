@@ -206,3 +206,20 @@ def decode(df: DataFrame, rank_file: str, ids: str = "ids") -> DataFrame:
         return [pa.array([decoder.decode(value or b"") for value in values.to_pylist()], pa.binary())]
 
     return _mapped(df, ids, [T.StructField("decoded", T.BinaryType())], work, lambda: None)
+
+
+def round_trip(df: DataFrame, rank_file: str, pattern: str, text: str = "text") -> DataFrame:
+    """Adds ``ids``, ``n_tokens`` and ``decoded``: ``encode`` without offsets and ``decode`` in one worker.
+
+    Two steps after each other keep two workers per task, each with tables of its own.
+    """
+    df.sparkSession.sparkContext.addFile(rank_file)
+    name = rank_file.rsplit("/", 1)[-1]
+    added = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.BinaryType())]
+
+    def work(values: pa.Array) -> list[pa.Array]:
+        ids = _codec(name, pattern).encode([value or "" for value in values.to_pylist()])
+        decoder = _decoder(name)
+        return [pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(map(decoder.decode, ids), pa.binary())]
+
+    return _mapped(df, text, added, work, lambda: _codec(name, pattern).forget())

@@ -60,3 +60,11 @@ def test_empty_table_and_unknown_ids(spark):
     assert bpe.encode(df, RANKS, public_tokenizers.PATTERN).count() == 0
     nothing = spark.createDataFrame([(None,)], "ids binary")
     assert bytes(bpe.decode(nothing, RANKS).first().decoded) == b""
+
+
+def test_round_trip_equals_two_steps(spark):
+    df = spark.createDataFrame([(i, t, b"old") for i, t in enumerate(TEXTS)], "id long, text string, decoded binary")
+    one = bpe.round_trip(df, RANKS, public_tokenizers.PATTERN)
+    two = bpe.decode(bpe.encode(df.drop("decoded"), RANKS, public_tokenizers.PATTERN, offsets=False), RANKS)
+    order = ["id", "text", "ids", "n_tokens", "decoded"]
+    assert one.select(order).orderBy("id").collect() == two.select(order).orderBy("id").collect()
