@@ -111,8 +111,8 @@ def contaminated(
     )
     # All columns travel in one, so that their names cannot clash with those used here.
     kept = [column(c) for c in docs.columns if c not in ("n_words", "n_hit", "items", "contaminated")]
-    whole = docs.select(F.struct(*kept).alias("all"), column(text).alias("body"), row.alias("key"))
-    tokens = whole.join(candidates, "key", "left").select("all", "found", words(F.col("body")).alias("w"))
+    whole = docs.select(F.struct(*kept).alias("all"), row.alias("key"))
+    tokens = whole.join(candidates, "key", "left").select("all", "found", words(F.col("all").getField(text)).alias("w"))
     none = F.expr("cast(array() as array<struct<start: int, length: int, joined: string, items: array<string>>>)")
     true = F.filter(
         F.coalesce("found", none),
