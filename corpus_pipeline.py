@@ -67,8 +67,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _prepare(spark)
-    ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, offsets=False)
-    done = bpe.decode(ids, RANKS)
+    done = bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     checked = F.when(same, F.sha2("decoded", 256)).otherwise(F.raise_error(F.lit("tokens do not decode to their text")).cast("string"))
     return done.select("doc_id", "lang", "source", "n_tokens", "ids", checked.alias("decoded_sha256"))
