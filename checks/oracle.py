@@ -598,6 +598,22 @@ ORACLE["clean_segments"] = _with(
 
 ORACLE["csv_roundtrip"] = """SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN regexp_matches("text", '^[=+@\\t-]')
     THEN '''' || "text" ELSE "text" END AS text FROM documents"""
+ORACLE["validate_orders_buckets"] = """
+WITH c AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 991 <> 7 THEN o_orderstatus END AS o_orderstatus,
+    o_totalprice + CASE WHEN o_orderkey % 983 = 3 THEN 1 ELSE 0 END AS o_totalprice, o_orderdate, true AS here FROM orders WHERE o_orderkey % 997 <> 5
+  UNION ALL SELECT -o_orderkey - 1, o_orderstatus, o_totalprice, o_orderdate, true FROM orders WHERE o_orderkey % 499 = 6),
+e AS (SELECT *, true AS there FROM orders),
+j AS (SELECT e.*, c.here, c.o_orderstatus AS s, c.o_totalprice AS p, c.o_orderdate AS d FROM e FULL JOIN c USING (o_orderkey))
+SELECT '(missing rows)' AS column_name, count(*) FILTER (here IS NULL) AS differing FROM j
+UNION ALL SELECT '(extra rows)', count(*) FILTER (there IS NULL) FROM j
+UNION ALL SELECT 'o_orderstatus', count(*) FILTER (here AND there AND s IS DISTINCT FROM o_orderstatus) FROM j
+UNION ALL SELECT 'o_totalprice', count(*) FILTER (here AND there AND p IS DISTINCT FROM o_totalprice) FROM j
+UNION ALL SELECT 'o_orderdate', count(*) FILTER (here AND there AND d IS DISTINCT FROM o_orderdate) FROM j"""
+ORACLE["quoted_scan_blocks"] = """
+WITH d AS (SELECT lang, '"a";' || text || chr(10) AS note FROM documents)
+SELECT lang, count(*) AS texts, sum(length(note) - length(replace(note, chr(10), '')))::BIGINT AS breaks,
+  sum(length(note))::BIGINT AS chars, min(md5(note)) AS first_md5, max(md5(note)) AS last_md5 FROM d GROUP BY lang"""
 ORACLE["delimiter_sniff"] = _with(
     "dirty_customer", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, nullif(amount, '') AS amount, phone FROM dirty_customer"
 )

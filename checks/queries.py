@@ -446,6 +446,20 @@ def validate_tampered(spark, sf_dir):
     return validate.cell_differences(plan.apply(original), candidate).withColumnRenamed("column", "column_name")
 
 
+@query
+def validate_orders_buckets(spark, sf_dir):
+    """Every order against a copy with some cells nulled or changed, rows lost and rows too many."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    key = F.col("o_orderkey")
+    changed = orders.filter(key % 997 != 5).select(
+        key, F.when(key % 991 != 7, F.col("o_orderstatus")).alias("o_orderstatus"),
+        F.when(key % 983 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"), "o_orderdate",
+    )
+    more = orders.filter(key % 499 == 6).withColumn("o_orderkey", -key - 1)
+    candidate = stage(changed.unionByName(more), "candidate")
+    return validate.cell_differences(orders, candidate, ["o_orderkey"]).withColumnRenamed("column", "column_name")
+
+
 @query
 def validate_multiset(spark, sf_dir):
     """Without a row key: a candidate that was trimmed after the duplicates went, not before."""
@@ -589,6 +603,21 @@ def csv_roundtrip(spark, sf_dir):
     return good.select("doc_id", "text")
 
 
+@query
+def quoted_scan_blocks(spark, sf_dir):
+    """Texts with line breaks, quotes and separators in text files, found block by block: what each file kept."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('"a";'), "text", F.lit("\n")).alias("note"), "lang")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    paths = [_written(documents.filter(english), "commas"), _written(documents.filter(~english), "semicolons", ";")]
+    good, _ = read_text(spark, paths)
+    breaks = F.length("note") - F.length(F.replace("note", F.lit("\n"), F.lit("")))
+    digest = F.md5(F.col("note").cast("binary"))
+    return good.groupBy("lang").agg(
+        F.count("*").alias("texts"), F.sum(breaks).alias("breaks"), F.sum(F.length("note")).alias("chars"),
+        F.min(digest).alias("first_md5"), F.max(digest).alias("last_md5"),
+    )
+
+
 @query
 def csv_roundtrip_customer(spark, sf_dir):
     """Outer spaces, blanks and nulls of a whole dirty table, published as text and read back."""

@@ -68,7 +68,10 @@ def title_case(col: Column) -> Column:
     """
     marked = F.regexp_replace(col, f"(?<!{_CASED})(?={_CASED})", f"{_MARK} ")
     plain = F.replace(F.initcap(marked), F.lit(f"{_MARK} "), F.lit(""))
-    return F.when(col.rlike(_SPECIAL), _title_runs(col)).otherwise(plain)
+    # Most characters are ASCII and none of these is special, so the long class sees few of them.
+    beyond = F.regexp_replace(col, r"[\x00-\x7F]+", "")
+    special = (F.octet_length(col) > F.char_length(col)) & beyond.rlike(_SPECIAL)
+    return F.when(special, _title_runs(col)).otherwise(plain)
 
 
 def _title_runs(col: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import re
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tablewright.columns import CORRUPT, IDENTITY, ROW_ID, SOURCE_FILE, column, text_columns
 from tablewright.functions import constants as K
+from tablewright.sources import quoted
 from tablewright.sources.headers import IngestError, header_names
 from tablewright.sources.inventory import metadata_path
 
@@ -135,34 +136,71 @@ def _from_cp1252(cell: Column) -> Column:
 def scan(spark: SparkSession, fmt: TextFormat, paths: Sequence[str]) -> DataFrame:
     """All cells as text, with source file, row id and the raw text of malformed rows.
 
-    Only the empty field is null; 'NA' and 'null' stay text. The scan is meant to be staged
-    whole, since the row ids follow its physical order.
+    Only the empty field is null; 'NA' and 'null' stay text. Row ids follow the order of the rows in
+    a file. Without line breaks in quotes the scan is meant to be staged whole, since the row ids then
+    follow its physical order.
     """
+    if not fmt.multiline:
+        return _scan_whole(spark, fmt, paths)
+    maps = _staged(quoted.block_maps(spark, paths, fmt.separator), "blocks")
+    # One small record per file, as in the listing.
+    by_one_task = [row.path for row in maps.filter("returns").select("path").distinct().toLocalIterator()]
+    states = _staged(quoted.block_states(maps.filter(~F.col("path").isin(by_one_task)) if by_one_task else maps), "blocks")
+    rest = [row.path for row in states.select("path").distinct().toLocalIterator()]
+    parts = [_scan_blocks(spark, fmt, rest, states)] if rest else []
+    parts += [_scan_whole(spark, fmt, by_one_task)] if by_one_task else []
+    return _with_row_ids(parts)
+
+
+def _staged(df: DataFrame, label: str) -> DataFrame:
+    from tablewright.runner import stage
+
+    return stage(df, label)
+
+
+def _with_row_ids(parts: list[DataFrame]) -> DataFrame:
+    """Scans as one table; the number of the scan goes before the row ids of each."""
+    room = 62 - (len(parts) - 1).bit_length()
+    numbered = [part.withColumn(ROW_ID, F.col(ROW_ID) + F.lit(i << room)) for i, part in enumerate(parts)]
+    return reduce(DataFrame.unionByName, numbered)
+
+
+def _options(fmt: TextFormat) -> dict[str, str]:
+    return {
+        "sep": fmt.separator, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "multiLine": str(fmt.multiline).lower(),
+    }
+
+
+def _cells(fmt: TextFormat, cell: Callable[[str], Column]) -> list[Column]:
+    values = {name: F.nullif(cell(name), F.lit("")) for name in fmt.columns}
+    return [(_from_cp1252(v) if fmt.encoding == "CP1252" else v).alias(name) for name, v in values.items()]
+
+
+def _scan_whole(spark: SparkSession, fmt: TextFormat, paths: Sequence[str]) -> DataFrame:
+    """By Spark's own reader: one task per file if quotes hold line breaks."""
     fields = [T.StructField(name, T.StringType()) for name in (*fmt.columns, CORRUPT)]
     reader = (
         spark.read.schema(T.StructType(fields))
         .option("header", True)
-        .option("sep", fmt.separator)
         .option("encoding", "UTF-8" if fmt.encoding == "UTF-8" else "ISO-8859-1")
-        .option("multiLine", fmt.multiline)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
+        .options(**_options(fmt))
     )
     df = reader.csv(list(paths))
-
-    def cell(name: str) -> Column:
-        value = F.nullif(column(name), F.lit(""))
-        return _from_cp1252(value) if fmt.encoding == "CP1252" else value
-
     return df.select(
-        metadata_path().alias(SOURCE_FILE),
-        F.monotonically_increasing_id().alias(ROW_ID),
-        *[cell(name).alias(name) for name in fmt.columns],
-        CORRUPT,
+        metadata_path().alias(SOURCE_FILE), F.monotonically_increasing_id().alias(ROW_ID), *_cells(fmt, column), CORRUPT
     )
 
 
+def _scan_blocks(spark: SparkSession, fmt: TextFormat, paths: Sequence[str], states: DataFrame) -> DataFrame:
+    """By records that are found block by block, so that many tasks read one file."""
+    found = quoted.records(spark, paths, fmt.separator, fmt.encoding, states)
+    names = {name: f"c{i}" for i, name in enumerate(fmt.columns)}
+    schema = ", ".join([*(f"{alias} string" for alias in names.values()), f"{CORRUPT} string"])
+    parsed = found.select("path", "id", F.from_csv("record", schema, _options(fmt)).alias("row"))
+    cells = _cells(fmt, lambda name: F.col(f"row.{names[name]}"))
+    return parsed.select(F.col("path").alias(SOURCE_FILE), F.col("id").alias(ROW_ID), *cells, F.col(f"row.{CORRUPT}").alias(CORRUPT))
+
+
 def _too_long(fmt: TextFormat) -> Column:
     """Whether a malformed record has more fields than the header; quotes count only around a field."""
     sep = re.escape(fmt.separator)
@@ -184,8 +222,8 @@ def read_text(
 ) -> tuple[DataFrame, DataFrame]:
     """One table from files with equal columns: (staged rows, rejected rows).
 
-    Files of one table may differ in separator, encoding or line breaks. Row ids are given once,
-    over the scans of all kinds together, so they are unique in the table. With ``any_order`` files
+    Files of one table may differ in separator, encoding or line breaks. Row ids hold the number of
+    the kind of file, so they are unique in the table. With ``any_order`` files
     may name their columns in different orders.
     """
     from tablewright.runner import stage
@@ -198,7 +236,7 @@ def read_text(
         raise IngestError(f"expected files with equal columns, found {len(groups)} kinds of file")
     surplus = "_surplus"
     parts = [scan(spark, fmt, files).withColumn(surplus, _too_long(fmt)) for fmt, files in groups.items()]
-    every = reduce(DataFrame.unionByName, parts).withColumn(ROW_ID, F.monotonically_increasing_id())
+    every = _with_row_ids(parts)
     rows = stage(every, "scan")
     rejected = rows.filter(surplus).select(
         column(SOURCE_FILE), column(ROW_ID), F.col(CORRUPT).alias("record"), F.lit("too many fields").alias("reason")
