@@ -57,7 +57,8 @@ _SPECIAL = "[" + _MARK + "".join(
     for ch in map(chr, (*range(0x80, 0xD800), *range(0xF900, 0x10000)))
     if len(ch.upper()) > 1 or len(ch.lower()) > 1 or ch.upper() != ch.title() or ch in "Σςσ"
 ) + "]"
-_CASED = r"[\p{Lu}\p{Ll}\p{Lt}]"
+# Letters that have a case, with those of other categories such as Roman numerals.
+_CASED = r"[\p{IsUppercase}\p{IsLowercase}\p{Lt}]"
 
 
 def title_case(col: Column) -> Column:
@@ -75,9 +76,7 @@ def title_case(col: Column) -> Column:
 
 
 def _title_runs(col: Column) -> Column:
-    runs = F.regexp_extract_all(
-        col, F.lit(rf"{_CASED}+|[^\p{{Lu}}\p{{Ll}}\p{{Lt}}]+"), F.lit(0)
-    )
+    runs = F.regexp_extract_all(col, F.lit(f"{_CASED}+|[^{_CASED[1:]}+"), F.lit(0))
 
     def titled(run: Column) -> Column:
         # One letter may have two as its capital form (ß to SS): only the first stays upper.

@@ -1,4 +1,4 @@
-"""Independent validation: replay the approved plan on the original and compare with the candidate."""
+"""Independent validation: evaluate the approved plan a second time, by other code, and compare."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.columns import ROW_ID, column, count_if, data_columns, quoted, type_of
+from tablewright.operators import recheck
 from tablewright.plans.plan import Plan
 from tablewright.plans.rules import ACTIONS, Rule, RuleError, problems
 
@@ -183,7 +184,10 @@ def validate(
     order_by: Sequence[str] | None = None,
     key: Sequence[str] | None = None,
 ) -> ValidationResult:
-    """Check a persisted candidate against a fresh replay of the approved rules on the original.
+    """Check a persisted candidate against a second evaluation of the approved rules on the original.
+
+    That evaluation interprets the rules from decision tables of its own (``recheck``), so a fault in
+    a rule does not validate itself.
 
     ``candidate`` must be read back from storage: comparing a lazy result with itself proves
     nothing. With a row key (``_row_id`` by default) cells are compared row by row, else rows are
@@ -206,7 +210,7 @@ def validate(
         errors.extend(authorisation_errors(plan, result.applied))
     try:
         plan.check_strict(original, order_by)
-        expected = plan.apply(original, order_by)
+        expected = recheck.evaluate(plan, original, order_by)
     except RuleError as error:
         return ValidationResult(False, (*errors, str(error)), tuple(warnings))
     structure = structure_errors(expected, candidate)
