@@ -114,10 +114,12 @@ def _numbers(
         return f"named_struct('t', {text}, 'sign', {{v}}.sign, 'by', {by})"
 
     if remove_currency:
+        bare = "{v}.t"
         for mark in (*K.CURRENCY_CODES, *K.CURRENCY_SYMBOLS):
-            steps.append(changed(f"array_join(split({{v}}.t, {pattern(_literal_pattern(mark))}, -1), '')"))
+            bare = f"replace({bare}, {text_literal(mark)}, '')"
+        steps.append(changed(bare))
         steps.append(changed(_stripped("{v}.t")))
-    steps.append(changed("array_join(split({v}.t, ' ', -1), '')"))
+    steps.append(changed("replace({v}.t, ' ', '')"))
     if convert_percentages:
         share = "right({v}.t, 1) = '%'"
         cut = _stripped("left({v}.t, length({v}.t) - 1)")

@@ -113,7 +113,7 @@ def describe(
     groups: dict[TextFormat, list[str]] = defaultdict(list)
     failures: list[tuple[str, str]] = []
     found = encodings(spark, paths).join(separators(spark, paths), "path", "left")
-    for row in found.orderBy("path").toLocalIterator():
+    for row in sorted(found.collect(), key=lambda r: r.path):
         try:
             if row.header is None:
                 raise IngestError("the file has no content")
@@ -142,16 +142,29 @@ def scan(spark: SparkSession, fmt: TextFormat, paths: Sequence[str]) -> DataFram
     """
     if not fmt.multiline:
         return _scan_whole(spark, fmt, paths)
-    maps = _staged(quoted.block_maps(spark, paths, fmt.separator), "blocks")
-    # One small record per file, as in the listing.
-    by_one_task = [row.path for row in maps.filter("returns").select("path").distinct().toLocalIterator()]
-    states = _staged(quoted.block_states(maps.filter(~F.col("path").isin(by_one_task)) if by_one_task else maps), "blocks")
-    rest = [row.path for row in states.select("path").distinct().toLocalIterator()]
-    parts = [_scan_blocks(spark, fmt, rest, states)] if rest else []
+    small, large = _by_size(spark, paths)
+    by_one_task, states = list(small), None
+    if large:
+        maps = _staged(quoted.block_maps(spark, large, fmt.separator), "blocks")
+        # One small record per file, as in the listing.
+        odd = [row.path for row in maps.filter("returns").select("path").distinct().collect()]
+        by_one_task += odd
+        large = [path for path in large if path not in set(odd)]
+        states = _staged(quoted.block_states(maps.filter(~F.col("path").isin(odd)) if odd else maps), "blocks")
+    parts = [_scan_blocks(spark, fmt, large, states)] if large else []
     parts += [_scan_whole(spark, fmt, by_one_task)] if by_one_task else []
     return _with_row_ids(parts)
 
 
+def _by_size(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Files that Spark never splits, and those that it may; only the listing is read."""
+    sizes = spark.read.format("binaryFile").load(list(paths)).select(metadata_path().alias("path"), "length")
+    jvm = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
+    least = min(jvm.byteStringAsBytes(spark.conf.get(f"spark.sql.files.{name}")) for name in ("maxPartitionBytes", "openCostInBytes"))
+    rows = sizes.select("path", (F.col("length") > least).alias("split")).collect()
+    return sorted(r.path for r in rows if not r.split), sorted(r.path for r in rows if r.split)
+
+
 def _staged(df: DataFrame, label: str) -> DataFrame:
     from tablewright.runner import stage
 

@@ -41,12 +41,14 @@ def test_equal_to_the_read_of_one_task(spark, tmp_path):
             spark.conf.set("spark.sql.files.maxPartitionBytes", block)
             maps = quoted.block_maps(spark, paths, sep)
             blocks = maps.count()
-            got = text.scan(spark, fmt, paths)
+            sizes = text._by_size(spark, paths)
+            got = stage(text.scan(spark, fmt, paths), "got")
             rows, ids = cells(got, fmt)
             good, bad = text.split_rejects(got, fmt)
             counts = good.count(), bad.count()
             spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
             assert blocks == 2 if block == "64m" else blocks > 12
+            assert [len(x) for x in sizes] == ([2, 0] if block == "64m" else [0, 2])
             # Spark's reader makes one character of the line ends inside quotes where those of the file are two.
             plain = [tuple(c and c.replace("\r\n", "\n") for c in row) for row in rows] if end == "\r\n" else rows
             assert plain == want and len(ids) == len(rows)
@@ -59,8 +61,9 @@ def test_carriage_returns_inside_lines_are_read_by_one_task(spark, tmp_path):
     good, bad = text.read_text(spark, [f"file:{tmp_path}/unix.csv"])
     assert [(r.a, r.b) for r in good.orderBy(ROW_ID).collect()] == [("1", "x\ny"), ("2", "z")] and bad.count() == 0
     fmt = text.TextFormat(",", "UTF-8", ("a", "b"), True)
-    both = text.scan(spark, fmt, [f"file:{tmp_path}/mac.csv", f"file:{tmp_path}/unix.csv"])
-    both = stage(both, "both")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9")
+    both = stage(text.scan(spark, fmt, [f"file:{tmp_path}/mac.csv", f"file:{tmp_path}/unix.csv"]), "both")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
     assert both.count() == 4 and {("1", "x\ny"), ("2", "z")} <= {(r.a, r.b) for r in both.collect()}
     assert both.select(F.countDistinct(ROW_ID)).first()[0] == both.count()
 
