@@ -577,13 +577,21 @@ _ITEMS = f"""SELECT region AS source, 'ok' AS status, count(*) AS rows_before, {
         3 * {n('NOT kept')} AS BIGINT) AS changes,
       CAST(6 AS BIGINT) AS actions, 'CLEANED' AS result, CAST(NULL AS VARCHAR) AS reason
     FROM (SELECT *, {_FIRST.format('label, note')} AS kept FROM labelled) GROUP BY region"""
-ORACLE["batch_items"] = _with(_SALES, _ITEMS, labelled=_LABELS)
+ORACLE["batch_items_labels"] = _with(_SALES, _ITEMS, labelled=_LABELS)
+# The date has a trim and a date rule; the amount a trim, a number and a null rule, and all its cells
+# count as changed, because a text becomes a number.
+_WHOLE = f"""SELECT c.region AS source, 'ok' AS status, count(*) AS rows_before, {n('kept')} AS rows_after, {n('NOT kept')} AS rows_removed,
+      CAST(2 * {n('kept AND c.sold_on IS DISTINCT FROM m.sold_on')} + 3 * {n('kept AND (m.amount IS NOT NULL OR c.amount IS NOT NULL)')} +
+        2 * {n('kept AND c.label IS DISTINCT FROM m.label')} + 2 * {n('kept AND c.note IS DISTINCT FROM m.note')} + 3 * {n('NOT kept')} AS BIGINT) AS changes,
+      CAST(11 AS BIGINT) AS actions, 'CLEANED' AS result, CAST(NULL AS VARCHAR) AS reason
+    FROM (SELECT *, {_FIRST.format('sold_on, amount, label, note')} AS kept FROM ({_clean_sales('region, o_orderkey,')})) c
+    JOIN {_SALES} m USING (o_orderkey) GROUP BY c.region"""
+ORACLE["batch_items"] = _with(_SALES, _WHOLE)
 ORACLE["batch_summary"] = _with(
     _SALES,
     f"""SELECT count(*) AS files_found, count(*) AS processed_ok, 0 AS processed_invalid, 0 AS errors, count(*) AS cleaned,
       0 AS unchanged, CAST(sum(rows_before) AS BIGINT) AS total_rows_before, CAST(sum(rows_after) AS BIGINT) AS total_rows_after,
-      CAST(sum(rows_removed) AS BIGINT) AS total_rows_removed, CAST(sum(changes) AS BIGINT) AS total_changes FROM ({_ITEMS})""",
-    labelled=_LABELS,
+      CAST(sum(rows_removed) AS BIGINT) AS total_rows_removed, CAST(sum(changes) AS BIGINT) AS total_changes FROM ({_WHOLE})""",
 )
 ORACLE["batch_self_check"] = "SELECT true AS consistent"
 

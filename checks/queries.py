@@ -538,8 +538,7 @@ def batch_clean(spark, sf_dir):
     return cleaned.withColumnsRenamed({SOURCE_FILE: "region", ROW_ID: "o_orderkey"})
 
 
-def _items(spark, sf_dir) -> DataFrame:
-    df = _sources(spark, sf_dir).drop("sold_on", "amount")
+def _items(df: DataFrame) -> DataFrame:
     chosen = batch.source_decisions(df)
     cleaned = stage(batch.clean_sources(df, chosen), "candidate")
     changes = batch.source_changes(df, cleaned, chosen)
@@ -549,17 +548,24 @@ def _items(spark, sf_dir) -> DataFrame:
 
 @query
 def batch_items(spark, sf_dir):
-    return _items(spark, sf_dir)
+    """One row per region's sales: all columns, with dates, amounts, labels and notes."""
+    return _items(_sources(spark, sf_dir))
+
+
+@query
+def batch_items_labels(spark, sf_dir):
+    """The same for tables of labels and notes only, in which most rows are duplicates that go."""
+    return _items(_sources(spark, sf_dir).select(SOURCE_FILE, ROW_ID, "label", "note"))
 
 
 @query
 def batch_summary(spark, sf_dir):
-    return batch.batch_summary(_items(spark, sf_dir))
+    return batch.batch_summary(_items(_sources(spark, sf_dir)))
 
 
 @query
 def batch_self_check(spark, sf_dir):
-    items = stage(_items(spark, sf_dir), "items")
+    items = stage(_items(_sources(spark, sf_dir)), "items")
     return batch.self_check(items, batch.batch_summary(items))
 
 
