@@ -604,6 +604,8 @@ ORACLE["clean_segments"] = _with(
 
 # Sources, sinks and streams ---------------------------------------------------------------------
 
+ORACLE["recheck_segments"] = ORACLE["clean_segments"]
+ORACLE["recheck_sales"] = _with(_SALES, f"SELECT DISTINCT * FROM ({_clean_sales('o_orderkey, region,')})")
 ORACLE["csv_roundtrip"] = """SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN regexp_matches("text", '^[=+@\\t-]')
     THEN '''' || "text" ELSE "text" END AS text FROM documents"""
 ORACLE["validate_orders_buckets"] = """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks.views import table, view
 from tablewright.columns import ROW_ID, SOURCE_FILE, column
 from tablewright.functions import dates, numbers, text
-from tablewright.operators import audit, batch, detect, profile, rows, shape, validate
+from tablewright.operators import audit, batch, detect, profile, recheck, rows, shape, validate
 from tablewright.plans import intake, propose
 from tablewright.plans import rules as R
 from tablewright.plans.plan import Plan, run_steps, strict_steps
@@ -589,6 +589,36 @@ def clean_segments(spark, sf_dir):
     )
 
 
+@query
+def recheck_segments(spark, sf_dir):
+    """The same totals by the second evaluation of the rules, which shares no code with the first."""
+    plan = Plan(
+        (
+            R.trim_text("name"), R.strip_invisibles("name"), R.junk_to_null("status", ["n.d."], True),
+            R.normalize_numbers("amount"), R.dedupe_by_key(["email", "phone"], "first"),
+        )
+    ).approve()
+    cleaned = recheck.evaluate(plan, view(spark, sf_dir, "dirty_customer"), ["c_custkey"])
+    return cleaned.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.count("status").alias("with_status"),
+        F.round(F.sum("amount"), 2).alias("total_amount"),
+    )
+
+
+@query
+def recheck_sales(spark, sf_dir):
+    """Dates, amounts, labels and notes of all sales by the second evaluation."""
+    sales = view(spark, sf_dir, "messy_sales").withColumn(ROW_ID, F.col("o_orderkey"))
+    plan = Plan(
+        (
+            R.trim_text("sold_on"), R.normalize_dates("sold_on"), R.normalize_numbers("amount"), R.trim_text("label"),
+            R.normalize_case("label", "title"), R.strip_invisibles("note"), R.blank_to_null("note"), R.dedupe_exact(),
+        )
+    ).approve()
+    return recheck.evaluate(plan, sales).drop(ROW_ID)
+
+
 # Sources, sinks and streams ---------------------------------------------------------------------
 # The files are written by Spark from the given tables, so their size follows the tables.
 
