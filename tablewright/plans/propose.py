@@ -14,14 +14,12 @@ from tablewright.functions import constants as K
 from tablewright.functions import text as cells
 from tablewright.functions.dates import date_text, date_value, default_pivot_year, year_first
 from tablewright.functions.numbers import is_number, probe_text
-from tablewright.operators.values import spelling_groups
+from tablewright.operators.values import value_counts
 from tablewright.plans import rules as R
 from tablewright.plans.plan import Plan
 from tablewright.plans.rules import Rule, RuleError
 
 PASSES = ("pass1", "pass2", "pass3")
-# One column per aggregate took half the time of all columns in one; the cause is not settled.
-COLUMNS_PER_SCAN = 1
 DATE_SHARE = 0.8
 NUMBER_SHARE = 0.8
 PERCENT_SHARE = 0.8
@@ -39,63 +37,61 @@ def rules_from_issues(issues: DataFrame) -> Plan:
     )
 
 
+FLAGS = ("outer_space", "invisibles", "evidence")
+COUNTS = ("filled", "dates", "numbers", "percents")
+
+
 def column_shapes(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., pos, outer_space, invisibles, mixed_case, filled, dates, numbers, evidence, percents).
+    """(by..., pos, outer_space, invisibles, evidence, filled, dates, numbers, percents, mixed_case).
 
     The facts that decide the automatic rules, per text column and per group of ``by`` (such as
-    the source file): one aggregate over all columns, plus one grouping for spellings.
+    the source file). The table is read once: equal cells of a column become one row with a count,
+    and each different value is judged once, by one expression for all columns. Spellings of one
+    text meet by 128-bit hashes, so no text is shuffled a second time.
     """
     names = list(columns or text_columns(df))
-    parts = []
-    for at in range(0, len(names), COLUMNS_PER_SCAN):
-        parts.append(_shapes(df, dict(enumerate(names[at : at + COLUMNS_PER_SCAN], start=at)), by))
-    shapes = reduce(DataFrame.unionByName, parts)
-    spelled = spelling_groups(df, names, by).groupBy(*[column(b) for b in by], "pos").agg(
-        ((F.max("spellings") > 1) & (F.count(F.lit(1)) > 1)).alias("mixed_case")
+    keys = [*[column(b) for b in by], F.col("pos")]
+    spelling = [F.xxhash64(F.lit(seed), "_text").alias(f"_text{seed}") for seed in (0, 1)]
+    caseless = [F.xxhash64(F.lit(seed), F.lower("_text")).alias(f"_key{seed}") for seed in (0, 1)]
+    judged = _judged(value_counts(df, names, by=by)).select(*keys, "n", *FLAGS, *COUNTS, *spelling, *caseless)
+    texts = judged.groupBy(*keys, "_key0", "_key1").agg(
+        *[F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for f in FLAGS],
+        *[F.sum(F.when(F.col(f), F.col("n")).otherwise(0)).alias(f) for f in COUNTS],
+        *[(F.min(f"_text{seed}") != F.max(f"_text{seed}")).alias(f"_differ{seed}") for seed in (0, 1)],
     )
-    joined = shapes.join(spelled, [*by, "pos"], "left")
-    return joined.withColumn("mixed_case", F.coalesce("mixed_case", F.lit(False)))
-
-
-def _shapes(df: DataFrame, names: dict[int, str], by: Sequence[str]) -> DataFrame:
-    """The facts of some columns, one aggregate; steps that are read twice are projected first."""
-    df = df.select("*", *[cells.strip(column(n)).alias(f"_text{i}") for i, n in names.items()])
-    places = list(names)
-    df = df.select("*", *[date_text(F.col(f"_text{i}")).alias(f"_plain{i}") for i in places])
-    pivot = default_pivot_year()
-    df = df.select(
-        "*", *[year_first(F.col(f"_plain{i}"), True, pivot, True).alias(f"_ordered{i}") for i in places]
+    filled = F.col("filled") > 0
+    found = texts.groupBy(*keys).agg(
+        *[F.bool_or(f).alias(f) for f in FLAGS],
+        *[F.sum(f).alias(f) for f in COUNTS],
+        (
+            (count_if(filled & (F.col("_differ0") | F.col("_differ1"))) > 0) & (count_if(filled) > 1)
+        ).alias("mixed_case"),
     )
-    df = df.select(
+    if by:
+        return found
+    # A table without rows has its columns all the same; one row per column on both sides.
+    every = df.sparkSession.createDataFrame([(str(i),) for i in range(len(names))], "pos string")
+    zero = {**{f: False for f in (*FLAGS, "mixed_case")}, **{f: 0 for f in COUNTS}}
+    return every.join(F.broadcast(found), "pos", "left").fillna(zero)
+
+
+def _judged(values: DataFrame) -> DataFrame:
+    """The facts of each different value; steps that are read twice are projected first."""
+    raw, text = F.col("value"), F.col("_text")
+    filled = F.coalesce(text != "", F.lit(False))
+    values = values.withColumn("_text", cells.strip(raw))
+    values = values.withColumn("_plain", date_text(text))
+    values = values.withColumn("_ordered", year_first(F.col("_plain"), True, default_pivot_year(), True))
+    return values.select(
         "*",
-        *[
-            date_value(F.col(f"_text{i}"), F.col(f"_plain{i}"), F.col(f"_ordered{i}"), True)
-            .isNotNull()
-            .alias(f"_is_date{i}")
-            for i in places
-        ],
-        *[is_number(probe_text(F.col(f"_text{i}"))).alias(f"_is_number{i}") for i in places],
+        (raw != text).alias("outer_space"),
+        raw.rlike(K.INVISIBLE_EVIDENCE).alias("invisibles"),
+        (filled & raw.rlike(K.NUMBER_EVIDENCE)).alias("evidence"),
+        filled.alias("filled"),
+        (filled & date_value(text, F.col("_plain"), F.col("_ordered"), True).isNotNull()).alias("dates"),
+        (filled & is_number(probe_text(text))).alias("numbers"),
+        (filled & raw.endswith("%")).alias("percents"),
     )
-    sums = []
-    for i, name in names.items():
-        raw, text = column(name), F.col(f"_text{i}")
-        filled = text != ""
-        sums += [
-            F.coalesce(F.bool_or(raw != text), F.lit(False)).alias(f"outer_space{i}"),
-            F.coalesce(F.bool_or(raw.rlike(K.INVISIBLE_EVIDENCE)), F.lit(False)).alias(f"invisibles{i}"),
-            count_if(filled).alias(f"filled{i}"),
-            count_if(filled & F.col(f"_is_date{i}")).alias(f"dates{i}"),
-            count_if(filled & F.col(f"_is_number{i}")).alias(f"numbers{i}"),
-            F.coalesce(F.bool_or(filled & raw.rlike(K.NUMBER_EVIDENCE)), F.lit(False)).alias(f"evidence{i}"),
-            count_if(filled & raw.endswith("%")).alias(f"percents{i}"),
-        ]
-    facts = ("outer_space", "invisibles", "filled", "dates", "numbers", "evidence", "percents")
-    wide = df.groupBy(*[column(b) for b in by]).agg(*sums) if by else df.agg(*sums)
-    rows = [
-        F.struct(F.lit(str(i)).alias("pos"), *[F.col(f"{f}{i}").alias(f) for f in facts])
-        for i in names
-    ]
-    return wide.select(*[column(b) for b in by], F.inline(F.array(*rows)))
 
 
 def decisions(shapes: DataFrame) -> DataFrame:
