@@ -644,6 +644,11 @@ ORACLE["incremental_folder_clean"] = _with(
     f"""SELECT CASE WHEN region = 'F' THEN 0 ELSE 1 END AS batch, o_orderkey, region, sold_on,
       number AS amount, {title('label')} AS label, nullif(note, '') AS note FROM ({numbers(_SALES, 'amount')})""",
 )
+ORACLE["folder_sync"] = _with(
+    _SALES,
+    f"""SELECT o_orderkey, region, sold_on, number AS amount, {title('label')} AS label, nullif(note, '') AS note
+      FROM ({numbers(_SALES, 'amount')}) WHERE region = 'P' OR region = 'O' AND o_orderkey % 2 = 0""",
+)
 ORACLE["text_clean_run"] = _with(
     _SALES,
     f"""SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, region, sold_on, number AS amount, {title('label')} AS label,

@@ -22,6 +22,7 @@ from tablewright.sinks.publish import neutralize_formulas, publish, text_options
 from tablewright.sources.inventory import inventory
 from tablewright.sources.text import infer_types, read_text
 from tablewright.streaming.incremental import clean_new_files
+from tablewright.streaming.manifest import read_synced, sync_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -797,6 +798,36 @@ def incremental_folder_clean(spark, sf_dir):
     return spark.read.parquet(target).select("batch", *sales.columns)
 
 
+def _remove(spark, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@query
+def folder_sync(spark, sf_dir):
+    """A folder whose files are added, replaced and deleted between two runs; a third run finds nothing new."""
+    sales = view(spark, sf_dir, "messy_sales")
+    folder, target = new_path(spark, "in"), new_path(spark, "out")
+    plan = Plan((R.trim_text("amount"), R.normalize_numbers("amount"), R.normalize_case("label", "title"))).approve()
+
+    def deliver(region: str, condition: str) -> None:
+        some = sales.filter(condition)
+        text_options(some.write.mode("overwrite"), len(sales.columns)).csv(f"{folder}/{region}")
+
+    deliver("F", "region = 'F'")
+    deliver("O", "region = 'O'")
+    sync_folder(spark, folder, sales.schema, plan, target)
+    _remove(spark, f"{folder}/F")
+    deliver("O", "region = 'O' and o_orderkey % 2 = 0")
+    deliver("P", "region = 'P'")
+    second = sync_folder(spark, folder, sales.schema, plan, target)
+    third = sync_folder(spark, folder, sales.schema, plan, target)
+    if second.changes.isEmpty() or not third.changes.isEmpty():
+        raise ValueError("the second run must find changes and the third none")
+    typed = plan.apply(sales.limit(0)).schema
+    return read_synced(spark, target, typed).drop(SOURCE_FILE)
+
+
 @query
 def folder_batch(spark, sf_dir):
     """A folder of sales files, one folder per region, cleaned and published as one batch."""

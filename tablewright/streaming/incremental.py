@@ -74,7 +74,7 @@ def clean_new_files(
     def write(batch: DataFrame, number: int) -> None:
         # One record per file, like a listing.
         paths = [r.path for r in batch.distinct().collect()]
-        rows, refused = _new_rows(spark, paths, wanted)
+        rows, refused = new_rows(spark, paths, wanted)
         refused.write.mode("overwrite").parquet(f"{lost}/batch={number}")
         if rows is None:
             return
@@ -96,7 +96,7 @@ def clean_new_files(
     )
 
 
-def _new_rows(spark: SparkSession, paths: list[str], schema: T.StructType) -> tuple[DataFrame | None, DataFrame]:
+def new_rows(spark: SparkSession, paths: list[str], schema: T.StructType) -> tuple[DataFrame | None, DataFrame]:
     """Typed rows of the files that fit the schema, and what was refused: (source, record, reason)."""
     groups, failures = describe(spark, paths)
     names = sorted(schema.names)
