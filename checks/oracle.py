@@ -673,4 +673,18 @@ ORACLE["intake_plan_size"] = f"""SELECT event_id % 10 AS team, count(*) AS n_rul
 ORACLE["ragged_inner_quotes"] = """SELECT CASE WHEN p_partkey % 3 = 0 THEN 'rejected' ELSE 'kept' END AS part,
     CAST(p_partkey AS VARCHAR) AS key, CASE WHEN p_partkey % 3 = 0 THEN 'too many fields' ELSE '5" ' || p_name END AS name,
     CASE WHEN p_partkey % 3 <> 0 THEN '3" bolt' END AS size FROM part"""
+ORACLE["folder_rejects"] = """SELECT 'good' AS name, 'ok' AS status, NULL AS error_class, NULL AS reason,
+  count(*) AS rows_before, 0 AS unpublished FROM orders
+UNION ALL SELECT name, 'error', 'other', reason, NULL, NULL FROM (VALUES
+  ('twice', 'duplicate column name ''LABEL'''), ('broken.xlsx', 'unreadable workbook: BadZipFile'),
+  ('legacy.xls', 'legacy workbooks are not supported'), ('empty.csv', 'empty file')) t(name, reason)"""
+ORACLE["profile_rollup"] = _with(
+    _SALES,
+    """SELECT column_name, region, label, 2 - GROUPING(region) - GROUPING(label) AS level, count(*) AS cells,
+      count(v) AS non_null, count(*) - count(v) AS nulls, count(DISTINCT v) AS distinct_values
+    FROM cells GROUP BY column_name, ROLLUP (region, label)""",
+    cells=" UNION ALL ".join(
+        f"SELECT region, label, '{c}' AS column_name, {c} AS v FROM messy_sales" for c in ("sold_on", "amount", "note")
+    ),
+)
 ORACLE["folder_batch"] = """SELECT 0 AS processed_invalid, 0 AS errors, count(*) AS total_rows_before, 0 AS unpublished FROM orders"""

@@ -521,6 +521,13 @@ def loss_counts(spark, sf_dir):
     return found.withColumnRenamed("column", "column_name")
 
 
+@query
+def profile_rollup(spark, sf_dir):
+    """Dates, amounts and notes of sales per region and label, per region, and in total."""
+    found = profile.profile_rollup(view(spark, sf_dir, "messy_sales"), ["region", "label"], ["sold_on", "amount", "note"])
+    return found.withColumnsRenamed({"column": "column_name", "distinct": "distinct_values"}).drop("position")
+
+
 # Batch ------------------------------------------------------------------------------------------
 
 
@@ -828,6 +835,33 @@ def folder_sync(spark, sf_dir):
     return read_synced(spark, target, typed).drop(SOURCE_FILE)
 
 
+@query
+def folder_rejects(spark, sf_dir):
+    """A folder with a good kind of file and files that cannot be read: each with its reason, the good one published."""
+    sales = view(spark, sf_dir, "messy_sales").select("label", "note")
+    folder = new_path(spark, "mixed")
+    text_options(sales.write, 2).csv(f"{folder}/good")
+    twice = sales.select(F.concat_ws(",", "label", "label").alias("label,LABEL"))
+    twice.write.option("header", True).option("sep", "\x01").option("quote", "").csv(f"{folder}/twice")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in ("broken.xlsx", "legacy.xls"):
+        # Text under the name of a workbook.
+        text_options(sales.limit(100).coalesce(1).write, 2).csv(f"{folder}/{name}-parts")
+        part = files.globStatus(path(f"{folder}/{name}-parts/*.csv"))[0].getPath()
+        files.rename(part, path(f"{folder}/{name}"))
+    files.create(path(f"{folder}/empty.csv")).close()
+    run = clean_folder(spark, folder, new_path(spark, "cleaned"))
+    name = F.regexp_extract("source", r"/mixed-[^/]+/([^/]+)", 1)
+    refused = run.rejects.select(name.alias("name"), "status", "error_class", "reason").distinct()
+    published = spark.read.option("multiLine", True).option("header", True).csv(run.output).count()
+    good = run.items.filter("status = 'ok'").groupBy(name.alias("name"), "status").agg(
+        F.lit(None).cast("string").alias("error_class"), F.lit(None).cast("string").alias("reason"),
+        F.sum("rows_before").alias("rows_before"), (F.sum("rows_before") - F.sum("rows_removed") - published).alias("unpublished"),
+    )
+    return good.unionByName(refused, allowMissingColumns=True)
+
+
 @query
 def folder_batch(spark, sf_dir):
     """A folder of sales files, one folder per region, cleaned and published as one batch."""

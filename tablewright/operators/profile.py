@@ -80,6 +80,36 @@ def _approx_profile(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.agg(*sums).select(F.inline(F.array(*rows)))
 
 
+def profile_rollup(df: DataFrame, levels: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """(levels..., level, position, column, cells, non_null, nulls, distinct) per group, part total and total.
+
+    ``levels`` goes from the widest group to the narrowest, such as kind of file and file. A row of
+    ``level`` n is named by the first n of them, the others are null there; level 0 is the whole
+    table. (A group may have a null name itself, so ``level`` tells them apart.) The table is read
+    once: equal cells of a group become one row with a count before the part totals are formed.
+    """
+    names = [n for n in (columns or data_columns(df)) if n not in levels]
+    inner = [f"_level{i}" for i in range(len(levels))]
+    named = df.select("*", *[column(name).alias(alias) for name, alias in zip(levels, inner)])
+    values = value_counts(named, names, by=inner)
+    sets = [["pos", "value", *inner[:n]] for n in range(len(inner), -1, -1)]
+    rolled = values.groupingSets(sets, "pos", "value", *inner).agg(
+        F.sum("n").alias("n"), (F.lit(len(inner)) - F.bit_count(F.grouping_id())).alias("level")
+    )
+    filled = F.col("value").isNotNull()
+    counted = rolled.groupBy("pos", "level", *inner).agg(
+        F.sum("n").alias("cells"),
+        F.sum(F.when(filled, F.col("n")).otherwise(0)).alias("non_null"),
+        F.sum(F.when(filled, 0).otherwise(F.col("n"))).alias("nulls"),
+        F.count("value").alias("distinct"),
+    )
+    # One row per column on this side.
+    return counted.join(F.broadcast(_column_list(df, names)), "pos").select(
+        *[F.col(alias).alias(name) for name, alias in zip(levels, inner)],
+        F.col("level").cast("int").alias("level"), "position", "column", "cells", "non_null", "nulls", "distinct",
+    )
+
+
 def table_stats(df: DataFrame) -> DataFrame:
     """(row_count, column_count) as one row."""
     width = len(data_columns(df))
