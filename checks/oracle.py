@@ -673,6 +673,17 @@ ORACLE["intake_plan_size"] = f"""SELECT event_id % 10 AS team, count(*) AS n_rul
 ORACLE["ragged_inner_quotes"] = """SELECT CASE WHEN p_partkey % 3 = 0 THEN 'rejected' ELSE 'kept' END AS part,
     CAST(p_partkey AS VARCHAR) AS key, CASE WHEN p_partkey % 3 = 0 THEN 'too many fields' ELSE '5" ' || p_name END AS name,
     CASE WHEN p_partkey % 3 <> 0 THEN '3" bolt' END AS size FROM part"""
+# The list runs from 10,000 down to 1. '#n' is found by the greatest odd number that n begins with.
+ORACLE["replace_values_long_list"] = """
+WITH names AS (SELECT p_partkey, p_partkey % 15000 AS n, p_partkey % 3 = 0 AS inner_part FROM part),
+heads AS (SELECT p_partkey, max(CAST(left(CAST(n AS VARCHAR), len) AS BIGINT)) AS hit
+  FROM names, range(1, 6) t(len) WHERE inner_part AND len <= length(CAST(n AS VARCHAR))
+  AND CAST(left(CAST(n AS VARCHAR), len) AS BIGINT) BETWEEN 1 AND 10000 AND CAST(left(CAST(n AS VARCHAR), len) AS BIGINT) % 2 = 1
+  GROUP BY p_partkey)
+SELECT p_partkey, CASE WHEN inner_part AND hit IS NOT NULL THEN ' Part' || replace('#' || n, '#' || hit, '<' || hit || '>') || ' '
+  WHEN inner_part THEN ' Part#' || n || ' '
+  WHEN n % 2 = 0 AND n BETWEEN 1 AND 10000 THEN '<' || n || '>' ELSE ' Part' || n || ' ' END AS value
+FROM names LEFT JOIN heads USING (p_partkey)"""
 ORACLE["folder_rejects"] = """SELECT 'good' AS name, 'ok' AS status, NULL AS error_class, NULL AS reason,
   count(*) AS rows_before, 0 AS unpublished FROM orders
 UNION ALL SELECT name, 'error', 'other', reason, NULL, NULL FROM (VALUES

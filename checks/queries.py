@@ -96,6 +96,17 @@ _cells(
 )
 
 
+@query
+def replace_values_long_list(spark, sf_dir):
+    """Part names by a list of 10,000 replacements, whole cells and parts of cells mixed."""
+    mappings = [
+        {"find": f"#{i}" if i % 2 else f"Part{i}", "replace": f"<{i}>", "match": "contains" if i % 2 else "exact"}
+        for i in range(10_000, 0, -1)
+    ]
+    names = table(spark, sf_dir, "part").select("p_partkey", F.format_string(" Part%s%d ", F.when(F.col("p_partkey") % 3 == 0, "#").otherwise(""), F.col("p_partkey") % 15000).alias("name"))
+    return names.select("p_partkey", text.replace_values(F.col("name"), mappings).alias("value"))
+
+
 @query
 def neutralise_formulas(spark, sf_dir):
     return neutralize_formulas(view(spark, sf_dir, "injected_part"))

@@ -1,9 +1,11 @@
-"""Text cell functions. Every function takes and returns a native Column (no Python worker)."""
+"""Text cell functions, ``Column`` to ``Column``. All are native but for long lists of replacements."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,8 +136,71 @@ def java_replacement(template: str) -> str:
     return re.sub(r"\\(\d)|\\g<(\w+)>|\\(.)|(.)", one, template, flags=re.DOTALL)
 
 
+# A CASE of more branches than this no longer compiles well; longer lists are looked up instead.
+MOST_BRANCHES = 100
+
+
+def _first_literal(mappings: list[dict]) -> Callable[[Column, Column], Column]:
+    """Struct (place, value) of the first exact or contains mapping that hits a cell, from Arrow batches.
+
+    Exact finds are one dictionary lookup; all contains finds are met by one pass of an automaton
+    over the text. Both are as large as the list in the rule. ``place`` is null where none hits.
+    """
+    exact: dict[str, int] = {}
+    inner: dict[str, int] = {}
+    for place, mapping in enumerate(mappings):
+        mode = mapping.get("match", "exact")
+        if mode != "regex":
+            (inner if mode == "contains" else exact).setdefault(mapping["find"], place)
+    new = {place: mappings[place].get("replace") for place in (*exact.values(), *inner.values())}
+
+    @F.pandas_udf("place int, value string")
+    def first(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for find, place in inner.items():
+            automaton.add_word(find, (place, find))
+        automaton.make_automaton()
+
+        def hit(raw: str | None, stripped: str | None) -> tuple[int | None, str | None]:
+            if raw is None:
+                return None, None
+            whole = exact.get(stripped, len(mappings))
+            part, find = min((found for _, found in automaton.iter(raw)), default=(whole, "")) if inner else (whole, "")
+            if whole <= part:
+                return (whole, new[whole]) if whole < len(mappings) else (None, None)
+            return part, None if new[part] is None else raw.replace(find, new[part])
+
+        for raw, stripped in batches:
+            rows = [hit(*pair) for pair in zip(raw, stripped)]
+            places = pd.array([row[0] for row in rows], dtype="Int32")
+            yield pd.DataFrame({"place": places, "value": pd.Series([row[1] for row in rows], dtype=object)})
+
+    return first
+
+
+def _replace_many(col: Column, mappings: list[dict]) -> Column:
+    """Long lists: one lookup for all literal finds, branches for regular expressions only."""
+    text = col.cast("string")
+    found = _first_literal(mappings)(text, strip(text))
+    chain = None
+    for place, mapping in enumerate(mappings):
+        if mapping.get("match", "exact") != "regex":
+            continue
+        pattern, new = java_regex(mapping["find"]), mapping.get("replace")
+        hit = F.coalesce(found["place"] > place, F.lit(True)) & col.rlike(pattern)
+        out = F.lit(None).cast("string") if new is None else F.regexp_replace(col, pattern, java_replacement(new))
+        chain = F.when(hit, out) if chain is None else chain.when(hit, out)
+    literal = found["place"].isNotNull()
+    chain = F.when(literal, found["value"]) if chain is None else chain.when(literal, found["value"])
+    return chain.otherwise(col)
+
+
 def replace_values(col: Column, mappings: list[dict]) -> Column:
     """First matching mapping decides: whole cell (exact), every occurrence (contains), regex."""
+    if len(mappings) > MOST_BRANCHES:
+        return _replace_many(col, mappings)
     chain = None
     for mapping in mappings:
         find, new = mapping["find"], mapping.get("replace")

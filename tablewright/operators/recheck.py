@@ -7,6 +7,7 @@ them, or a change of it, shows as a difference. Custom rules have no second form
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from collections.abc import Sequence
@@ -23,6 +24,8 @@ from tablewright.plans.plan import Plan
 from tablewright.plans.rules import CUSTOM, WITHOUT_PARAMETERS, Rule
 
 _VALUE = "_recheck_value"
+# Longer lists of replacements are a table or an array, because a CASE of them does not compile well.
+MOST_CASES = 100
 
 
 def text_literal(value: str) -> str:
@@ -226,8 +229,44 @@ def _cell_steps(rule: Rule, data_type: T.DataType) -> list[str] | None:
     }[rule.action]()
 
 
+def _replaced_by_table(df: DataFrame, name: str, mappings: Sequence[dict]) -> DataFrame:
+    """Long lists: whole cells are found by a join with the list, parts by a search of the array of finds.
+
+    The list comes with the rule and is on the driver already; Spark broadcasts it if it is small.
+    The search tries every find on every cell, which is slow but shares nothing with the automaton.
+    """
+    spark, whole, parts, places = df.sparkSession, {}, {}, []
+    for place, mapping in enumerate(mappings):
+        find, mode = mapping["find"], mapping.get("match", "exact")
+        if mode == "regex":
+            found = pattern(java_regex(find))
+            new = mapping.get("replace")
+            out = "NULL" if new is None else f"regexp_replace({{c}}, {found}, {text_literal(java_replacement(new))})"
+            places.append((place, found, out))
+        else:
+            (parts if mode == "contains" else whole).setdefault(find, (place, mapping.get("replace")))
+    cell, names = quoted(name), [quoted(n) for n in df.columns]
+    table = spark.createDataFrame([(f, *v) for f, v in whole.items()], "_find string, _place int, _new string")
+    df = df.selectExpr(*names, f"{_stripped(cell)} AS {_VALUE}").join(table, F.expr(f"{_VALUE} = _find"), "left")
+    finds = json.dumps([{"f": f, "p": p, "r": r} for f, (p, r) in sorted(parts.items(), key=lambda item: item[1][0])])
+    array = f"from_json({text_literal(finds)}, 'array<struct<f:string,p:int,r:string>>')"
+    df = df.selectExpr(*names, "_place", "_new", f"get(filter({array}, m -> instr({cell}, m.f) > 0), 0) AS _part")
+    least = "least(_place, _part.p)"
+    cases = [
+        f"WHEN coalesce({least} > {place}, true) AND {cell} RLIKE {found} THEN {out.replace('{c}', cell)}"
+        for place, found, out in places
+    ]
+    cases += [
+        f"WHEN {least} = _place THEN _new",
+        f"WHEN {least} = _part.p THEN replace({cell}, _part.f, _part.r)",
+    ]
+    return df.selectExpr(*(f"CASE {' '.join(cases)} ELSE {cell} END AS {n}" if n == cell else n for n in names))
+
+
 def _cell(df: DataFrame, rule: Rule) -> DataFrame:
     """One projection per step, so that no text of a step is repeated in the next one."""
+    if rule.action == "replace_values" and len(rule.parameters["mappings"]) > MOST_CASES:
+        return _replaced_by_table(df, rule.column, rule.parameters["mappings"])
     if rule.action == "custom":
         return df.withColumn(rule.column, CUSTOM[rule.parameters["name"]](F.col(quoted(rule.column))))
     steps = _cell_steps(rule, type_of(df, rule.column))
