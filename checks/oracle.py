@@ -684,6 +684,12 @@ SELECT p_partkey, CASE WHEN inner_part AND hit IS NOT NULL THEN ' Part' || repla
   WHEN inner_part THEN ' Part#' || n || ' '
   WHEN n % 2 = 0 AND n BETWEEN 1 AND 10000 THEN '<' || n || '>' ELSE ' Part' || n || ' ' END AS value
 FROM names LEFT JOIN heads USING (p_partkey)"""
+ORACLE["intake_by_segment"] = _with(
+    "dirty_customer",
+    f"""SELECT c_custkey, segment, CASE WHEN segment = 'BUILDING' THEN nullif({strip('name')}, '') ELSE name END AS name,
+      CASE segment WHEN 'AUTOMOBILE' THEN {strip('lower(status)')} WHEN 'MACHINERY' THEN {junk('status')} ELSE status END AS status
+    FROM dirty_customer""",
+)
 ORACLE["folder_rejects"] = """SELECT 'good' AS name, 'ok' AS status, NULL AS error_class, NULL AS reason,
   count(*) AS rows_before, 0 AS unpublished FROM orders
 UNION ALL SELECT name, 'error', 'other', reason, NULL, NULL FROM (VALUES

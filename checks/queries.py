@@ -539,6 +539,22 @@ def profile_rollup(spark, sf_dir):
     return found.withColumnsRenamed({"column": "column_name", "distinct": "distinct_values"}).drop("position")
 
 
+@query
+def intake_by_segment(spark, sf_dir):
+    """Every customer proposes rules for its segment; each segment's rows are cleaned by its own rules."""
+    customers = view(spark, sf_dir, "dirty_customer")
+    wanted = (
+        F.when(F.col("segment") == "BUILDING", '{"action":"trim_text","column":"name","confidence":1},{"action":"blank_to_null","column":"name","confidence":0.5}')
+        .when(F.col("segment") == "AUTOMOBILE", '{"action":"normalize_case","column":"status","confidence":1,"parameters":{"format":"lower"}},{"action":"trim_text","column":"status","confidence":1}')
+        .when(F.col("segment") == "MACHINERY", '{"action":"junk_to_null","column":"status","confidence":0.7},{"action":"trim_text","column":"segment","confidence":1}')
+        .when(F.col("segment") == "HOUSEHOLD", '{"action":"trim_text","column":"name","confidence":1.5},{"action":"drop_table","column":"name","confidence":1}')
+        .otherwise("")
+    )
+    responses = customers.select("segment", F.concat(F.lit('{"proposals":['), wanted, F.lit("]}")).alias("response"))
+    proposals = intake.intake_proposals(responses, "response", ["segment"])
+    return intake.apply_by_key(customers.select("c_custkey", "segment", "name", "status"), proposals, ["segment"])
+
+
 # Batch ------------------------------------------------------------------------------------------
 
 
