@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from urllib.parse import unquote
 
@@ -70,3 +71,23 @@ def inventory(
         .when(~F.col("suffix").isin(*K.TEXT_SUFFIXES, *K.WORKBOOK_SUFFIXES), "unsupported file type")
     )
     return listed.withColumn("problem", problem)
+
+
+def by_table(files: DataFrame, folder: str, suffixes: Sequence[str]) -> DataFrame:
+    """The rows of :func:`inventory` with one row for each table that is a folder of part files.
+
+    A folder below ``folder`` whose name ends like a file is one table, as Spark writes them: lengths
+    add up, and it is empty only if all of its files are.
+    """
+    inside = re.sub(r"^[A-Za-z][\w+.-]*:/*|^/+", "", folder).rstrip("/")
+    names = rf"[^/].*?(?:{'|'.join(re.escape(suffix) for suffix in suffixes)})(?=/|$)"
+    table = F.coalesce(
+        # A folder that is spelled in another way than its files is looked for from the start of the path.
+        *[F.nullif(F.regexp_extract("path", pattern, 0), F.lit("")) for pattern in (rf"(?i)^.*?/\Q{inside}\E/{names}", rf"(?i)^{names}")],
+        "path",
+    )
+    filled = F.col("length") > 0
+    return files.groupBy(table.alias("path")).agg(
+        F.max("suffix").alias("suffix"), F.sum("length").alias("length"), F.max("modified").alias("modified"),
+        F.coalesce(F.max(F.when(filled, F.col("problem"))), F.when(F.sum("length") == 0, F.max("problem"))).alias("problem"),
+    )
