@@ -18,10 +18,14 @@ def canonical_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:///")
 
 
+def file_path(url: Column) -> Column:
+    """The path of a file from its URL form."""
+    return canonical_path(F.url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))))
+
+
 def metadata_path() -> Column:
     """The path of the file a row comes from; Spark keeps it in URL form there."""
-    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return canonical_path(plain)
+    return file_path(F.col("_metadata.file_path"))
 
 
 def inventory(

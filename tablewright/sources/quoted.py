@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -61,14 +62,15 @@ def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.Array]]:
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.Array]]:
     """Consecutive lines of one block; a block may come in several parts."""
     for batch in batches:
         if not batch.num_rows:
             continue
         block, path = batch.column(1).to_numpy(), batch.column(0)
         codes = path.dictionary_encode().indices.to_numpy()
-        cuts = [0, *[i for i in range(1, batch.num_rows) if block[i] != block[i - 1] or codes[i] != codes[i - 1]], batch.num_rows]
+        changes = np.flatnonzero((block[1:] != block[:-1]) | (codes[1:] != codes[:-1])) + 1
+        cuts = [0, *changes.tolist(), batch.num_rows]
         for start, end in zip(cuts, cuts[1:]):
             yield (path[start].as_py(), int(block[start])), batch.column(2).slice(start, end - start)
 
@@ -95,7 +97,7 @@ def block_maps(spark: SparkSession, paths: Sequence[str], separator: str) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states = LineStates(separator)
         found: dict[tuple[str, int], tuple] = {}
-        for name, lines in _by_block(batches):
+        for name, lines in by_block(batches):
             outside, inside, opens, returns = found.get(name, (OUTSIDE, INSIDE, False, False))
             returns = returns or bool(pc.any(pc.match_substring_regex(lines, rb"\r[^\n]")).as_py())
             last = -1

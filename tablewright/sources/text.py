@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import csv
 import re
-from collections import defaultdict
-from collections.abc import Callable, Sequence
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +20,7 @@ from tablewright.columns import CORRUPT, IDENTITY, ROW_ID, SOURCE_FILE, column,
 from tablewright.functions import constants as K
 from tablewright.sources import quoted
 from tablewright.sources.headers import IngestError, header_names
-from tablewright.sources.inventory import metadata_path
+from tablewright.sources.inventory import file_path, metadata_path
 
 SNIFF_SHARE = 0.9
 
@@ -32,60 +35,101 @@ class TextFormat:
     multiline: bool
 
 
-def encodings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, encoding, multiline) from one pass over all bytes, aggregated per file.
+_SUMMARY = (
+    "path string, block long, utf8 boolean, latin boolean, multiline boolean, lines long, header binary, "
+    "first array<int>, counts array<struct<candidate:int,times:int,lines:bigint>>"
+)
 
-    A byte sequence that is no UTF-8 anywhere in the file means a one-byte encoding; bytes that
-    Windows-1252 leaves unassigned then mean Latin-1. A line with an odd number of quotes means
-    that a field holds a line break.
-    """
-    lines = spark.read.text(list(paths)).select(
-        metadata_path().alias("path"), "value"
-    )
-    valid = F.is_valid_utf8("value")
-    unassigned = "|".join(f"{byte:02X}" for byte in K.CP1252_UNASSIGNED)
-    latin = F.when(~valid, F.hex("value").rlike(f"^([0-9A-F]{{2}})*?({unassigned})"))
-    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
-    found = lines.groupBy("path").agg(
-        F.bool_and(valid).alias("utf8"),
-        F.coalesce(F.bool_or(latin), F.lit(False)).alias("latin"),
-        F.bool_or(quotes % 2 == 1).alias("multiline"),
-    )
-    encoding = F.when(F.col("utf8"), "UTF-8").when(F.col("latin"), "ISO-8859-1").otherwise("CP1252")
-    return found.select("path", encoding.alias("encoding"), "multiline")
 
+class _BlockSummary:
+    """What the lines of one file block say about the format of their file."""
+
+    def __init__(self, path: str, block: int) -> None:
+        self.found = {"path": path, "block": block, "utf8": True, "latin": False, "multiline": False, "lines": 0, "header": None, "first": None}
+        self.counts: list[Counter] = [Counter() for _ in K.DELIMITERS]
 
-def separators(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, separator, header) from all lines of each file.
+    def add(self, lines: pa.Array) -> None:
+        found = self.found
+        try:
+            lines.cast(pa.string())
+        except pa.ArrowInvalid:
+            found["utf8"] = False
+            found["latin"] = found["latin"] or any(_unassigned(line) for line in lines.to_pylist())
+        quotes = pc.count_substring(lines, b'"')
+        if pc.any(pc.greater(quotes, 0)).as_py():
+            found["multiline"] = found["multiline"] or bool((quotes.to_numpy() % 2 == 1).any())
+        filled = lines.filter(pc.match_substring_regex(lines, rb"[^ ]"))
+        if not len(filled):
+            return
+        bare = pc.replace_substring_regex(filled, rb'"[^"]*"', b"") if pc.max(quotes).as_py() > 1 else filled
+        times = [pc.count_substring(bare, sep.encode()).to_numpy() for sep in K.DELIMITERS]
+        if found["header"] is None:
+            found["header"], found["first"] = filled[0].as_py(), [int(t[0]) for t in times]
+        found["lines"] += len(filled)
+        for counter, t in zip(self.counts, times):
+            counter.update(dict(zip(*(part.tolist() for part in np.unique(t, return_counts=True)))))
+
+    def row(self) -> dict:
+        counts = [{"candidate": i, "times": t, "lines": n} for i, counter in enumerate(self.counts) for t, n in counter.items()]
+        return {**self.found, "counts": counts}
+
+
+def _unassigned(line: bytes) -> bool:
+    """Whether a line that is no UTF-8 has bytes that Windows-1252 leaves unassigned."""
+    try:
+        line.decode()
+    except UnicodeDecodeError:
+        return any(byte in line for byte in K.CP1252_UNASSIGNED)
+    return False
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counted = pa.struct({"candidate": pa.int32(), "times": pa.int32(), "lines": pa.int64()})
+    schema = pa.schema({
+        "path": pa.string(), "block": pa.int64(), "utf8": pa.bool_(), "latin": pa.bool_(), "multiline": pa.bool_(),
+        "lines": pa.int64(), "header": pa.binary(), "first": pa.list_(pa.int32()), "counts": pa.list_(counted),
+    })
+    name, summary = None, None
+    for following, lines in quoted.by_block(batches):
+        if following != name:
+            if summary:
+                yield pa.RecordBatch.from_pylist([summary.row()], schema)
+            name, summary = following, _BlockSummary(*following)
+        summary.add(lines)
+    if summary:
+        yield pa.RecordBatch.from_pylist([summary.row()], schema)
+
+
+def formats(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, encoding, multiline, separator, header) from one pass over all bytes, aggregated per file.
 
-    The separator is the candidate that occurs equally often, outside quotes, in most lines. Lines
-    are counted by file, candidate and number of occurrences, which is small after the map side.
+    A byte sequence that is no UTF-8 anywhere in the file means a one-byte encoding; bytes that
+    Windows-1252 leaves unassigned then mean Latin-1. A line with an odd number of quotes means
+    that a field holds a line break. The separator is the candidate that occurs equally often, outside
+    quotes, in most lines. Each task adds its lines up to one row per file block; the bytes of a line are
+    taken as they are, which keeps the separators and never fails.
     """
     lines = spark.read.text(list(paths)).select(
-        metadata_path().alias("path"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
-        "value",
-    )
-    # The bytes are read as Latin-1 here, which keeps the separators and never fails.
-    raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    counted = lines.filter(F.trim("value") != "").select(
-        "path", "at", F.col("value").cast("binary").alias("value"), F.regexp_replace(raw, '"[^"]*"', "").alias("bare")
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line")
     )
-    counts = F.array(*[F.length("bare") - F.length(F.replace("bare", F.lit(sep), F.lit(""))) for sep in K.DELIMITERS])
-    counted = counted.select("path", "at", "value", counts.alias("counts"))
-    header = counted.groupBy("path").agg(
-        F.count("*").alias("lines"), F.min_by("value", "at").alias("header"), F.min_by("counts", "at").alias("first")
+    # One row per file block.
+    blocks = _staged(lines.mapInArrow(_summaries, _SUMMARY).withColumn("path", file_path(F.col("path"))), "formats")
+    files = blocks.groupBy("path").agg(
+        F.bool_and("utf8").alias("utf8"), F.bool_or("latin").alias("latin"), F.bool_or("multiline").alias("multiline"), F.sum("lines").alias("lines"),
+        F.min_by("header", F.when(F.col("header").isNotNull(), F.col("block"))).alias("header"),
+        F.min_by("first", F.when(F.col("header").isNotNull(), F.col("block"))).alias("first"),
     )
+    encoding = F.when(F.col("utf8"), "UTF-8").when(F.col("latin"), "ISO-8859-1").otherwise("CP1252")
     same = (
-        counted.select("path", F.posexplode("counts").alias("candidate", "times"))
+        blocks.select("path", F.inline("counts"))
         .groupBy("path", "candidate", "times")
-        .agg(F.count("*").alias("lines"))
+        .agg(F.sum("lines").alias("lines"))
         .groupBy("path", "candidate")
         .agg(F.max(F.struct("lines", (-F.col("times")).alias("times"))).alias("mode"))
         .groupBy("path")
         .agg(*[F.max(F.when(F.col("candidate") == i, F.col("mode"))).alias(f"m{i}") for i in range(len(K.DELIMITERS))])
     )
-    found = header.join(same, "path")
+    found = files.join(same, "path", "left")
 
     def share(i: int) -> Column:
         return F.when(F.col(f"m{i}.times") < 0, F.col(f"m{i}.lines") / F.col("lines")).otherwise(0.0)
@@ -100,7 +144,7 @@ def separators(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     choice = F.when(best < SNIFF_SHARE, by_header)
     for i, sep in enumerate(K.DELIMITERS):
         choice = choice.when(shares[i] == best, sep)
-    return found.select("path", choice.alias("separator"), "header")
+    return found.select("path", encoding.alias("encoding"), "multiline", choice.alias("separator"), "header")
 
 
 def describe(
@@ -112,8 +156,7 @@ def describe(
     """
     groups: dict[TextFormat, list[str]] = defaultdict(list)
     failures: list[tuple[str, str]] = []
-    found = encodings(spark, paths).join(separators(spark, paths), "path", "left")
-    for row in sorted(found.collect(), key=lambda r: r.path):
+    for row in sorted(formats(spark, paths).collect(), key=lambda r: r.path):
         try:
             if row.header is None:
                 raise IngestError("the file has no content")
@@ -263,32 +306,53 @@ _INTEGER = r"^[+-]?[0-9]+$"
 _EXACT = 2**53
 _DOUBLE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity)$"
 _BOOLEAN = r"^(True|TRUE|true|False|FALSE|false)$"
+# Longest spelling with the line end that a pattern leaves out of account.
+_BOOLEAN_BYTES = 8
+_AS_BIGINT, _AS_DOUBLE, _AS_BOOLEAN = 1, 2, 4
 
 
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Cast text columns whose every value is an integer, a double or a boolean; dates stay text.
 
-    One aggregate over all columns decides. Codes with leading zeros become numbers, so this is
+    One aggregate over all cells decides. Codes with leading zeros become numbers, so this is
     a choice of the caller and never the default. Integers that do not fit 64 bits keep their
     column text, as do whole numbers that a double would round.
     """
     names = [n for n in (columns or text_columns(df)) if n not in IDENTITY]
-    sums = []
-    for i, name in enumerate(names):
-        cell = F.trim(column(name))
-        whole = cell.try_cast("bigint")
-        rounded = cell.rlike(_INTEGER) & ~F.coalesce(whole.between(-_EXACT, _EXACT), F.lit(False))
-        sums += [
-            F.bool_and(cell.rlike(_INTEGER) & whole.isNotNull()).alias(f"i{i}"),
-            F.bool_and(cell.rlike(_DOUBLE) & ~rounded).alias(f"d{i}"),
-            F.bool_and(cell.rlike(_BOOLEAN)).alias(f"b{i}"),
-        ]
     if not names:
         return df
-    row = df.agg(*sums).first()
+    # One row per cell, so that the generated code is that of one column, however many there are. Values
+    # that repeat are not worth a grouping of their own here.
+    cells = df.select(*[column(n).alias(str(i)) for i, n in enumerate(names)]).unpivot(
+        [], [F.col(f"`{i}`") for i in range(len(names))], "pos", "value"
+    )
+    cells = cells.filter("value is not null").select("pos", F.trim("value").alias("cell"))
+    cell = F.col("cell")
+    # A cast that fails costs an exception a cell, so the size of an integer is read from its digits.
+    size = F.regexp_extract(cell, "^[+-]?0*([0-9]*)", 1)
+
+    def up_to(most: Column) -> Column:
+        return (F.length(size) < F.length(most)) | ((F.length(size) == F.length(most)) & (size <= most))
+
+    largest = F.when(cell.startswith("-"), str(2**63)).otherwise(str(2**63 - 1))
+    # What a cell can be; a column is what all of its cells can be.
+    can_be = (
+        F.when(
+            cell.rlike(_INTEGER),
+            F.when((F.octet_length(cell) < len(str(_EXACT))) | up_to(F.lit(str(_EXACT))), _AS_BIGINT + _AS_DOUBLE)
+            .when(up_to(largest), _AS_BIGINT)
+            .otherwise(0),
+        )
+        .when(cell.rlike(_DOUBLE), _AS_DOUBLE)
+        .when((F.octet_length(cell) <= _BOOLEAN_BYTES) & cell.rlike(_BOOLEAN), _AS_BOOLEAN)
+        .otherwise(0)
+    )
+    # One row per column.
+    found = cells.groupBy("pos").agg(F.bit_and(can_be).alias("kinds")).collect()
     types = {}
-    for i, name in enumerate(names):
-        types[name] = "bigint" if row[f"i{i}"] else "double" if row[f"d{i}"] else "boolean" if row[f"b{i}"] else None
+    for row in found:
+        kinds = ((_AS_BIGINT, "bigint"), (_AS_DOUBLE, "double"), (_AS_BOOLEAN, "boolean"))
+        types[names[int(row.pos)]] = next((name for bit, name in kinds if row.kinds & bit), None)
     return df.select(
         *[
             F.trim(column(n)).try_cast(types[n]).alias(n) if types.get(n) else column(n)

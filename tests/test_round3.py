@@ -3,6 +3,7 @@
 import shutil
 
 from checks.queries import QUERIES
+from tablewright.sources import text
 
 
 def test_a_table_of_part_files_is_one_entry(spark, tmp_path):
@@ -13,3 +14,30 @@ def test_a_table_of_part_files_is_one_entry(spark, tmp_path):
     shutil.copy(next((tmp_path / "one").glob("*.parquet")), root / "nation.parquet")
     found = sorted(tuple(r) for r in QUERIES["file_inventory"](spark, str(root)).collect())
     assert found == [(name, ".parquet", "unsupported file type") for name in ("lineitem", "nation", "orders")]
+
+
+def test_types_of_whole_columns(spark):
+    cases = {
+        "bigint": ["9223372036854775807", "-9223372036854775808", "+0000000000000000000012", None], "double": ["9007199254740992", "-inf", "1.5e3"],
+        "boolean": ["TRUE", " false "], "string": ["9223372036854775808", "1"],
+    }
+    cases_more = {"rounded": ["9007199254740993", "1.5"], "empty": [None, None], "words": ["true", "1"], "small": ["-9007199254740992", ".5"]}
+    want = {**{n: n for n in cases}, "rounded": "string", "empty": "string", "words": "string", "small": "double"}
+    every = {**cases, **cases_more}
+    longest = max(map(len, every.values()))
+    table = [tuple(v[i] if i < len(v) else None for v in every.values()) for i in range(longest)]
+    typed = text.infer_types(spark.createDataFrame(table, ", ".join(f"`{n}` string" for n in every)))
+    assert dict(typed.dtypes) == want
+
+
+def test_format_is_found_without_a_sort_of_the_lines(spark, tmp_path):
+    """The lines go through one pass per file block; no aggregate over them needs a sort."""
+    (tmp_path / "a+b.csv").write_bytes("  \nx;y\n1;\"a,b\"\n2;é\n".encode())
+    (tmp_path / "c.csv").write_bytes("x|y\n1|caf\xe9\n2|\x81\n3|\"a\nb\"\n".encode("latin-1"))
+    (tmp_path / "d.csv").write_bytes("x,y\n1,\x80\n".encode("latin-1"))
+    (tmp_path / "blank.csv").write_bytes(b"   \n\n")
+    found = {r.path.rsplit("/", 1)[1]: r for r in text.formats(spark, [str(tmp_path)]).collect()}
+    assert {n: (r.encoding, r.multiline, r.separator, r.header and bytes(r.header)) for n, r in found.items()} == {
+        "a+b.csv": ("UTF-8", False, ";", b"x;y"), "c.csv": ("ISO-8859-1", True, "|", b"x|y"), "d.csv": ("CP1252", False, ",", b"x,y"),
+        "blank.csv": ("UTF-8", False, None, None),
+    }
