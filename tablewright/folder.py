@@ -100,7 +100,7 @@ def _clean_kind(
     table: DataFrame, files: list[str], path: str, passes: Iterable[str], pivot: int, format: str
 ) -> DataFrame:
     """Cleans and publishes all files of one kind; returns their items."""
-    chosen = stage(B.source_decisions(table), "decisions")
+    chosen = B.source_decisions(table)
     replay = B.clean_sources(table, chosen, passes=passes, pivot_year=pivot)
     cleaned = stage(replay, "candidate")
     changes = B.source_changes(table, cleaned, chosen, passes=passes)

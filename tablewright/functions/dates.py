@@ -56,7 +56,8 @@ def year_first(text: Column, dayfirst: bool, pivot: int, allow_time: bool = Fals
 
 
 def _cast(text: Column) -> Column:
-    return F.regexp_extract(text, _ISO, 0).try_cast("date")
+    # Null instead of an empty text, because a cast that fails costs an exception.
+    return F.nullif(F.regexp_extract(text, _ISO, 0), F.lit("")).try_cast("date")
 
 
 def date_value(raw: Column, text: Column, ordered: Column, allow_time: bool = False) -> Column:

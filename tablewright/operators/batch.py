@@ -28,16 +28,23 @@ FACTS = ("outer_space", "invisibles", "mixed_case", "kind", "percent")
 
 
 def source_decisions(df: DataFrame, source: str = SOURCE_FILE) -> DataFrame:
-    """One row per source: the rule decisions of all its text columns, as columns fact+number."""
+    """One row per source: the rule decisions of all its text columns, as columns fact+number.
+
+    Written once, so that it is not found anew by each step that joins it, and so that its size is
+    known when a join is planned: a small table is broadcast, and no row is dealt by its source.
+    """
+    from tablewright.runner import stage
+
     names = text_columns(df.drop(source))
     shapes = decisions(column_shapes(df, names, by=[source]))
-    return shapes.groupBy(column(source)).agg(
+    chosen = shapes.groupBy(column(source)).agg(
         *[
             F.max(F.when(F.col("pos") == str(i), F.col(fact))).alias(f"_{fact}{i}")
             for i in range(len(names))
             for fact in FACTS
         ]
     )
+    return stage(chosen, "decisions")
 
 
 def with_decisions(df: DataFrame, chosen: DataFrame, source: str) -> DataFrame:

@@ -33,10 +33,16 @@ def dedupe_exact(
         return df.dropDuplicates([name for name in keys])
     # The first row is the one with the smallest source file and row id; both stay together.
     identity = [name for name in IDENTITY if name in df.columns and name not in keys]
-    first = F.min(F.struct(*[column(name) for name in identity])).alias("_first")
+    # A single number can be kept in a hash table, a struct of several needs a sort of all rows.
+    smallest = column(identity[0]) if len(identity) == 1 else F.struct(*[column(name) for name in identity])
+    first = F.min(smallest).alias("_first")
     kept = df.groupBy(*[column(name) for name in keys]).agg(first)
     return kept.select(
-        *[F.col(f"_first.{name}").alias(name) if name in identity else column(name) for name in df.columns]
+        *[
+            column(name) if name not in identity
+            else F.col("_first" if len(identity) == 1 else f"_first.{name}").alias(name)
+            for name in df.columns
+        ]
     )
 
 
