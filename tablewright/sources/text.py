@@ -274,20 +274,21 @@ def split_rejects(scanned: DataFrame, fmt: TextFormat) -> tuple[DataFrame, DataF
 
 
 def read_text(
-    spark: SparkSession, paths: str | Sequence[str], any_order: bool = False
+    spark: SparkSession, paths: str | Sequence[str], any_order: bool = False, groups: dict[TextFormat, list[str]] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """One table from files with equal columns: (staged rows, rejected rows).
 
     Files of one table may differ in separator, encoding or line breaks. Row ids hold the number of
     the kind of file, so they are unique in the table. With ``any_order`` files
-    may name their columns in different orders.
+    may name their columns in different orders. ``groups`` are the files by format, as found by
+    ``describe``; with them no file is read again to find its format.
     """
     from tablewright.runner import stage
 
-    wanted = [paths] if isinstance(paths, str) else list(paths)
-    groups, failures = describe(spark, wanted)
-    if failures:
-        raise IngestError("; ".join(f"{path}: {reason}" for path, reason in failures))
+    if groups is None:
+        groups, failures = describe(spark, [paths] if isinstance(paths, str) else list(paths))
+        if failures:
+            raise IngestError("; ".join(f"{path}: {reason}" for path, reason in failures))
     if len({tuple(sorted(fmt.columns)) if any_order else fmt.columns for fmt in groups}) != 1:
         raise IngestError(f"expected files with equal columns, found {len(groups)} kinds of file")
     surplus = "_surplus"

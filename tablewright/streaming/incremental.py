@@ -15,7 +15,7 @@ from tablewright.plans.rules import CELL_ACTIONS, SHAPE_ACTIONS, RuleError
 from tablewright.runner import clean_table
 from tablewright.sinks.publish import PublishError
 from tablewright.sources.inventory import metadata_path
-from tablewright.sources.text import describe, read_text
+from tablewright.sources.text import TextFormat, describe, read_text
 
 STREAMABLE = (*CELL_ACTIONS, *SHAPE_ACTIONS, "drop_empty_rows")
 
@@ -100,16 +100,16 @@ def new_rows(spark: SparkSession, paths: list[str], schema: T.StructType) -> tup
     """Typed rows of the files that fit the schema, and what was refused: (source, record, reason)."""
     groups, failures = describe(spark, paths)
     names = sorted(schema.names)
-    fit: list[str] = []
+    fit: dict[TextFormat, list[str]] = {}
     for fmt, files in groups.items():
         if sorted(fmt.columns) == names:
-            fit += files
+            fit[fmt] = files
         else:
             failures += [(path, f"header {list(fmt.columns)} instead of {schema.names}") for path in files]
     refused = spark.createDataFrame([(path, None, reason) for path, reason in failures], "source string, record string, reason string")
     if not fit:
         return None, refused
-    good, surplus = read_text(spark, fit, any_order=True)
+    good, surplus = read_text(spark, [path for files in fit.values() for path in files], any_order=True, groups=fit)
     typed = {f.name: column(f.name).try_cast(f.dataType) for f in schema.fields}
     bad = F.lit(False)
     for name, cell in typed.items():
