@@ -251,8 +251,28 @@ class Plan:
 
         One aggregate per run of rules; rows removed by a later rule still count.
         """
+        return self._apply_counted(df, None, order_by, scope)[1]
+
+    def apply_counted(
+        self,
+        df: DataFrame,
+        keep: Callable[[DataFrame], DataFrame],
+        order_by: Sequence[str] | None = None,
+        scope: Sequence[str] = (),
+    ) -> tuple[DataFrame, DataFrame]:
+        """What :meth:`apply` and :meth:`loss_counts` give, with each rule evaluated once.
+
+        ``keep`` writes a table and reads it back. Cell rules that may lose values are written with
+        their marks, which are then counted from storage. The result is read back from storage too.
+        """
+        return self._apply_counted(df, keep, order_by, scope)
+
+    def _apply_counted(
+        self, df: DataFrame, keep: Callable[[DataFrame], DataFrame] | None, order_by: Sequence[str] | None, scope: Sequence[str]
+    ) -> tuple[DataFrame, DataFrame]:
         positions = {id(rule): i for i, rule in enumerate(self.rules)}
         counted: list[DataFrame] = []
+        kept = cells_changed = False
         for run in self.steps():
             if run[0].action == "split_column":
                 (rule,) = run
@@ -263,20 +283,28 @@ class Plan:
                     _loss_rows(df.agg(count_if(dropped).alias("_lost_0")), {"_lost_0": rule}, positions)
                 )
             flags: dict[str, Rule] = {}
+            if cells_changed and run[0].action == "drop_empty_rows":
+                df = barrier(df, "rows_before_drop")
+            cells_changed = cells_changed or run[0].action not in ROW_ACTIONS
+            kept = False
             if run[0].action in CELL_ACTIONS:
                 df = apply_cell_rules(df, run, flags)
                 if flags:
+                    if keep:
+                        df, kept = keep(df), True
                     sums = df.agg(*[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in flags])
                     counted.append(_loss_rows(sums, flags, positions))
                     df = df.drop(*flags)
             else:
                 df = _apply_run(df, run, order_by, scope)
+        if keep and not kept:
+            df = keep(df)
         if not counted:
-            return df.sparkSession.createDataFrame([], LOSS_SCHEMA)
+            return df, df.sparkSession.createDataFrame([], LOSS_SCHEMA)
         out = counted[0]
         for more in counted[1:]:
             out = out.unionByName(more)
-        return out
+        return df, out
 
 
 LOSS_SCHEMA = "position int, action string, column string, lost bigint"

@@ -61,13 +61,18 @@ def clean_table(
     source: str = "",
     language: str = "es",
     order_by: Sequence[str] | None = None,
+    staged: bool = False,
 ) -> RunOutcome:
-    """Write-audit-publish for one table. Without a target the checked result is only returned."""
+    """Write-audit-publish for one table. Without a target the checked result is only returned.
+
+    ``staged`` tells that the table is read from storage with its row ids, as ``read_text`` gives it,
+    so that it is not written again.
+    """
     spark: SparkSession = df.sparkSession
-    original = stage_with_row_id(df)
+    original = df if staged else stage_with_row_id(df)
     plan.check_strict(original, order_by)
-    cleaned = stage(plan.apply(original, order_by), "candidate")
-    warnings = [*plan.warnings(original), *loss_warnings(plan.loss_counts(original, order_by))]
+    cleaned, losses = plan.apply_counted(original, lambda table: stage(table, "candidate"), order_by)
+    warnings = [*plan.warnings(original), *loss_warnings(losses)]
     result = CleanResult(
         plan.applied,
         original.count(),

@@ -79,7 +79,7 @@ def clean_new_files(
         if rows is None:
             return
         if isinstance(plan, Plan):
-            outcome = clean_table(rows, plan)
+            outcome = clean_table(rows, plan, staged=True)
             if not outcome.validation.valid:
                 raise PublishError(f"batch {number} is not valid: {'; '.join(outcome.validation.errors)}")
             out = outcome.cleaned

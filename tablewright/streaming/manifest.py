@@ -161,7 +161,7 @@ def _clean_version(
         # The version exists, without rows.
         spark.createDataFrame([], f"{SOURCE_FILE} string").write.mode("overwrite").parquet(f"{target}/rows/version={version}")
         return
-    outcome = clean_table(rows, plan)
+    outcome = clean_table(rows, plan, staged=True)
     if not outcome.validation.valid:
         raise PublishError(f"version {version} is not valid: {'; '.join(outcome.validation.errors)}")
     kept = outcome.cleaned
