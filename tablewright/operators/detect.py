@@ -9,8 +9,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.columns import (
+    ROW_ID,
     column,
     count_if,
     data_columns,
@@ -28,6 +30,8 @@ from tablewright.operators.quantiles import exact_quantiles
 from tablewright.operators.values import first_per_group, order_column, spelling_groups
 
 EXAMPLES = 3
+#: Parts of the rows whose first hits bound where examples can lie.
+BUCKETS = 16
 ISSUE_SCHEMA = (
     "position int, category string, column string, severity string, affected bigint, total bigint, "
     "ratio double, examples array<string>, suggested_action string, description string, "
@@ -106,13 +110,18 @@ def _run_checks(
     for i, check in enumerate(checks):
         sums.append(count_if(check.flag).alias(f"a{i}"))
         sums.append(F.count(F.lit(1) if check.counted is None else F.when(check.counted, 1)).alias(f"t{i}"))
-    df = _with_texts(df, {check.place for check in checks})
-    counted = df.agg(*sums)
+    places = {check.place for check in checks}
     found = F.array_compact(F.array(*[_issue_row(i, check) for i, check in enumerate(checks)]))
+    shown = [(i, c) for i, c in enumerate(checks) if c.value is not None] if examples else []
+    bounds: dict[int, int | None] = {}
+    if shown and _bounded(df, order_by):
+        counted, bounds = _counts_and_bounds(_with_texts(df, places), sums, shown, order_by)
+        shown = [(i, c) for i, c in shown if i in bounds]
+    else:
+        counted = _with_texts(df, places).agg(*sums)
     issues = counted.select(F.inline(found))
-    shown = [(i, c) for i, c in enumerate(checks) if c.value is not None]
-    if examples and shown:
-        found = _examples(df, shown, order_by)
+    if shown:
+        found = _examples(df, places, shown, order_by, bounds)
         # At most one row per check on this side.
         issues = issues.join(F.broadcast(found), "check", "left")
     else:
@@ -120,9 +129,45 @@ def _run_checks(
     return _finish(issues)
 
 
-def _examples(df: DataFrame, shown: list[tuple[int, Check]], order_by: str | None) -> DataFrame:
+def _bounded(df: DataFrame, order_by: str | None) -> bool:
+    """Whether rows have an order in whole numbers, which a hash aggregate can hold."""
+    order = order_by or (ROW_ID if ROW_ID in df.columns else None)
+    return order is not None and isinstance(type_of(df, order), T.IntegralType)
+
+
+def _counts_and_bounds(
+    df: DataFrame, sums: Sequence[Column], shown: Sequence[tuple[int, Check]], order_by: str | None
+) -> tuple[DataFrame, dict[int, int | None]]:
+    """The counts as one row, and for each check with a hit the order that its examples do not exceed.
+
+    Rows are dealt to a few buckets. A flagged row of each of ``EXAMPLES`` buckets comes no later than
+    that one of their first ones that comes last, so no example comes later. None: hits in fewer buckets.
+    """
+    first = order_column(df, order_by)
+    least = [F.min(F.when(c.flag, first)).alias(f"m{i}") for i, c in shown]
+    parts = df.groupBy(F.pmod(F.xxhash64(first), F.lit(BUCKETS)).alias("_bucket")).agg(*sums, *least)
+    names = [c for c in parts.columns if c[0] in "at"]
+    totals = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]
+    ends = [F.get(F.sort_array(F.collect_list(f"m{i}")), F.lit(EXAMPLES - 1)).alias(f"m{i}") for i, _ in shown]
+    row = parts.agg(*totals, *ends).first()
+    counted = df.sparkSession.createDataFrame([tuple(row[c] for c in names)], ", ".join(f"{c} bigint" for c in names))
+    return counted, {i: row[f"m{i}"] for i, _ in shown if row[f"a{i}"] > 0}
+
+
+def _examples(
+    df: DataFrame, places: set[int], shown: list[tuple[int, Check]], order_by: str | None, bounds: dict[int, int | None]
+) -> DataFrame:
+    """(check, examples). Only rows up to the bounds are judged and sorted, where there are bounds."""
+    first = order_column(df, order_by)
+
+    def near(bound: int | None) -> Column:
+        # Rows without an order come first.
+        return F.lit(True) if bound is None else first.isNull() | (first <= bound)
+
+    ends = [bounds.get(i) for i, _ in shown]
+    df = _with_texts(df.filter(near(None if None in ends else max(ends))), places)
     flagged = [
-        F.when(c.flag, F.struct(F.lit(i).alias("check"), c.value.alias("value"))) for i, c in shown
+        F.when(near(bounds.get(i)) & c.flag, F.struct(F.lit(i).alias("check"), c.value.alias("value"))) for i, c in shown
     ]
     rows = df.select(
         order_column(df, order_by).alias("_first"), F.explode(F.array_compact(F.array(*flagged))).alias("hit")
