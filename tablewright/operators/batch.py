@@ -53,6 +53,14 @@ def with_decisions(df: DataFrame, chosen: DataFrame, source: str) -> DataFrame:
     return df.join(chosen, source, "left")
 
 
+def _needed(chosen: DataFrame, columns: int) -> dict[str, list[int]]:
+    """The columns, by number, that any source decided to treat so; one row comes to the driver."""
+    tests = {fact: lambda i, fact=fact: F.col(f"_{fact}{i}") for fact in ("outer_space", "invisibles", "mixed_case")}
+    tests |= {kind: lambda i, kind=kind: F.col(f"_kind{i}") == kind for kind in ("date", "number")}
+    found = chosen.agg(F.count(F.lit(1)), *[F.bool_or(test(i)).alias(f"{fact}{i}") for fact, test in tests.items() for i in range(columns)]).first()
+    return {fact: [i for i in range(columns) if found[f"{fact}{i}"]] for fact in tests}
+
+
 def clean_sources(
     df: DataFrame,
     chosen: DataFrame,
@@ -63,7 +71,8 @@ def clean_sources(
     """The three automatic passes, each cell under the rules of its own source.
 
     Sources of one schema share one plan, so a number column stays text here: another source may
-    hold words in it. Duplicates are removed within a source only.
+    hold words in it. Duplicates are removed within a source only. A rule that no source decided on for
+    a column is left out of the plan.
     """
     wanted = set(passes)
     if not wanted <= set(PASSES):
@@ -72,43 +81,43 @@ def clean_sources(
     fixed = [n for n in df.columns if n not in names]
     pivot = pivot_year or default_pivot_year()
     out = with_decisions(df, chosen, source)
-    decided = [c for c in chosen.columns if c != source]
+    needed = _needed(chosen, len(names)) if wanted & {"pass1", "pass2"} else {}
 
-    def level(step) -> None:
+    def level(step, places: Sequence[int]) -> None:
         nonlocal out
-        out = out.select(
-            *[column(n) for n in fixed],
-            *[step(i, column(n)).alias(n) for i, n in enumerate(names)],
-            *[F.col(c) for c in decided],
-        )
+        if places:
+            out = out.select(
+                *[column(n) for n in fixed],
+                *[step(i, column(n)).alias(n) if i in places else column(n) for i, n in enumerate(names)],
+                *[c for c in out.columns if c not in df.columns],
+            )
 
     def on(fact: str, i: int) -> Column:
         return F.col(f"_{fact}{i}")
 
     if "pass1" in wanted:
-        level(lambda i, c: F.when(on("outer_space", i), cells.strip(c)).otherwise(c))
-        level(lambda i, c: F.when(on("invisibles", i), cells.strip_invisibles(c)).otherwise(c))
-        level(lambda i, c: F.when(on("mixed_case", i), cells.title_case(c)).otherwise(c))
+        level(lambda i, c: F.when(on("outer_space", i), cells.strip(c)).otherwise(c), needed["outer_space"])
+        level(lambda i, c: F.when(on("invisibles", i), cells.strip_invisibles(c)).otherwise(c), needed["invisibles"])
+        level(lambda i, c: F.when(on("mixed_case", i), cells.title_case(c)).otherwise(c), needed["mixed_case"])
     if "pass2" in wanted:
         # The read date and number are columns of their own, since the choice between them and
         # the text form of the number read them several times.
-        for label, steps in (
-            ("_date", lambda i: date_steps(True, pivot)),
-            ("_number", lambda i: number_steps(convert_percentages=on("percent", i))),
+        for kind, steps in (
+            ("date", lambda i: date_steps(True, pivot)),
+            ("number", lambda i: number_steps(convert_percentages=on("percent", i))),
         ):
-            kind = label.strip("_")
             out = out.select(
                 "*",
-                *[F.when(on("kind", i) == kind, column(n)).alias(f"{label}{i}") for i, n in enumerate(names)],
+                *[F.when(on("kind", i) == kind, column(names[i])).alias(f"_{kind}{i}") for i in needed[kind]],
             )
-            out = run_steps(out, {f"{label}{i}": steps(i) for i in range(len(names))})
-        level(
-            lambda i, c: F.when(on("kind", i) == "date", F.col(f"_date{i}"))
-            .when(on("kind", i) == "number", cells.as_text(F.col(f"_number{i}"), T.DoubleType()))
-            .otherwise(c)
-        )
+            out = run_steps(out, {f"_{kind}{i}": steps(i) for i in needed[kind]})
+        read = {i: F.when(on("kind", i) == "date", F.col(f"_date{i}")) for i in needed["date"]}
+        for i in needed["number"]:
+            number = cells.as_text(F.col(f"_number{i}"), T.DoubleType())
+            read[i] = (read[i] if i in read else F).when(on("kind", i) == "number", number)
+        level(lambda i, c: read[i].otherwise(c), list(read))
     if "pass3" in wanted:
-        level(lambda i, c: F.when(on("kind", i) == "date", c).otherwise(cells.blank_to_null(c)))
+        level(lambda i, c: F.when(on("kind", i) == "date", c).otherwise(cells.blank_to_null(c)), range(len(names)))
     out = out.select(*[column(n) for n in df.columns])
     if "pass3" in wanted:
         values = [n for n in data_columns(df) if n != source]

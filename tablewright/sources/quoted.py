@@ -146,11 +146,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], separator: str) -> Iterator[pa.Re
     states = LineStates(separator)
     number, state, chain, place, open_lines, header = None, OUTSIDE, None, 0, None, False
 
-    def closed() -> list[tuple]:
-        """The piece that is open when its block ends."""
+    def closed(whole: bool) -> list[tuple]:
+        """The piece that is open when its block ends or a record starts."""
         if open_lines is None:
             return []
-        whole = state == OUTSIDE
         own = place - 1 if chain is None else None
         return [(number, own, None if whole and chain is None else (number if chain is None else chain), header and own == 0, b"\n".join(open_lines))]
 
@@ -159,30 +158,52 @@ def _pieces(batches: Iterator[pa.RecordBatch], separator: str) -> Iterator[pa.Re
             continue
         rows: list[tuple] = []
         numbers = batch.column(1).to_numpy()
-        cuts = [0, *(i for i in range(1, len(numbers)) if numbers[i] != numbers[i - 1]), len(numbers)]
+        cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
         for start, end in zip(cuts, cuts[1:]):
             if numbers[start] != number:
-                rows += closed()
+                rows += closed(state == OUTSIDE)
                 number, state, header = int(numbers[start]), batch.column(2)[start].as_py(), batch.column(4)[start].as_py()
                 chain = batch.column(3)[start].as_py() if state == INSIDE else None
                 place, open_lines = 0, [] if state == INSIDE else None
-            lines = batch.column(0).slice(start, end - start)
-            quoted = iter([*_with_quotes(lines), len(lines)])
-            following = next(quoted)
-            for i, line in enumerate(lines.to_pylist()):
-                if state == OUTSIDE:  # a record starts; what was open before is whole
-                    rows += closed()
-                    chain, open_lines, place = None, [line], place + 1
-                    if header and place == 1 and not line.rstrip(b"\r"):
-                        open_lines, place = None, 0
-                else:
-                    open_lines.append(line)
-                if i == following:
-                    state = states.from_inside(line) if state == INSIDE else states.from_outside(line)
-                    following = next(quoted)
+            lines = batch.column(0).slice(start, end - start).cast(pa.binary())
+            # Only lines with quotes change the state; lines that start outside of quotes start records.
+            outside, after = np.empty(len(lines), bool), 0
+            for i in _with_quotes(lines):
+                outside[after : i + 1] = state == OUTSIDE
+                line, after = lines[i].as_py(), i + 1
+                state = states.from_inside(line) if state == INSIDE else states.from_outside(line)
+            outside[after:] = state == OUTSIDE
+            first = np.flatnonzero(outside)
+            before = int(first[0]) if len(first) else len(lines)
+            if before:
+                open_lines += lines.slice(0, before).to_pylist()
+            if not len(first):
+                continue
+            rows += closed(True)
+            chain, open_lines = None, None
+            if header and place == 0:  # blank lines before the header are no records
+                blank = 0
+                while blank < len(first) and not lines[int(first[blank])].as_py().rstrip(b"\r"):
+                    blank += 1
+                first = first[blank:]
+                if not len(first):
+                    continue
+            # All but the last record are whole; those of one line are taken as they are.
+            own = place + np.arange(len(first) - 1)
+            one = first[1:] - first[:-1] == 1
+            if len(own):
+                several = [b"\n".join(lines.slice(i, j - i).to_pylist()) for i, j in zip(first[:-1][~one].tolist(), first[1:][~one].tolist())]
+                found = pa.concat_arrays([lines.take(pa.array(first[:-1][one])), pa.array(several, pa.binary())])
+                own = np.concatenate([own[one], own[~one]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(own), number, np.int64)), pa.array(own), pa.nulls(len(own), pa.int64()), pa.array((own == 0) & header), found],
+                    names=["number", "place", "chain", "head", "record"],
+                )
+            place += len(first)
+            open_lines = lines.slice(int(first[-1])).to_pylist()
         if rows:
             yield _record_batch(rows, _PIECES)
-    if rows := closed():
+    if rows := closed(state == OUTSIDE):
         yield _record_batch(rows, _PIECES)
 
 

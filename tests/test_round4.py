@@ -1,11 +1,14 @@
-"""Examples of issues: the search for them reads few rows, and finds the same ones."""
+"""Examples of issues are sought in few rows; batches leave out what they do not need."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import detect
+from tablewright.columns import ROW_ID, SOURCE_FILE
+from tablewright.operators import batch, detect
+from tablewright.sources import quoted
 
 
 @pytest.fixture()
@@ -44,3 +47,39 @@ def test_examples_at_the_edges(spark, rows, examples):
     df = spark.createDataFrame(rows, "key long, email string")
     row = detect.suspicious_emails(df, order_by="key").first()
     assert (row and row.examples) == examples
+
+
+def test_rules_that_no_source_needs_are_left_out(spark):
+    rows = [("a", i, t, "x y") for i, t in enumerate(["one", "two", "three"])]
+    df = spark.createDataFrame(rows, f"{SOURCE_FILE} string, {ROW_ID} long, t string, u string")
+    plan = batch.clean_sources(df, batch.source_decisions(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_number0" not in plan and "_date0" not in plan
+
+
+def test_each_source_keeps_its_own_kind(spark):
+    cells = {
+        "n": ["$1.50", "$2.25", "(3.75)"], "d": ["05/01/2024", "06/01/2024", "2024-01-07"], "t": ["some", " words ", "here"],
+    }
+    rows = [(s, i, c) for s, column in cells.items() for i, c in enumerate(column)]
+    df = spark.createDataFrame(rows, f"{SOURCE_FILE} string, {ROW_ID} long, x string")
+    out = batch.clean_sources(df, batch.source_decisions(df)).orderBy(ROW_ID).collect()
+    got = {s: [r.x for r in out if r[SOURCE_FILE] == s] for s in cells}
+    assert got == {"n": ["1.5", "2.25", "-3.75"], "d": ["2024-01-05", "2024-01-06", "2024-01-07"], "t": ["some", "words", "here"]}
+
+
+def test_records_of_one_line_are_taken_whole(monkeypatch):
+    lines = [b"\r", b"a,b", b"1,x", b'2,"y', b'z"', b"", b"3,w"] + [b"4,v"] * 500 + [b'5,"open']
+    names = ["line", "number", "state", "chain", "first"]
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+    rows = [pa.array(v, k) for v, k in zip(zip(*((line, 7, quoted.OUTSIDE, None, True) for line in lines)), kinds)]
+    one_by_one = []
+    make = quoted._record_batch
+    monkeypatch.setattr(quoted, "_record_batch", lambda rows, schema: one_by_one.extend(rows) or make(rows, schema))
+    batch_of = pa.RecordBatch.from_arrays(rows, names=names)
+    found = sorted(
+        (tuple(r.values()) for b in quoted._pieces(iter([batch_of.slice(0, 4), batch_of.slice(4)]), ",") for r in b.to_pylist()),
+        key=lambda r: (r[1] is None, r[1] or 0),
+    )
+    want = [b"a,b", b"1,x", b'2,"y\nz"', b"", b"3,w"] + [b"4,v"] * 500
+    assert found == [(7, i, None, i == 0, record) for i, record in enumerate(want)] + [(7, 505, 7, False, b'5,"open')]
+    assert len(one_by_one) <= 2
