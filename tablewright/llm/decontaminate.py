@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.columns import column
-from tablewright.llm.common import stage
+from tablewright.llm.common import drop_stage, stage
 
 WINDOW_WORDS = 13
 SHINGLE_WORDS = 5
@@ -60,29 +60,25 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", siz
     return shared.select("words", "length", "items", F.coalesce(*by_size).alias("shingles"))
 
 
-def contaminated(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    item: str = "item_id",
-    item_text: str = "text",
-    size: int = WINDOW_WORDS,
-    per: int = 20,
-) -> DataFrame:
-    """Adds ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``contaminated`` to every document.
+def _row(key: str, text: str) -> tuple[Column, Column]:
+    """Two hashes of key and text that tell rows apart; only equal rows agree in both."""
+    return F.xxhash64(column(key), column(text)), F.xxhash64(column(text).isNull(), column(text), column(key))
+
+
+def _verdicts(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, size: int, per: int) -> DataFrame:
+    """Rows (key, mark, n_hit, items, contaminated) of the documents that hold a window, as a stage.
 
-    Two passes over the texts: the first finds where shingles of the benchmark occur, the second
-    compares words in the documents that are left. Both fold A-Z alone. A document is contaminated if at least one
-    of ``per`` words is hit. Rows are told apart by a hash of key and text, so repeated and missing keys
-    do no harm; should two hashes be equal, the second pass finds that out.
+    Two passes over the texts: the first finds where shingles of the benchmark occur, the second compares
+    words in the documents that are left; only their texts are shuffled. Both fold A-Z alone. Places are
+    joined by the first hash of a row and the comparison is made for each row, so that equal hashes do no harm.
     """
+    spark = docs.sparkSession
     wanted = stage(windows(benchmark, item, item_text, size), "decontaminate-windows")
     sizes = [r.k for r in wanted.select(F.least("length", F.lit(SHINGLE_WORDS)).alias("k")).distinct().collect()]
     needed = wanted.select(F.explode("shingles").alias("shingle")).distinct()
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
-    row = F.xxhash64(column(key), column(text))
+    row, mark = _row(key, text)
     lowered = docs.select(row.alias("key"), words(folded(column(text))).alias("w"))
     found = [
         lowered.select("key", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"), k)).alias("place", "shingle")).join(needed, "shingle")
@@ -109,17 +105,53 @@ def contaminated(
         .groupBy("key")
         .agg(F.collect_set(F.struct("start", "length", F.array_join("words", " ").alias("joined"), "items")).alias("found"))
     )
+    candidates = stage(candidates, "decontaminate-candidates")
+    # Written on their own: Spark sees how small they are and broadcasts them, so that the other texts stay where they are.
+    keys = stage(candidates.select("key"), "decontaminate-keys")
+    held = docs.select(row.alias("key"), mark.alias("mark"), column(text).alias("text")).join(keys, "key", "left_semi")
+    tokens = held.join(candidates, "key").select("key", "mark", "found", words(F.col("text")).alias("w"))
+    true = F.filter("found", lambda c: folded(F.array_join(F.slice("w", c.start + 1, c.length), " ")) == c.joined)
+    checked = tokens.select("key", "mark", F.size("w").alias("n"), true.alias("true")).filter(F.size("true") > 0)
+    hit = F.size(F.array_distinct(F.flatten(F.transform("true", lambda c: F.sequence(c.start, c.start + c.length - 1)))))
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform("true", lambda c: c.items))))
+    found = checked.select("key", "mark", hit.cast("long").alias("n_hit"), names.alias("items"), (hit * per >= F.col("n")).alias("contaminated"))
+    found = stage(found.distinct(), "decontaminate-verdicts")
+    for old in (wanted, hits, candidates, keys):
+        drop_stage(spark, old)
+    return found
+
+
+def contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    size: int = WINDOW_WORDS,
+    per: int = 20,
+) -> DataFrame:
+    """Adds ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``contaminated`` to every document.
+
+    A document is contaminated if at least one of ``per`` words is hit. Repeated and missing keys do no harm.
+    """
+    found = _verdicts(docs, benchmark, key, text, item, item_text, size, per)
+    row, mark = _row(key, text)
     # All columns travel in one, so that their names cannot clash with those used here.
     kept = [column(c) for c in docs.columns if c not in ("n_words", "n_hit", "items", "contaminated")]
-    whole = docs.select(F.struct(*kept).alias("all"), row.alias("key"))
-    tokens = whole.join(candidates, "key", "left").select("all", "found", words(F.col("all").getField(text)).alias("w"))
-    none = F.expr("cast(array() as array<struct<start: int, length: int, joined: string, items: array<string>>>)")
-    true = F.filter(
-        F.coalesce("found", none),
-        lambda c: folded(F.array_join(F.slice("w", c.start + 1, c.length), " ")) == c.joined,
+    whole = docs.select(F.struct(*kept).alias("all"), row.alias("key"), mark.alias("mark"), F.size(words(column(text))).alias("n"))
+    joined = whole.join(found, ["key", "mark"], "left")
+    return joined.select(
+        "all.*", F.col("n").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
+        F.coalesce("contaminated", F.lit(False)).alias("contaminated"),
     )
-    checked = tokens.select("all", F.size("w").alias("n"), true.alias("true"))
-    hit = F.size(F.array_distinct(F.flatten(F.transform("true", lambda c: F.sequence(c.start, c.start + c.length - 1)))))
-    names = F.array_sort(F.array_distinct(F.flatten(F.transform("true", lambda c: c.items))))
-    done = checked.select("all.*", F.col("n").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), names.alias("items"))
-    return done.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * per >= F.col("n_words")))
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The documents that are not contaminated, with the options of ``contaminated``."""
+    named = {"key": "doc_id", "text": "text", "item": "item_id", "item_text": "text", "size": WINDOW_WORDS, "per": 20} | options
+    found = _verdicts(docs, benchmark, **named).filter("contaminated").select(F.col("key").alias("_row_key"), F.col("mark").alias("_row_mark"))
+    found = stage(found, "decontaminate-gone")
+    row, mark = _row(named["key"], named["text"])
+    return docs.join(found, (row == F.col("_row_key")) & (mark == F.col("_row_mark")), "left_anti")

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import corpus_pipeline
 from tablewright.llm import decontaminate
 from tablewright.llm.queries import QUERIES
 
@@ -79,3 +80,17 @@ def test_columns_of_any_name_and_rows_without_a_key(spark):
     index = [names.index(n) for n in kept]
     want = [(tuple(r[i] for i in index), 2 if "two" in r[1] else 0, ("7",) if "two" in r[1] else ()) for r in rows]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_clean_texts_are_not_shuffled(spark, write_tables):
+    item = " ".join(f"w{i}" for i in range(30))
+    docs = [(i, f"plain text number {i} " * 20, "en", "s", 0) for i in range(60)]
+    docs += [(70, item, "en", "s", 0), (70, item, "en", "s", 0), (None, item, "en", "s", 0), (None, None, "en", "s", 0), (71, "x " * 999 + item, "en", "s", 0)]
+    folder = write_tables(documents=(docs, DOCS), benchmark=([(1, item)], "item_id long, text string"))
+    table, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
+    marked = decontaminate.contaminated(table, bench)
+    assert sorted((r.doc_id or 0, r.n_hit) for r in marked.filter("n_hit > 0").collect()) == [(0, 30), (70, 30), (70, 30), (71, 30)]
+    kept = corpus_pipeline.benchmark_passages(spark, table, folder)
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, *range(60), 71]
+    for out in (marked, kept):
+        assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
