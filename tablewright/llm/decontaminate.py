@@ -111,14 +111,15 @@ def _verdicts(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item:
     held = docs.select(row.alias("key"), mark.alias("mark"), column(text).alias("text")).join(keys, "key", "left_semi")
     tokens = held.join(candidates, "key").select("key", "mark", "found", words(F.col("text")).alias("w"))
     true = F.filter("found", lambda c: folded(F.array_join(F.slice("w", c.start + 1, c.length), " ")) == c.joined)
-    checked = tokens.select("key", "mark", F.size("w").alias("n"), true.alias("true")).filter(F.size("true") > 0)
+    # No filter here: it would be pushed down, and the words be cut anew for every place that is compared.
+    checked = tokens.select("key", "mark", F.size("w").alias("n"), true.alias("true"))
     hit = F.size(F.array_distinct(F.flatten(F.transform("true", lambda c: F.sequence(c.start, c.start + c.length - 1)))))
     names = F.array_sort(F.array_distinct(F.flatten(F.transform("true", lambda c: c.items))))
-    found = checked.select("key", "mark", hit.cast("long").alias("n_hit"), names.alias("items"), (hit * per >= F.col("n")).alias("contaminated"))
-    found = stage(found.distinct(), "decontaminate-verdicts")
+    found = stage(checked.select("key", "mark", "n", hit.cast("long").alias("n_hit"), names.alias("items")).distinct(), "decontaminate-verdicts")
     for old in (wanted, hits, candidates, keys):
         drop_stage(spark, old)
-    return found
+    hit_enough = F.col("n_hit") * per >= F.col("n")
+    return found.filter("n_hit > 0").select("key", "mark", "n_hit", "items", hit_enough.alias("contaminated"))
 
 
 def contaminated(
